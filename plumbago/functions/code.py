@@ -12,8 +12,11 @@ import builtins
 import difflib
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from plumbago.runtime import ship
+
 from .text import drop_magics, print_to_call
 
 FACTS = (
@@ -32,6 +35,7 @@ def vectorised(ddl: str):
 
     def wrap(fn):
         def call(*columns):
+            ship(SparkSession.active())
             return F.pandas_udf(fn, ddl)(*columns)
 
         call.__doc__ = fn.__doc__

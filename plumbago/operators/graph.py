@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.runtime import checkpoints
+
 #: Fixed inverse names of relations.
 INVERSE = {"CONSISTS OF": "IS A PART OF", "HAS STEP": "IS STEP OF", "HAS NEXT STEP": "HAS PREVIOUS STEP", "SUBCLASS OF": "HAS SUBCLASS"}
 DEFAULT_INVERSE = "IS A PART OF"
@@ -111,7 +113,7 @@ def reach(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     checkpointed, so that the plan does not grow.
     """
     spark = edges.sparkSession
-    _checkpoint_dir(spark)
+    checkpoints(spark)
     seen = start.select("node", F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = seen
     for depth in range(1, most + 1):
@@ -123,17 +125,6 @@ def reach(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def _checkpoint_dir(spark) -> None:
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plumbago-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-
-
 def steps_below(edges: DataFrame, root: str, relation: str, most: int = 10) -> DataFrame:
     """(name, depth, path): the tree below a node along one relation; a node on its own path is not followed again."""
     spark = edges.sparkSession
@@ -165,7 +156,7 @@ def neighbour_sum(edges: DataFrame, features: DataFrame, value: str) -> DataFram
 
 def classify(nodes: DataFrame, edges: DataFrame, rules: list[tuple[Column, str]], inherits: str) -> DataFrame:
     """(node, type): ordered rules on a node's name, then untyped nodes take the least type of a parent along one relation, until nothing changes."""
-    _checkpoint_dir(nodes.sparkSession)
+    checkpoints(nodes.sparkSession)
     kind = F.lit(None).cast("string")
     for test, name in reversed(rules):
         kind = F.when(test, F.lit(name)).otherwise(kind)

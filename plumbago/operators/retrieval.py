@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbago.functions.numbers import dot, norm
+from plumbago.runtime import ship
 
 #: Rows of a block of queries that is sent to every task of a vector search.
 QUERY_BLOCK = 2048
@@ -68,6 +69,7 @@ def vector_top_k(queries: DataFrame, docs: DataFrame, k: int, id_col: str, vec_c
     batch for each query, and the rest is one window over those.
     """
     spark = queries.sparkSession
+    ship(spark)
     parts = []
     for block in _blocks(queries.select(F.col(id_col).alias("q"), F.col(vec_col).cast("array<double>").alias("v"))):
         ids = block["q"].to_numpy()

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from plumbago.runtime import scratch
 from plumbago.sources import files
 
 from .cells import WITH, cells
 from .registry import query, read
 
 
-def scratch(spark, name):
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plumbago-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/plumbago-io/{uuid.uuid4().hex}/{name}"
-
-
 @query("src1_snk1_jsonl", "SELECT doc_id, n_chars, lang FROM documents")
 def jsonl(spark, sf):
     path = scratch(spark, "docs.jsonl")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbago.runtime import scratch
 from plumbago.streaming import events as S
 
-from .io import scratch
 from .registry import query, read
 
 
