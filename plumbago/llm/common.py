@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbago.runtime import scratch, ship
+
 #: Bytes of `[\x20\x09-\x0D]`, the characters that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Texts are handled in slices of about so many bytes inside a task, so that a
@@ -22,23 +22,15 @@ _MASK = (1 << 64) - 1
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: texts are long, and a batch is held in memory whole."""
+    """Small Arrow batches, as texts are long and a batch is held in memory whole; the package on the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plumbago-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def table(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts the lineage there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbago/{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
