@@ -6,14 +6,14 @@ an edge that occurs once can't be part of a repeat. So:
 1. Minimizers pick one short k-mer in each window, by content alone; those that
    occur twice are set in a bit table of bounded size (a filter: it passes all
    windows of a repeat, and few others).
-2. Windows that pass become edges with 128-bit keys, counted with their first
-   source coordinate (document, start) before the shuffle.
+2. Windows that pass become edges, counted in each batch and then over all,
+   with their first source coordinate (document, start).
 3. Nonbranching paths are compacted: an edge follows its predecessor if all its
    occurrences have the same word before them and both occur equally often.
    Then all occurrences of the path are whole, and its first source is a run of
    consecutive coordinates.
-4. Path heads are joined with the occurrences; each gives a span, verified
-   against the source by the second hash. A document's spans, less the first
+4. Path heads are joined with their occurrences; each gives a span, verified
+   against its source coordinate by a second hash. A document's spans, less the
    source itself, are its removed words.
 """
 
@@ -33,6 +33,7 @@ KMER = Rolling(0xD1342543DE82EF95)
 EDGE = Rolling(0xAF251AF3B0F025B5)
 CHECK = Rolling(0x2545F4914F6CDD1D)
 NO_ID = (1 << 63) - 1
+EVEN = np.uint64((1 << 64) - 2)
 
 
 class _Windows:
@@ -54,68 +55,105 @@ class _Windows:
 
 
 def _repeated_bits(df: DataFrame, text: str, window: int, kmer: int, max_bits: int) -> np.ndarray:
-    """Bit table of the minimizers that occur at least twice; the number of bits is a power of two, at most max_bits."""
+    """Bit table of the minimizers that occur at least twice.
+
+    A row is one number: the hash without its last bit, which says whether the
+    minimizer was met more than once already. Each batch is counted first, so a
+    passage in every document is one row a batch.
+    """
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch.column(0))
+            texts, found = texts_of(batch.column(0)), []
             for a, b in slices(texts):
                 x = _Windows(texts[a:b], window, kmer)
-                h, n = np.unique(x.kmers[np.unique(x.anchor)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["h", "n"])
+                found.append(x.kmers[np.unique(x.anchor)] & EVEN)
+            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h | (n > 1).astype(np.uint64)))], ["h"])
+
+    met = df.select(F.col(text).cast("string")).mapInArrow(run, "h long")
+    key = F.shiftright("h", 1)
+    met = met.repartition(key).groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.max(F.col("h").bitwiseAND(F.lit(1))).alias("more"))
+    repeated = met.where("n > 1 OR more = 1").select(F.shiftleft("k", 1).alias("h"))
+    return bit_table(table(repeated), max_bits)
 
-    anchors = df.select(F.col(text).cast("string")).mapInArrow(run, "h long, n long")
-    repeated = table(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    return bit_table(repeated, max_bits)
 
+def _edges(df: DataFrame, window: int, kmer: int, bitmap: np.ndarray, heads: np.ndarray | None = None) -> DataFrame:
+    """Windows that pass the filter; df: doc, th, text.
 
-def _edges(df: DataFrame, id_col: str, text: str, window: int, kmer: int, bitmap: np.ndarray) -> DataFrame:
-    """Windows that pass the filter: (h, v) 128-bit key, doc, th (text hash), pos, prev (hash of the word before, null at the start)."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap)
+    Without `heads`: (h, doc, th, pos, n, prev) with one row for each window
+    text of a batch: its first place, its number of occurrences, and the hash
+    of the word before all of them (null where they differ, or at a text's
+    start). With the bit table of path heads: (h, doc, th, pos, v), each
+    occurrence of a head, with a second hash.
+    """
+    sc = df.sparkSession.sparkContext
+    shared, wanted = sc.broadcast(bitmap), sc.broadcast(heads)
+    names = ["h", "doc", "th", "pos", "n", "prev"] if heads is None else ["h", "doc", "th", "pos", "v"]
 
     def run(batches):
-        bitmap = shared.value
         for batch in batches:
-            texts = texts_of(batch.column(2))
+            texts, parts = texts_of(batch.column(2)), []
             for a, b in slices(texts):
                 x = _Windows(texts[a:b], window, kmer)
                 w = x.words
-                hit = has_bit(bitmap, signed(x.kmers[x.anchor]))
-                s = x.starts[hit]
+                s = x.starts[has_bit(shared.value, signed(x.kmers[x.anchor] & EVEN))]
+                h = signed(EDGE.spans(w.hash, s, s + window))
+                if wanted.value is not None:
+                    hit = has_bit(wanted.value, h)
+                    s, h = s[hit], h[hit]
                 t = w.text[s]
                 pos = s - w.first[t]
-                prev = signed(w.hash[np.maximum(s - 1, 0)])
-                cols = [
-                    pa.array(signed(EDGE.spans(w.hash, s, s + window))), pa.array(signed(CHECK.spans(mix(w.hash), s, s + window))),
-                    batch.column(0).slice(a, b - a).take(pa.array(t)), batch.column(1).slice(a, b - a).take(pa.array(t)),
-                    pa.array(pos.astype(np.int32)), pa.array(prev, mask=pos == 0),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "v", "doc", "th", "pos", "prev"])
-
-    t = F.col(text).cast("string")
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")
-    return df.select(doc, F.xxhash64(t).alias("th"), t.alias("text")).mapInArrow(run, "h long, v long, doc long, th long, pos int, prev long")
+                more = signed(w.hash[np.maximum(s - 1, 0)]) if wanted.value is None else signed(CHECK.spans(mix(w.hash), s, s + window))
+                parts.append((h, t + a, pos, more))
+            h, t, pos, more = (np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else [np.zeros(0, np.int64)] * 4
+            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if wanted.value is None:
+                order = np.lexsort((pos, th[t], doc[t], h))
+                h, t, pos, more = h[order], t[order], pos[order], more[order]
+                first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ 1)) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(h)))
+                start = (pos == 0) | (more != np.repeat(more[first], n))
+                other = np.add.reduceat(start.astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool)
+                h, t, pos = h[first], t[first], pos[first]
+                last = [pa.array(n.astype(np.int32)), pa.array(more[first], mask=other)]
+            else:
+                last = [pa.array(more)]
+            cols = [pa.array(h), pa.array(doc[t]), pa.array(th[t]), pa.array(pos.astype(np.int32)), *last]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    kinds = {"h": "long", "doc": "long", "th": "long", "pos": "int", "n": "int", "prev": "long", "v": "long"}
+    return df.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """Repeated nonbranching paths: (h, v) of the head edge, source (doc, th, pos), n_edges, tail_h, tail_v."""
-    counted = edges.groupBy("h", "v").agg(
-        F.count("*").alias("n"),
+    """Repeated nonbranching paths: head edge h, its source (doc, th, pos), and n_edges.
+
+    Rows are dealt out by edge before they are counted, as batches have been
+    counted already and aggregation buffers would only widen what is shuffled.
+    """
+    counted = edges.repartition("h").groupBy("h").agg(
+        F.sum("n").alias("n"),
         F.min(F.struct("doc", "th", "pos")).alias("src"),
-        F.when((F.count("prev") == F.count("*")) & (F.min("prev") == F.max("prev")), F.lit(True)).otherwise(F.lit(False)).alias("same"),
-    ).where("n > 1").select("h", "v", "n", "same", "src.*")
+        ((F.count("prev") == F.count("*")) & (F.min("prev") == F.max("prev"))).alias("same"),
+    ).where("n > 1").select("h", "n", F.coalesce("same", F.lit(False)).alias("same"), "src.*")
     by = W.partitionBy("doc", "th").orderBy("pos")
     follows = F.col("same") & (F.lag("pos").over(by) == F.col("pos") - 1) & (F.lag("n").over(by) == F.col("n"))
     runs = counted.withColumn("head", ~F.coalesce(follows, F.lit(False)))
     runs = runs.withColumn("run", F.sum(F.col("head").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("doc", "th", "run").agg(
-        F.min_by(F.struct("h", "v"), "pos").alias("first"), F.min("pos").alias("pos"), F.count("*").cast("int").alias("n_edges"), F.max("n").alias("n")
-    ).select("first.h", "first.v", "doc", "th", "pos", "n_edges", "n")
+    return runs.groupBy("doc", "th", "run").agg(F.min_by("h", "pos").alias("h"), F.min("pos").alias("pos"), F.count("*").cast("int").alias("n_edges")).drop("run")
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, th, text): the id as it is, as a number, and the text's hash where ids repeat (else 0)."""
+    t = F.col(text_col).cast("string")
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    many = df.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").head(1)
+    return df.select(F.col(id_col).alias("id"), doc.alias("doc"), (F.xxhash64(t) if many else F.lit(0).cast("long")).alias("th"), t.alias("text"))
 
 
 def repeated_spans(
-    df: DataFrame, window: int = 20, *, id_col: str = "doc_id", text_col: str = "text", kmer: int = 8, max_filter_bits: int = 1 << 28
+    df: DataFrame, window: int = 20, *, id_col: str = "doc_id", text_col: str = "text", kmer: int = 6, max_filter_bits: int = 1 << 28
 ) -> DataFrame:
     """Maximal runs of later copies: (doc, th, start, end) in words, per document.
 
@@ -124,18 +162,21 @@ def repeated_spans(
     apart by the text's hash `th` and ordered by it; equal rows are one
     document. A null id counts as the greatest.
     """
+    docs = keyed(df, id_col, text_col).select("doc", "th", "text")
     tune(df.sparkSession)
-    bitmap = _repeated_bits(df, text_col, window, kmer, max_filter_bits)
-    edges = _edges(df, id_col, text_col, window, kmer, bitmap)
-    heads = table(paths(edges))
-    src = heads.select("h", "v", F.struct("doc", "th", "pos").alias("src"), "n_edges")
-    found = edges.select("h", "v", "doc", "th", "pos").join(src, ["h", "v"])
-    found = found.where(F.struct("doc", "th", "pos") != F.col("src"))
+    bitmap = _repeated_bits(docs, "text", window, kmer, max_filter_bits)
+    heads = table(paths(_edges(docs, window, kmer, bitmap)))
+    at = _edges(docs, window, kmer, bitmap, bit_table(heads.select("h"), max_filter_bits))
+    src = heads.select("h", F.struct("doc", "th", "pos").alias("src"), "n_edges")
+    found = at.join(src, "h").withColumn("me", F.struct("doc", "th", "pos"))
+    # a span counts only if its second hash is that of its source
+    known = found.where("me = src").select(F.col("h").alias("h2"), F.col("v").alias("v2")).distinct()
+    found = found.where("me <> src").join(known, (F.col("h") == F.col("h2")) & (F.col("v") == F.col("v2")))
     return found.select("doc", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n_edges") + window - 1).alias("end"))
 
 
 def deduplicate(
-    df: DataFrame, window: int = 20, *, id_col: str = "doc_id", text_col: str = "text", kmer: int = 8, max_filter_bits: int = 1 << 28
+    df: DataFrame, window: int = 20, *, id_col: str = "doc_id", text_col: str = "text", kmer: int = 6, max_filter_bits: int = 1 << 28
 ) -> DataFrame:
     """One row per document: id, n_words, n_removed, text (kept words joined by one space), kept_sha256.
 
@@ -143,10 +184,7 @@ def deduplicate(
     than a window lose nothing. Repeated rows of one id and text are answered
     alike. Empty table: empty result. Columns other than the two are ignored.
     """
-    t = F.col(text_col).cast("string")
-    docs = df.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).alias("th"), t.alias("text")
-    )
+    docs = keyed(df, id_col, text_col)
     spans = repeated_spans(df, window, id_col=id_col, text_col=text_col, kmer=kmer, max_filter_bits=max_filter_bits)
     spans = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most one a word of the document
 
