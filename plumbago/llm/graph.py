@@ -10,7 +10,7 @@ from .common import table
 
 
 def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Merge the sets of `i` and `j`; `parent` holds for each node the least node of its set."""
+    """Merge the sets of `i` and `j` in place; `parent` holds for each node the least node of its set."""
     while len(i):
         a, b = parent[i], parent[j]
         differ = a != b
@@ -22,7 +22,7 @@ def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             up = parent[parent]
             if (up == parent).all():
                 break
-            parent = up
+            parent[:] = up
     return parent
 
 
