@@ -41,7 +41,7 @@ class _Windows:
 
     def __init__(self, texts: list[bytes], window: int, kmer: int):
         self.words = w = Words(texts)
-        n = len(w.hash)
+        n, kmer = len(w.hash), min(kmer, window)
         starts = np.arange(max(0, n - window + 1))
         self.starts = starts = starts[w.text[starts] == w.text[starts + window - 1]] if len(starts) else starts
         if len(starts):
