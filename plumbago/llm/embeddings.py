@@ -63,7 +63,7 @@ def near_duplicates(
         F.lit(False),
     )
     good = rows.where(valid)
-    # a class key: 128 bits of the vector and the label; equality of the vectors is what groups them
+    # copies are one class, grouped by the vector itself
     classes = good.groupBy("label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("m"))
     classes = table(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
 

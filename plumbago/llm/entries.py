@@ -77,9 +77,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    mixture = mixing.fit(docs, read(spark, sf_dir, "labels"))
-    return mixing.apply(docs, mixture, keep=["doc_id"])
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 # -- stages of the pipeline: (spark, docs, sf_dir) -> rows with the columns of docs, but for the last

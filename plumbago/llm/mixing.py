@@ -6,7 +6,8 @@ domain tokens sum_d r_d n_d p_dk and the targets, by projected gradient from
 r = 1. A document's gradient is its posterior times one vector of K numbers, so
 a rate is a function of its posterior and of the vectors so far: every step is
 one distributed sum, and no rates are stored or shuffled. The gap is measured
-in the metric of the memberships' Gram matrix, which makes the step size 1.
+in the metric of the Gram matrix of the memberships whose rate is positive,
+which makes the step size 1.
 """
 
 from __future__ import annotations
@@ -50,7 +51,12 @@ def _inputs(docs: DataFrame, lexical: toxicity.Model, keep: list[str], text_col:
     return quality.with_statistics(docs, text_col=text_col, keep=keep, more=lambda texts: np.clip(lexical.difference(texts), -1, 1))
 
 
-def fit(
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> Mixture:
+    """Classifier and rates; see fit_with_inputs."""
+    return fit_with_inputs(docs, labels, targets, **options)[0]
+
+
+def fit_with_inputs(
     docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] = TARGETS,
@@ -60,9 +66,9 @@ def fit(
     anchor: str = "plain",
     anchor_rate: float = 1.1,
     steps: int = 30,
-    tolerance: float = 1e-6,
-) -> Mixture:
-    """Classifier and rates. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain.
+    tolerance: float = 1e-4,
+) -> tuple[Mixture, DataFrame]:
+    """Classifier and rates, and the classifier's inputs (id, n_words, x) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain.
 
     The token budget is set so that the anchor domain's expected tokens, times
     `anchor_rate`, are its target share. Rows whose two labels are null are no
@@ -80,21 +86,20 @@ def fit(
     y = F.array(*[(domain == d).cast("double") for d in domains])
     mixture.model = quality.fit(table(stats.join(labelled, "id").select("x", y.alias("y"))), len(domains))
     soft = table(_posteriors(stats, mixture))
-    want, gram, total = None, None, 0.0
+    want = None
     for _ in range(steps):
-        tokens, gram_now, total = _sums(soft, mixture)
+        tokens, gram, total = _sums(soft, mixture)
         if not total:
             break
         if want is None:
             k = domains.index(anchor)
             share = np.array([targets[d] for d in domains])
             want = share / share.sum() * anchor_rate * tokens[k] / (share[k] / share.sum())
-            gram = gram_now + 1e-9 * np.eye(len(domains))
         gap = tokens - want
         if np.abs(gap).max() <= tolerance * want.sum():
             break
-        mixture.steps.append(np.linalg.solve(gram, gap))
-    return mixture
+        mixture.steps.append(np.linalg.solve(gram + 1e-9 * total * np.eye(len(domains)), gap))
+    return mixture, stats
 
 
 def _posteriors(stats: DataFrame, mixture: Mixture) -> DataFrame:
@@ -109,11 +114,11 @@ def _posteriors(stats: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def _sums(soft: DataFrame, mixture: Mixture) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected tokens of each domain at the present rates, Gram matrix of memberships, all tokens; by native expressions."""
+    """Expected tokens of each domain at the present rates, Gram matrix of memberships at positive rates, all tokens."""
     k = len(mixture.domains)
     rated = soft.withColumn("r", _rate(mixture) if mixture.steps else F.lit(1.0))
     aggs = [F.sum(F.col("n") * F.col("r") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]
-    aggs += [F.sum(F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     x = rated.agg(*aggs, F.sum("n").alias("n")).first()
     gram = np.array([[x[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
     return np.array([x[f"t{i}"] or 0.0 for i in range(k)]), gram, x["n"] or 0.0
@@ -129,6 +134,13 @@ def _rate(mixture: Mixture):
     return rate(*names)
 
 
+def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Fit, and the result of apply for the same documents (id kept), in one pass over their texts."""
+    mixture, inputs = fit_with_inputs(docs, labels, id_col=id_col, **options)
+    x = inputs.select(F.col("id").alias(id_col), F.col("id").alias("__id"), "n_words", "x")
+    return rated(x, mixture, [id_col])
+
+
 def apply(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str]) -> DataFrame:
     """`keep`, n_tokens, p_<domain>, rate, copies for each row.
 
@@ -137,8 +149,13 @@ def apply(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col
     gets the rate of its posterior. Repeated rows get equal rates and copies.
     """
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    x = _inputs(inputs, mixture.lexical, [*keep, "__id"], "__t")
+    return rated(_inputs(inputs, mixture.lexical, [*keep, "__id"], "__t"), mixture, keep)
+
+
+def rated(x: DataFrame, mixture: Mixture, keep: list[str]) -> DataFrame:
+    """As apply, from rows that have `keep`, __id, n_words and x already."""
     cols = [f"p_{d}" for d in mixture.domains]
+
     def run(batches):
         for batch in batches:
             names = batch.schema.names
@@ -149,7 +166,7 @@ def apply(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep) + 1)], *made], [*keep, "__id", "n_tokens", *cols, "rate"])
 
     made = "n_tokens long, " + ", ".join(f"{c} double" for c in [*cols, "rate"])
-    schema = schema_with(inputs, [*keep, "__id"], made)
+    schema = schema_with(x, [*keep, "__id"], made)
     out = x.mapInArrow(run, schema)
     u = F.pmod(F.xxhash64(F.col("__id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", F.floor(F.col("rate") + u).cast("int")).drop("__id")

@@ -47,10 +47,9 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     size = np.bincount(w.text, weights=length, minlength=len(texts))
     out[:, 1] = size / some
     kinds = KIND[w.data]
-    for k, col in ((1, 2), (5, 6), (6, 7)):
-        out[:, col] = np.add.reduceat((kinds == k).astype(np.int64), w.text_starts) / some
-    for k, col in ((2, 3), (3, 4), (4, 5)):
-        out[:, col] = np.add.reduceat((kinds == k).astype(np.int64), w.text_starts) / np.maximum(size, 1)
+    bounds = np.append(w.text_starts, len(w.data))
+    for k, col, per in ((1, 2, some), (5, 6, some), (6, 7, some), (2, 3, size), (3, 4, size), (4, 5, size)):
+        out[:, col] = np.diff(np.searchsorted(np.flatnonzero(kinds == k), bounds)) / np.maximum(per, 1)
     for i, (a, b) in enumerate(zip(w.first, w.last)):
         if b > a:
             _, c = np.unique(w.hash[a:b], return_counts=True)
