@@ -30,35 +30,42 @@ FULL = (1 << 64) - 1
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash over word shingles of a text, A-Z lower-cased; no word: 0."""
+    return of_hashes(shingle_hashes(text, words, seed))
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words: of the whole sequence; none: no hash."""
     w = text.lower().split()
     if not w:
+        return np.zeros(0, np.uint64)
+    parts = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    if not len(h):
         return 0
-    if len(w) < words:
-        w = [b" ".join(w)]
-        parts = w
-    else:
-        parts = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64)
     ones = np.zeros(64, np.int64)
     for s in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[s : s + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp long) for each row; a null text has no words, and so fingerprint zero."""
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, also=()) -> DataFrame:
+    """(id, `also`, fp long, n distinct shingles) for each row; a null text has no words, and so fingerprint zero."""
 
     def run(texts):
-        return {"fp": np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)}
+        h = [shingle_hashes(t, words, seed) for t in texts]
+        return {"fp": np.array([of_hashes(x) for x in h], np.uint64).view(np.int64), "n": [len(np.unique(x)) for x in h]}
 
-    return per_text(df, run, "fp long", text=text_col, keep=[id_col])
+    return per_text(df, run, "fp long, n long", text=text_col, keep=[id_col, *also])
 
 
-def trie_pairs(fps: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, half: int, emit) -> None:
+def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, part: int, span: int, emit) -> None:
     """Walk the tries of a and b (sorted distinct uint64 arrays; the same object: a self-join) together.
 
-    `emit(i, j)` gets index arrays of pairs within `budget` bits. `half` is the
-    budget of the first 32 levels. The frontier is handled in pieces, depth
+    `emit(i, j)` gets index arrays of pairs within `budget` bits. `part` is the
+    budget of the first `span` levels. The frontier is handled in pieces, depth
     first, so memory stays bounded.
     """
     same = a is b
@@ -91,7 +98,7 @@ def trie_pairs(fps: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, half:
         upto = np.uint64(FULL ^ ((1 << (63 - level)) - 1))
         m1 = np.clip(np.searchsorted(a, (a[l1] & upto) | bit), l1, h1)
         m2 = np.clip(np.searchsorted(b, (b[l2] & upto) | bit), l2, h2)
-        most = half if level < 32 else budget
+        most = part if level < span else budget
         kids = []
         for x, y, z, w, cost in ((l1, m1, l2, m2, 0), (m1, h1, m2, h2, 0), (l1, m1, m2, h2, 1), (m1, h1, l2, m2, 1)):
             ok = (y > x) & (w > z) & (d + cost <= most)
@@ -103,26 +110,30 @@ def trie_pairs(fps: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, half:
             stack.append((level + 1, *merged))
 
 
-def links(fps: DataFrame, budget: int = 3, cell_rows: int = 20000) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints of `fps` (column fp, long).
+def _tries(budget: int) -> tuple[int, int]:
+    """Number of tries, and the budget of a trie's first 64 / tries levels: one of so many blocks of bits has at most that."""
+    tries = 2 if budget < 8 else 4
+    return tries, budget // tries
 
-    All pairs within `budget` bits are found; of each task's pairs, a spanning
-    forest is returned, which has the same components. Budgets below 32 only.
-    """
+
+def _cells(fps: DataFrame, budget: int, cell_rows: int) -> DataFrame:
+    """Rows (trie, lo, hi, i, j, side, key, other columns): a task's two sets of keys have one value of the first five."""
+    more = [c for c in fps.columns if c != "fp"]
     n = fps.count()
-    depth = max(0, min(24, math.ceil(math.log2(max(1, n) / cell_rows * 4)))) if n > cell_rows else 0
-    half = budget // 2
-    masks = [sum(1 << b for b in bits) for k in range(half + 1) for bits in itertools.combinations(range(depth), k)]
-    fp = F.col("fp")
-    turned = fp.bitwiseXOR(F.lit(0))
-    rot = F.shiftleft(turned, 32).bitwiseOR(F.shiftrightunsigned(turned, 32))
-    both = fps.select(F.lit(0).alias("trie"), fp.alias("key")).union(fps.select(F.lit(1).alias("trie"), rot.alias("key")))
+    tries, part = _tries(budget)
+    span = 64 // tries
+    depth = max(0, min(span, 24, math.ceil(math.log2(max(1, n) / cell_rows * 4)))) if n > cell_rows else 0
+    masks = [sum(1 << b for b in bits) for k in range(part + 1) for bits in itertools.combinations(range(depth), k)]
+    both = None
+    for t in range(tries):
+        turned = F.shiftleft("fp", span * t).bitwiseOR(F.shiftrightunsigned("fp", 64 - span * t)) if t else F.col("fp")
+        one = fps.select(F.lit(t).alias("trie"), turned.alias("key"), *more)
+        both = one if both is None else both.union(one)
     top = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
     both = both.withColumn("own", top)
-    sizes = both.groupBy("trie", "own").agg(F.count("*").alias("n"))
-    k = F.ceil(F.col("n") / cell_rows).cast("int")
+    sizes = both.groupBy("trie", "own").agg(F.count("*").alias("n_keys"))
     # blocks of a subtree; a pair of subtrees meets block by block
-    blocks = sizes.select("trie", "own", k.alias("k"))
+    blocks = sizes.select("trie", "own", F.ceil(F.col("n_keys") / cell_rows).cast("int").alias("k"))
     placed = both.join(blocks, ["trie", "own"])
     mine = F.pmod(F.xxhash64("key"), F.col("k").cast("long")).cast("int")
     placed = placed.withColumn("block", mine).withColumn("other", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(m)) for m in masks])))
@@ -135,36 +146,162 @@ def links(fps: DataFrame, budget: int = 3, cell_rows: int = 20000) -> DataFrame:
         F.when(F.col("own") == F.col("other"), F.least("block", "meet")).when(first, F.col("block")).otherwise(F.col("meet")).alias("i"),
         F.when(F.col("own") == F.col("other"), F.greatest("block", "meet")).when(first, F.col("meet")).otherwise(F.col("block")).alias("j"),
     ]
-    tasks = placed.select("trie", *cell, "key", F.when(F.col("own") == F.col("other"), F.col("block")).otherwise(F.when(first, -1).otherwise(-2)).alias("side"))
+    side = F.when(F.col("own") == F.col("other"), F.col("block")).otherwise(F.when(first, -1).otherwise(-2)).alias("side")
+    return placed.select("trie", *cell, side, "key", *more)
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The two sorted sets of keys of a task (one object for a set that meets itself)."""
+    x = pdf.iloc[0]
+    key, side = pdf["key"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
+    if x["lo"] == x["hi"] and x["i"] == x["j"]:
+        a = np.unique(key)
+        return a, a
+    one, two = (x["i"], x["j"]) if x["lo"] == x["hi"] else (-1, -2)
+    return np.unique(key[side == one]), np.unique(key[side == two])
+
+
+def _turn_back(keys: np.ndarray, bits: int) -> np.ndarray:
+    if bits:
+        keys = (keys >> np.uint64(bits)) | (keys << np.uint64(64 - bits))
+    return keys.view(np.int64)
+
+
+def links(fps: DataFrame, budget: int = 3, cell_rows: int = 20000) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints of `fps` (column fp, long).
+
+    All pairs within `budget` bits are found; of each task's pairs, a spanning
+    forest is returned, which has the same components. Budgets below 32 only.
+    """
+    tries, part = _tries(budget)
+    span = 64 // tries
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.iloc[0]
-        key, side = pdf["key"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
-        if x["lo"] == x["hi"] and x["i"] == x["j"]:
-            a = b = np.unique(key)
-        elif x["lo"] == x["hi"]:
-            a, b = np.unique(key[side == x["i"]]), np.unique(key[side == x["j"]])
-        else:
-            a, b = np.unique(key[side == -1]), np.unique(key[side == -2])
-        names = np.unique(key)
+        a, b = _sides(pdf)
+        names = a if a is b else np.union1d(a, b)
         parent = np.arange(len(names))
         ia, ib = np.searchsorted(names, a), np.searchsorted(names, b)
-        trie_pairs(names, a, b, budget, half, lambda i, j: union(parent, ia[i], ib[j]))
+        trie_pairs(a, b, budget, part, span, lambda i, j: union(parent, ia[i], ib[j]))
         moved = np.flatnonzero(parent != np.arange(len(names)))
-        out = names[moved], names[parent[moved]]
-        if x["trie"]:
-            out = [(o << np.uint64(32)) | (o >> np.uint64(32)) for o in out]
-        return pd.DataFrame({"a": out[0].view(np.int64), "b": out[1].view(np.int64)})
+        back = int(pdf["trie"].iloc[0]) * span
+        return pd.DataFrame({"a": _turn_back(names[moved], back), "b": _turn_back(names[parent[moved]], back)})
+
+    return _cells(fps.select("fp"), budget, cell_rows).groupBy("trie", "lo", "hi", "i", "j").applyInPandas(walk, "a long, b long")
 
-    return tasks.groupBy("trie", "lo", "hi", "i", "j").applyInPandas(walk, "a long, b long")
+
+class _Nearest:
+    """Of pairs that arrive in pieces, the `most` nearest of each first end."""
+
+    def __init__(self, most: int):
+        self.most, self.more, self.rows, self.size = most, False, [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        self.rows.append((i, j, d))
+        self.size += len(i)
+        if self.size > 1 << 21:
+            self.rows = [self.kept()]
+            self.size = len(self.rows[0][0])
+
+    def kept(self) -> tuple[np.ndarray, ...]:
+        if not self.rows:
+            return (np.zeros(0, np.int64),) * 3
+        i, j, d = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        near = rank < self.most
+        self.more |= not near.all()
+        return i[near], j[near], d[near]
+
+
+def _candidates(fps: DataFrame, budget: int, cell_rows: int, similarity: float, most: int) -> DataFrame:
+    """(a, b, more): in each task, the `most` nearest partners of a fingerprint that are in another component and of like size.
+
+    fps: fp, n (shingles), component. `more` says that the task had further partners.
+    """
+    tries, part = _tries(budget)
+    span = 64 // tries
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(pdf)
+        key = pdf["key"].to_numpy().view(np.uint64)
+        names, at = np.unique(key, return_index=True)
+        n, comp = pdf["n"].to_numpy()[at], pdf["component"].to_numpy()[at]
+        ia, ib = np.searchsorted(names, a), np.searchsorted(names, b)
+        found = _Nearest(most)
+
+        def emit(i, j):
+            i, j = ia[i], ib[j]
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            if ok.any():
+                i, j = i[ok], j[ok]
+                found.add(i, j, np.bitwise_count(names[i] ^ names[j]))
+
+        trie_pairs(a, b, budget, part, span, emit)
+        i, j, _ = found.kept()
+        back = int(pdf["trie"].iloc[0]) * span
+        x, y = _turn_back(names[i], back), _turn_back(names[j], back)
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "more": found.more})
+
+    return _cells(fps, budget, cell_rows).groupBy("trie", "lo", "hi", "i", "j").applyInPandas(walk, "a long, b long, more boolean")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of `pairs` (a, b: fingerprints) whose representatives' sets of shingles have that Jaccard similarity. df: th, text."""
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    want = ends.join(classes.select("fp", "th"), "fp")
+    texts = df.join(want.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+
+    def run(texts):
+        return {"set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]}
+
+    sets = table(per_text(texts, run, "set array<long>", text="text", keep=["th"]).join(want, "th").select("fp", "set"))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_links(classes: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int) -> DataFrame:
+    """Links (a, b) between fingerprints within `budget` bits whose texts have Jaccard similarity >= `similarity`.
+
+    A group of near copies has very many pairs, so pairs come in rounds: each
+    fingerprint's nearest partners first, and in later rounds 16 times as many,
+    of those in other components than its own. The last round is one in which
+    no task had more partners than it gave, so no pair between components is
+    left unverified. classes: fp, th, n; df: th, text.
+    """
+    found, most = None, 2
+    comp = None
+    while True:
+        named = classes.select("fp", "n")
+        if comp is not None:
+            named = named.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left")
+            named = table(named.withColumn("component", F.coalesce("component", "fp")))
+        else:
+            named = named.withColumn("component", F.col("fp"))
+        got = table(_candidates(named, budget, cell_rows, similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")))
+        more = got.agg(F.max("more")).first()[0]
+        if more is None:
+            break
+        new = table(_verified(got.select("a", "b"), classes, df, words, similarity))
+        found = new if found is None else found.union(new)
+        if not more:
+            break
+        comp, most = table(components(found)), most * 16
+    return found if found is not None else classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
 
 def near_duplicates(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, seed: int = 42, cell_rows: int = 20000
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, seed: int = 42, cell_rows: int = 20000,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (least id reachable).
 
-    Documents link if their fingerprints differ in at most `budget` bits. A null
+    Documents link if their fingerprints differ in at most `budget` bits and,
+    where `similarity` is given, their sets of shingles have at least that
+    Jaccard similarity (equal fingerprints always link; the text of the least
+    hash stands for them). A null
     or empty text has fingerprint zero and links like any other. Equal
     fingerprints are one class: copies meet once. Repeated ids are rows of their
     own with the same id; a null id never names a component unless all its
@@ -172,10 +309,16 @@ def near_duplicates(
     result. Columns other than the two are ignored.
     """
     tune(df.sparkSession)
-    docs = table(fingerprints(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), id_col="id", words=words, seed=seed))
-    classes = table(docs.groupBy("fp").agg(F.min("id").alias("low")))
-    comp = components(links(classes, budget, cell_rows))
-    of = classes.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    text = F.col(text_col).cast("string")
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    docs = table(fingerprints(base, id_col="id", words=words, seed=seed, also=["th"]))
+    classes = table(docs.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("th", "n")).alias("x")).select("fp", "low", "x.th", "x.n"))
+    if similarity is None:
+        found = links(classes, budget, cell_rows)
+    else:
+        found = similar_links(classes, base.select("th", "text"), words=words, budget=budget, similarity=similarity, cell_rows=cell_rows)
+    comp = components(found)
+    of = classes.select("fp", "low").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(low, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))

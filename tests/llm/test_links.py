@@ -76,6 +76,40 @@ def test_simhash_odd_rows(spark, odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).collect() == []
 
 
+def test_similar_documents_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(400)]
+    texts = []
+    for g in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    by_print = {}
+    for i, f in enumerate(fps):
+        by_print.setdefault(f, []).append(i)
+    links = [(m[0], i) for m in by_print.values() for i in m]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 11 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            links.append((i, j))
+    want = closure(range(len(texts)), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (60000, 40):
+        got = simhash.near_duplicates(df, words=5, budget=11, similarity=0.8, cell_rows=rows).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_similar_odd_rows(spark, odd_docs):
+    kept = simhash.deduplicate(odd_docs, words=5, budget=11, similarity=0.8)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted([1, 3, 5, 5, 7, 8])
+    assert simhash.deduplicate(odd_docs.limit(0), words=5, budget=11, similarity=0.8).collect() == []
+
+
 def test_vectors_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = []
