@@ -51,14 +51,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade(read(spark, sf_dir, "documents"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_line_dedup(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lines.rewrite(docs)
+    out = lines.rewrite(docs, **options)
     return out.select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 
+def op6_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of repeated passages, as the pipeline's stage removes them."""
+    return op6_line_dedup(spark, sf_dir, passages=True)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, budget=3)
 
@@ -89,7 +94,7 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.rewrite(docs)
+    out = lines.rewrite(docs, passages=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -131,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_quality_classifier, op4_sentencepiece, op5_quality_rules,
-        op6_line_dedup, op7_simhash, op8_url_filters, op9_substring_dedup, op10_mixing,
+        op6_line_dedup, op6_line_passages, op7_simhash, op8_url_filters, op9_substring_dedup, op10_mixing,
     )
 }
 
@@ -199,6 +204,21 @@ SELECT d.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIG
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_OP6_PASSAGES = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, i, l[i] AS line FROM d, unnest(range(1, len(l) + 1)) AS t(i)),
+pair AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS body FROM d, unnest(range(1, len(l))) AS t(i)),
+traced AS (SELECT *, first_value(doc_id) OVER w AS src_doc, first_value(i) OVER w AS src_i FROM pair WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM traced, unnest([0, 1]) AS t(j)
+  WHERE (src_doc <> doc_id OR src_i <> i) AND NOT (j = 0 AND src_doc = doc_id AND src_i = i - 1)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, (coalesce(len(d.l), 0) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _OP8 = r"""
 WITH u AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -235,6 +255,7 @@ ORACLE_SQL = {
     "op1_embedding_near_dedup": _OP1,
     "op5_quality_rules": _OP5,
     "op6_line_dedup": _OP6,
+    "op6_line_passages": _OP6_PASSAGES,
     "op8_url_filters": _OP8,
     "op9_substring_dedup": _OP9,
 }

@@ -4,6 +4,10 @@ A rolling hash over the last two line hashes says where a chunk of lines ends,
 so boundaries depend on nearby lines alone and find their place again after an
 insertion. Chunks of two or more lines that occur more than once in the corpus
 are removed but for their first occurrence, after a comparison of their bytes.
+
+Chunks miss the head and tail of a shared passage, and most short passages. With
+`passages`, every two adjacent lines are a chunk instead: a line goes if a chunk
+over it has an earlier occurrence, so all lines of repeated passages are found.
 """
 
 from __future__ import annotations
@@ -39,16 +43,20 @@ def chunks(text: bytes, modulus: int = 4) -> list[list[bytes]]:
     return out
 
 
-def _hash(chunk: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b"\n".join(chunk))
+def _bodies(text: bytes, modulus: int, passages: bool) -> list[tuple[int, bytes]]:
+    """(number, bytes) of each chunk of two or more lines; with `passages`, of every two adjacent lines, by the first one's number."""
+    if passages:
+        x = text.split(b"\n")
+        return [(j, b"\n".join(pair)) for j, pair in enumerate(zip(x, x[1:]))]
+    return [(j, b"\n".join(c)) for j, c in enumerate(chunks(text, modulus)) if len(c) > 1]
 
 
-def _removed(df: DataFrame, modulus: int, max_filter_bits: int) -> DataFrame:
-    """(doc, th, at): chunks to remove, by their number in the text. df: doc, th, text."""
+def _removed(df: DataFrame, modulus: int, max_filter_bits: int, passages: bool) -> DataFrame:
+    """(doc, th, at): chunks to remove, by their number in the text; with `passages`, lines. df: doc, th, text."""
 
     def count(batches):
         for batch in batches:
-            h = [_hash(c) for t in texts_of(batch.column(0)) for c in chunks(t, modulus) if len(c) > 1]
+            h = [xxhash.xxh64_intdigest(body) for t in texts_of(batch.column(0)) for _, body in _bodies(t, modulus, passages)]
             h, n = np.unique(np.array(h, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -61,12 +69,11 @@ def _removed(df: DataFrame, modulus: int, max_filter_bits: int) -> DataFrame:
             for a, b in slices(texts):
                 row, at, h, body = [], [], [], []
                 for k in range(a, b):
-                    for j, c in enumerate(chunks(texts[k], modulus)):
-                        if len(c) > 1:
-                            body.append(b"\n".join(c))
-                            row.append(k)
-                            at.append(j)
-                            h.append(xxhash.xxh64_intdigest(body[-1]))
+                    for j, c in _bodies(texts[k], modulus, passages):
+                        body.append(c)
+                        row.append(k)
+                        at.append(j)
+                        h.append(xxhash.xxh64_intdigest(c))
                 h = np.array(h, np.uint64).view(np.int64)
                 hit = pa.array(has_bit(shared.value, h))
                 row = pa.array(row, pa.int64()).filter(hit)
@@ -76,16 +83,23 @@ def _removed(df: DataFrame, modulus: int, max_filter_bits: int) -> DataFrame:
     found = df.select("doc", "th", "text").mapInArrow(again, "doc long, th long, at int, h long, body binary")
     me = F.struct("doc", "th", "at")
     first = found.groupBy("h", "body").agg(F.min(me).alias("src"), F.count("*").alias("n")).where("n > 1").select("h", "body", "src")
-    return found.join(first, ["h", "body"]).where(me != F.col("src")).select("doc", "th", "at")
+    later = found.join(first, ["h", "body"]).where(me != F.col("src"))
+    if not passages:
+        return later.select("doc", "th", "at")
+    # two equal lines after the first occurrence's first line share its second line, which stays
+    own = F.col("src") == F.struct("doc", "th", (F.col("at") - 1).alias("at"))
+    return later.select("doc", "th", F.explode(F.when(own, F.array(F.col("at") + 1)).otherwise(F.array("at", F.col("at") + 1))).alias("at"))
 
 
 def rewrite(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, max_filter_bits: int = 1 << 27
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, max_filter_bits: int = 1 << 27, passages: bool = False
 ) -> DataFrame:
     """The columns of `df` with the text rewritten, then __n_lines and __n_removed (longs).
 
     Of each multi-line chunk that occurs more than once, the occurrence with
-    the smallest id (then text hash, then place) stays. A null text stays null
+    the smallest id (then text hash, then place) stays. With `passages`, two
+    adjacent lines go wherever they occurred before in that order (but for what
+    they share with that first occurrence). A null text stays null
     and has no lines; an empty text is one empty line. Rows of one id and equal
     text are one document: they lose the same lines. A null id counts as the
     greatest. Empty table: empty result. Texts are read whole. Other columns
@@ -94,7 +108,7 @@ def rewrite(
     tune(df.sparkSession)
     t = F.col(text_col).cast("string")
     keys = {"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(t)}
-    gone = _removed(df.select(keys["__doc"].alias("doc"), keys["__th"].alias("th"), t.alias("text")), modulus, max_filter_bits)
+    gone = _removed(df.select(keys["__doc"].alias("doc"), keys["__th"].alias("th"), t.alias("text")), modulus, max_filter_bits, passages)
     gone = gone.groupBy("doc", "th").agg(F.collect_set("at").alias("__gone")).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "__gone")
     names = df.columns
     joined = df.withColumns(keys).join(gone, ["__doc", "__th"], "left").select(*[F.col(f"`{c}`") for c in names], "__gone")
@@ -108,7 +122,8 @@ def rewrite(
                 n_lines.append(lines)
                 if gone:
                     drop = set(gone)
-                    kept = [x for j, c in enumerate(chunks(text, modulus)) if j not in drop for x in c]
+                    parts = [[x] for x in text.split(b"\n")] if passages else chunks(text, modulus)
+                    kept = [x for j, c in enumerate(parts) if j not in drop for x in c]
                     n_removed.append(lines - len(kept))
                     text = b"\n".join(kept)
                 else:

@@ -166,3 +166,25 @@ def test_unigram_model_by_hand():
 def test_word_pattern_is_the_contract():
     s = "".join(map(chr, range(1, 300))) + "\u2003x"
     assert [w.decode() for w in s.encode().split()] == re.findall(r"[^\x20\x09-\x0D]+", s)
+
+
+def test_line_dedup_passages_against_brute_force(spark):
+    import random
+
+    from plumbago.llm import entries
+
+    r = random.Random(3)
+    shared = [[f"shared {k} line {i}" for i in range(n)] for k, n in enumerate([2, 3, 5, 8])]
+    texts = [[f"own {d} {i}" for i in range(r.randrange(3))] + r.choice(shared) + [f"end {d}"] * r.randrange(4) for d in range(40)]
+    df = spark.createDataFrame([(d, "\n".join(x), 0) for d, x in enumerate(texts)], "doc_id long, text string, n_chars long")
+    seen, want = {}, {}
+    for d, x in enumerate(texts):
+        gone = set()
+        for i, pair in enumerate(zip(x, x[1:])):
+            src = seen.setdefault(pair, (d, i))
+            if src != (d, i):
+                gone |= {i + 1} if src == (d, i - 1) else {i, i + 1}
+        want[d] = "\n".join(y for i, y in enumerate(x) if i not in gone)
+    got = {x.doc_id: x.text for x in entries.stage_line_dedup(spark, df, "").collect()}
+    assert got == want
+    assert all("\n".join(got.values()).count(f"{p[0]}\n{p[1]}") <= 1 for p in shared)
