@@ -99,7 +99,7 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs, words=5, budget=11, similarity=0.8, cell_rows=60000)
+    return simhash.deduplicate(docs, words=5, budget=11, similarity=0.8, cell_rows=60000, exact=True)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

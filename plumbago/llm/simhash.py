@@ -18,11 +18,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, table, tune
+from .common import bit_table, has_bit, per_text, slices, table, texts_of, tune
 from .graph import components, union
 
 FULL = (1 << 64) - 1
@@ -292,16 +293,87 @@ def similar_links(classes: DataFrame, df: DataFrame, *, words: int, budget: int,
     return found if found is not None else classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
 
+SKETCH = 1 << 20
+
+
+def _prefix(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of distinct shingles, those that come first by (count in the sketch, hash): two sets of the similarity share one of them."""
+    h = h[np.lexsort((h, counts[h & np.uint64(SKETCH - 1)]))]
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def exact_links(docs: DataFrame, df: DataFrame, found: DataFrame, *, words: int, similarity: float, max_filter_bits: int = 1 << 27) -> DataFrame:
+    """Links (a, b) of fingerprints of all texts of Jaccard similarity >= `similarity` that `found` doesn't link, at any distance.
+
+    Prefix-filtered join: shingles are ordered by a bounded sketch of their
+    counts, rarest first, and pairs that share a shingle of their prefixes are
+    verified. Only texts of different components of `found` are paired. docs:
+    fp, th; df: th, text.
+    """
+    of = docs.select("fp", "th").distinct().join(components(found).select(F.col("node").alias("fp"), "component"), "fp", "left")
+    of = table(of.withColumn("component", F.coalesce("component", "fp")))
+
+    def sketch(batches):
+        sums = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                h = np.unique(shingle_hashes(t, words))
+                np.add.at(sums, h & np.uint64(SKETCH - 1), 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["slot", "n"])
+
+    got = df.select("text").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts = np.zeros(SKETCH, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    order = df.sparkSession.sparkContext.broadcast(counts)
+
+    def count(batches):
+        for batch in batches:
+            h = [_prefix(np.unique(shingle_hashes(t, words)), order.value, similarity) for t in set(texts_of(batch.column(0))) if t]
+            h, n = np.unique(np.concatenate(h) if h else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    repeated = df.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    shared = df.sparkSession.sparkContext.broadcast(bit_table(table(repeated), max_filter_bits))
+
+    def again(batches):
+        for batch in batches:
+            th, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
+            for a, b in slices(texts):
+                cols = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+                for k in range(a, b):
+                    h = np.unique(shingle_hashes(texts[k], words))
+                    if len(h):
+                        mine = _prefix(h, order.value, similarity).view(np.int64)
+                        mine = mine[has_bit(shared.value, mine)]
+                        for c, v in zip(cols, (mine, np.full(len(mine), th[k]), np.full(len(mine), len(h)))):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "th", "n"])
+
+    rows = df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long").distinct()
+    rows = table(rows.join(of.select("th", "component"), "th"))
+    mixed = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+    rows = table(rows.join(mixed, "h"))
+    x, y = rows.alias("x"), rows.alias("y")
+    near = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - 1e-9
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.th") < F.col("y.th")) & (F.col("x.component") != F.col("y.component")) & near)
+    pairs = table(pairs.select(F.col("x.th").alias("a"), F.col("y.th").alias("b")).distinct())
+    similar = _verified(pairs, of.select(F.col("th").alias("fp"), "th"), df, words, similarity)
+    a, b = of.select(F.col("th").alias("a"), F.col("fp").alias("fa")), of.select(F.col("th").alias("b"), F.col("fp").alias("fb"))
+    return table(similar.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct())
+
+
 def near_duplicates(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, seed: int = 42, cell_rows: int = 20000,
-    similarity: float | None = None,
+    similarity: float | None = None, exact: bool = False,
 ) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (least id reachable).
 
     Documents link if their fingerprints differ in at most `budget` bits and,
     where `similarity` is given, their sets of shingles have at least that
     Jaccard similarity (equal fingerprints always link; the text of the least
-    hash stands for them). A null
+    hash stands for them). With `exact`, all texts of that similarity link, at
+    any distance: an exact join adds the links between components. A null
     or empty text has fingerprint zero and links like any other. Equal
     fingerprints are one class: copies meet once. Repeated ids are rows of their
     own with the same id; a null id never names a component unless all its
@@ -317,6 +389,8 @@ def near_duplicates(
         found = links(classes, budget, cell_rows)
     else:
         found = similar_links(classes, base.select("th", "text"), words=words, budget=budget, similarity=similarity, cell_rows=cell_rows)
+        if exact:
+            found = found.union(exact_links(docs, base.select("th", "text"), found, words=words, similarity=similarity))
     comp = components(found)
     of = classes.select("fp", "low").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))

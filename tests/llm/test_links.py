@@ -140,3 +140,16 @@ def test_vectors_brute_force(spark):
                 assert (got[i].n_links, got[i].component_id, got[i].kept) == (n[i], comp[i], comp[i] == i), i
         assert got[None].n_links == n[len(rows) - 1] and got[None].component_id == 0 and not got[None].kept
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_similar_documents_beyond_the_budget(spark):
+    rng = random.Random(5)
+    texts = []
+    for g in range(150):
+        w = [f"g{g}w{rng.randrange(10**6)}" for _ in range(50)]
+        texts += [" ".join(w), " ".join([*w[:25], "other", *w[26:]])]
+    far = [g for g in range(150) if (simhash.fingerprint(texts[2 * g].encode(), 5) ^ simhash.fingerprint(texts[2 * g + 1].encode(), 5)).bit_count() > 11]
+    assert far
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(df, words=5, budget=11, similarity=0.8, exact=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(300)}
