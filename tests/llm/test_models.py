@@ -88,3 +88,11 @@ def test_pipeline_is_its_stages(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "sentencepiece"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_all_labelled_rows_are_counted(spark):
+    n = 250_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4000 == 0, "zyxw").otherwise("plain").alias("text"))
+    rows = toxicity.labelled_rows(docs, docs.select("doc_id", (F.col("doc_id") % 4000 == 0).cast("int").alias("toxic")))
+    assert rows.count() == n
+    assert {(r.text, r.toxic): r["count"] for r in rows.groupBy("text", "toxic").count().collect()} == {("zyxw", 1): 63, ("plain", 0): n - 63}
