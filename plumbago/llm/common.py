@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbago.runtime import scratch, ship
@@ -15,26 +16,48 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Texts are handled in slices of about so many bytes inside a task, so that a
 #: task's memory does not depend on how many rows an Arrow batch has.
 SLICE_BYTES = 1 << 20
-#: Rows of one Arrow batch between the JVM and Python.
+#: Rows and bytes of one Arrow batch between the JVM and Python, at most.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _MASK = (1 << 64) - 1
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, as texts are long and a batch is held in memory whole; the package on the workers."""
+    """The package on the workers, and Arrow batches bounded by rows and bytes, as a batch of long texts is held in memory whole."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts the lineage there."""
     spark = df.sparkSession
     path = scratch(spark, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has (letter case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str):
+    """The column of just that name, dots and all."""
+    from pyspark.sql import functions as F
+
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, as Python workers are used again by other jobs."""
+    pa.default_memory_pool().release_unused()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,29 +81,41 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def per_text(df: DataFrame, fn: Callable, out: str, *, text: str, keep: list[str]) -> DataFrame:
-    """Add columns that `fn(list of bytes) -> dict of lists or arrays` makes of each slice of texts.
+def text_udf(fn: Callable, out: str, spark: SparkSession):
+    """An Arrow function of a text column: a struct of what `fn(list of bytes) -> dict of lists or arrays` makes of each slice of texts.
 
-    One pass in Arrow batches; `keep` are passed on as they are, `out` is the
-    DDL of the new columns.
+    Only the texts go to Python and only the struct comes back; the other
+    columns of a row stay in the JVM.
     """
-    made = df.sparkSession.createDataFrame([], out).schema
-    schema = schema_with(df, keep, out)
-    names = made.names
-    arrow = [_arrow_type(f) for f in made]
-
-    def run(batches):
-        for batch in batches:
-            texts = texts_of(batch.column("__text"))
-            for a, b in slices(texts):
-                got = fn(texts[a:b])
-                cols = [batch.column(k).slice(a, b - a) for k in keep]
-                cols += [pa.array(got[n], t) for n, t in zip(names, arrow)]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, *names])
-
     from pyspark.sql import functions as F
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = spark.createDataFrame([], out).schema
+    arrow = [(f.name, _arrow_type(f)) for f in schema]
+    kind = pa.struct([pa.field(n, t) for n, t in arrow])
+
+    def run(column: pa.Array) -> pa.Array:
+        texts, parts = texts_of(column), []
+        for a, b in slices(texts):
+            got = fn(texts[a:b])
+            parts.append(pa.StructArray.from_arrays([pa.array(got[n], t) for n, t in arrow], [n for n, _ in arrow]))
+        out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+        give_back()
+        return out
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, schema)
+
+
+def with_text(df: DataFrame, fn: Callable, out: str, *, text: str, name: str) -> DataFrame:
+    """df and a struct column `name` of what `fn` makes of each text; see text_udf."""
+    return df.withColumn(name, text_udf(fn, out, df.sparkSession)(named(text).cast("string")))
+
+
+def per_text(df: DataFrame, fn: Callable, out: str, *, text: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` of df, then those that `fn` makes of each text (DDL `out`); see text_udf."""
+    made = df.sparkSession.createDataFrame([], out).schema.names
+    name = fresh(df, "__made")
+    return with_text(df, fn, out, text=text, name=name).select(*[named(k) for k in keep], *[named(name)[n].alias(n) for n in made])
 
 
 def schema_with(df: DataFrame, keep: list[str], ddl: str):
@@ -136,22 +171,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_rng = np.random.default_rng(20240521)
-BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-BYTE_HASH = Rolling(0x9E3779B97F4A7C15)
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[list(SPACES)] = True
+def byte_class(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+IS_SPACE = byte_class(SPACES)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit hash of each byte span: eight bytes at a time, multiplied and shifted in turn, so that no two spans' differences cancel."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) ^ np.uint64(seed))
+    todo = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at = 0
+    while len(todo):
+        left = size[todo] - at
+        chunk = eight[starts[todo] + at]
+        part = left < 8
+        chunk[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        x = (h[todo] ^ chunk) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        h[todo] = x * np.uint64(0xC4CEB9FE1A85EC53)
+        at += 8
+        todo = todo[size[todo] > at]
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return mix(h)
 
 
 class Words:
-    """Words of a slice of texts: byte spans, 64-bit hashes, and each text's range of words."""
+    """Words of a slice of texts: byte spans, 64-bit hashes, and each text's range of words.
+
+    `apart` says of each byte whether it separates words; the line break always does.
+    """
 
-    def __init__(self, texts: list[bytes], hashes: bool = True):
+    def __init__(self, texts: list[bytes], hashes: bool = True, apart: np.ndarray = IS_SPACE):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_ends = np.cumsum(sizes)
         self.text_starts = self.text_ends - sizes
-        space = IS_SPACE[self.data]
+        space = apart[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.starts, self.text_starts)
@@ -159,7 +225,7 @@ class Words:
         self.counts = self.last - self.first
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         if hashes:
-            self.hash = BYTE_HASH.spans(BYTE_VALUES[self.data], self.starts, self.ends)
+            self.hash = span_hashes(self.data, self.starts, self.ends)
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -188,3 +254,16 @@ def bit_table(hashes: DataFrame, max_bits: int) -> np.ndarray:
 def has_bit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     slot = h & (len(bitmap) * 64 - 1)
     return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def bit_flag(bitmap: np.ndarray, spark: SparkSession):
+    """An Arrow function of a column of longs: whether the bit table has the number's bit."""
+    from pyspark.sql import functions as F
+
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(has_bit(shared.value, column.to_numpy(zero_copy_only=False)))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, lines, mixing, pieces, quality, rules, simhash, substrings, toxicity, urls
-from .common import read, table
+from .common import fresh, named, read, table, tune, with_text
 
 #: The tokenizer file that the queries use; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,16 +22,15 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), 0.98)
 
 
-def toxicity_scores(docs: DataFrame, sf_dir: str, keep: list[str]) -> DataFrame:
-    """Scores of `docs`, learnt from the rows of documents and labels that aren't held out."""
-    spark = docs.sparkSession
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learnt from the rows of documents and labels that aren't held out."""
     labels = read(spark, sf_dir, "labels").where(F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
-    model = toxicity.fit(toxicity.labelled_rows(read(spark, sf_dir, "documents"), labels))
-    return toxicity.score(docs, model, keep=keep, threshold=0.7)
+    return toxicity.fit(toxicity.labelled_rows(read(spark, sf_dir, "documents"), labels))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity_scores(read(spark, sf_dir, "documents"), sf_dir, ["doc_id"])
+    """One row per document; a null id is never held out. Texts, nulls and repeated rows: see toxicity.score."""
+    out = toxicity.score(read(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), keep=["doc_id"], threshold=0.7)
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -89,28 +88,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity_scores(docs, sf_dir, docs.columns)
-    return scored.where("predicted = 0").select(docs.columns)
+    """The rows whose text the model of toxicity_model doesn't reject.
+
+    Null and empty texts stay unless a text without words is rejected. Every
+    row is judged on its own. Columns pass through, whatever their names; an
+    empty table gives an empty one.
+    """
+    tune(spark)
+    name = fresh(docs, "__judged")
+    judged = with_text(docs, *toxicity.scorer(docs, toxicity_model(spark, sf_dir), 0.7), text="text", name=name)
+    return judged.where(named(name)["predicted"] == 0).select(*map(named, docs.columns))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.rewrite(docs, passages=True)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All rows, without the lines of repeated passages, n_chars (if there) counted anew; see lines.rewrite."""
+    return lines.deduplicate(docs, passages=True, length_col="n_chars")
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs, words=5, budget=11, similarity=0.8, cell_rows=60000, exact=True)
+    """One document of each group of five-word shingle similarity 0.8 or more; see simhash.deduplicate."""
+    return simhash.deduplicate(docs, words=5, budget=3, similarity=0.8)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies say; documents at rate 0 copies go."""
+    """Each document as often as its copies say; documents at rate 0 copies go.
+
+    Rates are those of mixing.fit for these docs and the labels table. Columns
+    pass through, whatever their names; an empty table gives an empty one.
+    """
     mixture = mixing.fit(docs, read(spark, sf_dir, "labels"))
-    out = mixing.apply(docs, mixture, keep=docs.columns)
-    many = out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return many.select(docs.columns)
+    name = fresh(docs, "__mixed")
+    many = mixing.rated(docs, mixture, name).where(named(name)["copies"] > 0)
+    again = fresh(many, "__copy")
+    return many.select(*map(named, docs.columns), F.explode(F.array_repeat(F.lit(0), named(name)["copies"])).alias(again)).drop(again)
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row; see pieces.encode."""
     return pieces.encode(docs, PIECES)
 
 
@@ -124,6 +138,7 @@ STAGES = [
 
 
 def run_stages(spark: SparkSession, sf_dir: str, stages=STAGES) -> DataFrame:
+    """The stages one after the other, from documents; each result but the last is a table in the shared folder."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)

@@ -6,25 +6,28 @@ domain tokens sum_d r_d n_d p_dk and the targets, by projected gradient from
 r = 1. A document's gradient is its posterior times one vector of K numbers, so
 a rate is a function of its posterior and of the vectors so far: every step is
 one distributed sum, and no rates are stored or shuffled. The gap is measured
-in the metric of the Gram matrix of the memberships whose rate is positive,
-which makes the step size 1.
+in the metric of the Gram matrix of the memberships whose rate is positive;
+each pass tries several step lengths at once and keeps the best. The number of
+passes is fixed, so the work is in proportion to the table.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
-from .common import schema_with, table
+from .common import fresh, named, table, text_udf, tune
 
 #: Target shares of expected tokens for the domains of the labels table.
 TARGETS = {"plain": 0.90, "low": 0.08, "toxic": 0.02}
+#: Passes over the posteriors, and the step lengths that each one tries.
+PASSES, LENGTHS = 6, (1.0, 0.5, 0.125)
 
 
 @dataclass
@@ -33,6 +36,7 @@ class Mixture:
     lexical: toxicity.Model
     model: quality.Model | None
     steps: list[np.ndarray] = field(default_factory=list)
+    gaps: list[float] = field(default_factory=list)  # largest gap of a domain before each pass and at the end, as a share of all target tokens
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         if self.model is None:
@@ -46,9 +50,26 @@ class Mixture:
             r = np.maximum(0.0, r - p @ g)
         return r
 
+    def rate(self, p: list[Column]) -> Column:
+        """The same as an expression of the posterior's columns."""
+        r = F.lit(1.0)
+        for g in self.steps:
+            r = _stepped(r, p, g)
+        return r
+
+    @property
+    def gap(self) -> float:
+        """What is left of the largest gap; 0 without tokens."""
+        return self.gaps[-1] if self.gaps else 0.0
+
+
+def _stepped(r: Column, p: list[Column], g: np.ndarray) -> Column:
+    back = sum((c * float(x) for c, x in zip(p, g)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), r - back)
 
-def _inputs(docs: DataFrame, lexical: toxicity.Model, keep: list[str], text_col: str) -> DataFrame:
-    return quality.with_statistics(docs, text_col=text_col, keep=keep, more=lambda texts: np.clip(lexical.difference(texts), -1, 1))
+
+def _lexical(model: toxicity.Model):
+    return lambda texts: np.clip(model.difference(texts), -1, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> Mixture:
@@ -65,41 +86,61 @@ def fit_with_inputs(
     text_col: str = "text",
     anchor: str = "plain",
     anchor_rate: float = 1.1,
-    steps: int = 30,
-    tolerance: float = 1e-4,
+    passes: int = PASSES,
+    tolerance: float = 1e-3,
 ) -> tuple[Mixture, DataFrame]:
-    """Classifier and rates, and the classifier's inputs (id, n_words, x) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain.
+    """Classifier and rates, and the posteriors (id, n_tokens, p0, p1, ...) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain.
 
     The token budget is set so that the anchor domain's expected tokens, times
-    `anchor_rate`, are its target share. Rows whose two labels are null are no
-    labelled rows. Without labels all posteriors are equal.
+    `anchor_rate`, are its target share. Rows whose two labels are null and null
+    ids are no labelled rows; of several labels of one id, toxic and low hold.
+    Repeated rows count each. Without labels all posteriors are equal; without
+    tokens (an empty table) all rates are 1. A gap over `tolerance` after the
+    passes, as where targets can't be reached, is in Mixture.gap and a warning.
     """
-    labelled = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col(id_col).alias("id")).agg(
+    tune(docs.sparkSession)
+    known = named("quality").isNotNull() | named("toxic").isNotNull()
+    labelled = labels.where(named(id_col).isNotNull() & known).groupBy(named(id_col).alias("id")).agg(
         F.coalesce(F.max("toxic"), F.lit(0)).cast("int").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).cast("int").alias("quality")
     )
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     lexical = toxicity.fit(toxicity.labelled_rows(base, labelled, id_col="id"))
     domains = list(targets)
     mixture = Mixture(domains, lexical, None)
-    stats = table(_inputs(base, lexical, ["id"], "text"))
+    stats = table(quality.with_statistics(base, text_col="text", keep=["id"], more=_lexical(lexical)))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("plain")
     y = F.array(*[(domain == d).cast("double") for d in domains])
     mixture.model = quality.fit(table(stats.join(labelled, "id").select("x", y.alias("y"))), len(domains))
     soft = table(_posteriors(stats, mixture))
-    want = None
-    for _ in range(steps):
-        tokens, gram, total = _sums(soft, mixture)
-        if not total:
-            break
-        if want is None:
-            k = domains.index(anchor)
-            share = np.array([targets[d] for d in domains])
-            want = share / share.sum() * anchor_rate * tokens[k] / (share[k] / share.sum())
-        gap = tokens - want
-        if np.abs(gap).max() <= tolerance * want.sum():
-            break
-        mixture.steps.append(np.linalg.solve(gram + 1e-9 * total * np.eye(len(domains)), gap))
-    return mixture, stats
+    project(soft, mixture, targets, anchor, anchor_rate, passes)
+    if mixture.gap > tolerance:
+        warnings.warn(f"mixing: a gap of {mixture.gap:.2g} of the tokens is left", stacklevel=2)
+    return mixture, soft
+
+
+def project(soft: DataFrame, mixture: Mixture, targets: dict[str, float], anchor: str, anchor_rate: float, passes: int) -> None:
+    """Projected gradient over a table of posteriors (n_tokens, p0, p1, ...): sets the mixture's steps and gaps."""
+    k = len(mixture.domains)
+    p = [F.col(f"p{i}") for i in range(k)]
+    (tokens, gram), total = _sums(soft, p, [F.lit(1.0)])
+    if not total:
+        return
+    share = np.array([targets[d] for d in mixture.domains])
+    at = mixture.domains.index(anchor)
+    want = share * anchor_rate * tokens[at] / share[at]
+    ridge = 1e-9 * total * np.eye(k)
+    metric = np.linalg.inv(gram + ridge)
+    cost = lambda t: float((t - want) @ metric @ (t - want))
+    mixture.gaps.append(float(np.abs(tokens - want).max() / want.sum()))
+    for _ in range(passes):
+        g = np.linalg.solve(gram + ridge, tokens - want)
+        r = mixture.rate(p)
+        *tried, _ = _sums(soft, p, [_stepped(r, p, a * g) for a in LENGTHS])
+        best = min(range(len(LENGTHS)), key=lambda i: cost(tried[i][0]))
+        if cost(tried[best][0]) < cost(tokens):
+            mixture.steps.append(LENGTHS[best] * g)
+            tokens, gram = tried[best]
+        mixture.gaps.append(float(np.abs(tokens - want).max() / want.sum()))
 
 
 def _posteriors(stats: DataFrame, mixture: Mixture) -> DataFrame:
@@ -107,38 +148,69 @@ def _posteriors(stats: DataFrame, mixture: Mixture) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 p = mixture.posterior(np.stack(pdf["x"]))
-                yield pd.DataFrame({"n": pdf["n_words"].astype(float)} | {f"p{k}": p[:, k] for k in range(p.shape[1])})
+                yield pd.DataFrame({"id": pdf["id"], "n_tokens": pdf["n_words"]} | {f"p{k}": p[:, k] for k in range(p.shape[1])})
+
+    schema = stats.select("id").schema.add("n_tokens", "long")
+    for k in range(len(mixture.domains)):
+        schema = schema.add(f"p{k}", "double")
+    return stats.select("id", "n_words", "x").mapInPandas(run, schema)
+
+
+def _sums(soft: DataFrame, p: list[Column], rates: list[Column]) -> list:
+    """For each rate, the expected tokens of each domain and the Gram matrix of memberships at positive rates; then all tokens. One pass."""
+    k = len(p)
+    names = [f"r{i}" for i in range(len(rates))]
+    rated = soft.select("n_tokens", *p, *[r.alias(n) for n, r in zip(names, rates)])
+    aggs = []
+    for name in names:
+        aggs += [F.sum(F.col("n_tokens") * F.col(name) * p[i]) for i in range(k)]
+        aggs += [F.sum(F.when(F.col(name) > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]
+    x = [v or 0.0 for v in rated.agg(*aggs, F.sum("n_tokens")).first()]
+    out, each = [], k + k * (k + 1) // 2
+    for s in range(0, len(x) - 1, each):
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = x[s + k : s + each]
+        out.append((np.array(x[s : s + k]), gram + np.triu(gram, 1).T))
+    return [*out, float(x[-1])]
 
-    cols = ", ".join(f"p{k} double" for k in range(len(mixture.domains)))
-    return stats.select("n_words", "x").mapInPandas(run, f"n double, {cols}")
 
+def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Fit, and the result of apply for the same documents (id kept), in one pass over their texts.
 
-def _sums(soft: DataFrame, mixture: Mixture) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected tokens of each domain at the present rates, Gram matrix of memberships at positive rates, all tokens."""
-    k = len(mixture.domains)
-    rated = soft.withColumn("r", _rate(mixture) if mixture.steps else F.lit(1.0))
-    aggs = [F.sum(F.col("n") * F.col("r") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]
-    aggs += [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    x = rated.agg(*aggs, F.sum("n").alias("n")).first()
-    gram = np.array([[x[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    return np.array([x[f"t{i}"] or 0.0 for i in range(k)]), gram, x["n"] or 0.0
+    Empty table: empty result. See fit_with_inputs for nulls and repeated rows,
+    apply for the columns.
+    """
+    mixture, soft = fit_with_inputs(docs, labels, id_col=id_col, **options)
+    p = [F.col(f"p{i}") for i in range(len(mixture.domains))]
+    rate = mixture.rate(p)
+    return soft.select(
+        F.col("id").alias(id_col), "n_tokens", *[c.alias(f"p_{d}") for c, d in zip(p, mixture.domains)], rate.alias("rate"), _copies(rate, F.col("id")).alias("copies")
+    )
 
 
-def _rate(mixture: Mixture):
-    names = [f"p{i}" for i in range(len(mixture.domains))]
+def _copies(rate: Column, id_: Column) -> Column:
+    u = F.pmod(F.xxhash64(id_, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(rate + u).cast("int")
 
-    @F.pandas_udf("double")
-    def rate(*p: pd.Series) -> pd.Series:
-        return pd.Series(mixture.rates(np.stack([c.to_numpy() for c in p], axis=1)))
 
-    return rate(*names)
+def rated(docs: DataFrame, mixture: Mixture, name: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs and a struct column `name`: n_tokens, p_<domain>, rate, copies; see apply."""
+    shared = docs.sparkSession.sparkContext.broadcast(mixture)
+    more = _lexical(mixture.lexical)
 
+    def run(texts):
+        x = quality.statistics(texts)
+        n = np.rint(np.expm1(x[:, 0])).astype(np.int64)
+        return {"n": n, "p": list(shared.value.posterior(np.concatenate([x, more(texts)[:, None]], axis=1)))}
 
-def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Fit, and the result of apply for the same documents (id kept), in one pass over their texts."""
-    mixture, inputs = fit_with_inputs(docs, labels, id_col=id_col, **options)
-    x = inputs.select(F.col("id").alias(id_col), F.col("id").alias("__id"), "n_words", "x")
-    return rated(x, mixture, [id_col])
+    tune(docs.sparkSession)
+    made = fresh(docs, "__made")
+    with_p = docs.withColumn(made, text_udf(run, "n long, p array<double>", docs.sparkSession)(named(text_col).cast("string")))
+    p = [named(made)["p"][i] for i in range(len(mixture.domains))]
+    with_p = with_p.withColumn(name, F.struct(
+        named(made)["n"].alias("n_tokens"), *[c.alias(f"p_{d}") for c, d in zip(p, mixture.domains)], mixture.rate(p).alias("rate"), _copies(mixture.rate(p), named(id_col)).alias("copies")
+    ))
+    return with_p.drop(made)
 
 
 def apply(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str]) -> DataFrame:
@@ -147,26 +219,7 @@ def apply(docs: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col
     copies is the rate rounded up or down by a hash of the id, so that it is
     the rate on average. A null or empty text has no tokens, counts nothing and
     gets the rate of its posterior. Repeated rows get equal rates and copies.
+    Empty table: empty result. Columns of docs may have any names.
     """
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    return rated(_inputs(inputs, mixture.lexical, [*keep, "__id"], "__t"), mixture, keep)
-
-
-def rated(x: DataFrame, mixture: Mixture, keep: list[str]) -> DataFrame:
-    """As apply, from rows that have `keep`, __id, n_words and x already."""
-    cols = [f"p_{d}" for d in mixture.domains]
-
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            v = batch.column(names.index("x"))
-            v = np.stack(v.to_pylist()) if len(v) else np.zeros((0, len(quality.STATS) + 1))
-            p = mixture.posterior(v)
-            made = [batch.column(names.index("n_words")), *[pa.array(p[:, k]) for k in range(len(cols))], pa.array(mixture.rates(p))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep) + 1)], *made], [*keep, "__id", "n_tokens", *cols, "rate"])
-
-    made = "n_tokens long, " + ", ".join(f"{c} double" for c in [*cols, "rate"])
-    schema = schema_with(x, [*keep, "__id"], made)
-    out = x.mapInArrow(run, schema)
-    u = F.pmod(F.xxhash64(F.col("__id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("copies", F.floor(F.col("rate") + u).cast("int")).drop("__id")
+    name = fresh(docs, "__mixed")
+    return rated(docs, mixture, name, id_col=id_col, text_col=text_col).select(*[named(c) for c in keep], f"{name}.*")

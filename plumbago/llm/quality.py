@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, per_text, schema_with, table, tune
+from .common import Words, named, per_text, schema_with, table, tune
 
 STATS = [
     "log_words", "word_bytes", "symbols", "upper", "digits", "beyond_ascii", "breaks", "punctuation",
@@ -132,15 +132,21 @@ def fit(rows: DataFrame, n_targets: int, *, n_features: int = 160, width: float
     return model
 
 
-def isotonic(x: np.ndarray, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators over bins in ascending x: (x, value) knots that never fall."""
+def isotonic(x: np.ndarray, n: np.ndarray, ones: np.ndarray, ends: bool = False) -> np.ndarray:
+    """Pool adjacent violators over bins in ascending x: (x, value) knots that never fall.
+
+    A block's knot is its mean x; with `ends`, a block has knots at its first and last x.
+    """
     blocks: list[list[float]] = []
     for p, m, o in zip(x, n, ones):
-        blocks.append([m, o, p * m])
+        blocks.append([m, o, p * m, p, p])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             last = blocks.pop()
-            blocks[-1] = [s + t for s, t in zip(blocks[-1], last)]
-    return np.array([[c / m for m, _, c in blocks], [o / m for m, o, _ in blocks]])
+            first = blocks[-1]
+            blocks[-1] = [first[0] + last[0], first[1] + last[1], first[2] + last[2], first[3], last[4]]
+    if ends:
+        return np.array([[p for *_, a, b in blocks for p in (a, b)], [o / m for m, o, *_ in blocks for _ in (0, 1)]])
+    return np.array([[c / m for m, _, c, *_ in blocks], [o / m for m, o, *_ in blocks]])
 
 
 def calibrate(rows: DataFrame, model: Model, bins: int = 1001) -> Model:
@@ -179,11 +185,14 @@ def classify(
     A null or empty text has all statistics zero and gets that point's score.
     Repeated rows and null ids are scored on their own; texts are read whole.
     Empty tables: an empty result, or score 0 where nothing can be learnt.
+    Every fourth labelled row by its id's hash serves the calibration only (all
+    rows serve for both where a part would be empty).
     """
-    stats = table(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keep=["id"]))
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("one"))
-    train = table(stats.join(one, "id").select("x", F.array("one").alias("y")))
-    model = fit(train, 1)
+    stats = table(with_statistics(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), keep=["id"]))
+    one = labels.where(named(id_col).isNotNull() & named(label_col).isin(0, 1)).groupBy(named(id_col).alias("id")).agg(F.max(named(label_col)).cast("double").alias("one"))
+    train = table(stats.join(one, "id").select("x", F.array("one").alias("y"), (F.pmod(F.xxhash64("id", F.lit(29)), F.lit(4)) == 0).alias("later")))
+    parts = {r.later for r in train.select("later").distinct().collect()}
+    model = fit(train.where("NOT later") if len(parts) == 2 else train, 1)
     if model is not None:
-        calibrate(train, model)
+        calibrate(train.where("later") if len(parts) == 2 else train, model)
     return score(stats, model, keep=["id"], threshold=threshold).withColumnRenamed("id", id_col)

@@ -9,12 +9,18 @@ prefix differs in as many bits as the budget allows. In a task, node pairs are
 walked together level by level, differing bits are added up, and a pair is
 pruned when it exceeds the budget. Subtrees over `cell_rows` fingerprints are
 cut into blocks that meet pairwise.
+
+Where a similarity of the texts themselves is asked for, no budget of bits finds
+all pairs. The trie's links are then candidates that are verified by the sets of
+shingles, and a prefix-filtered join on rare shingles finds what is missing,
+exactly and at any distance.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, has_bit, per_text, slices, table, texts_of, tune
+from .common import Rolling, Words, bit_table, has_bit, named, per_text, slices, table, texts_of, tune
 from .graph import components, union
 
 FULL = (1 << 64) - 1
@@ -53,13 +59,12 @@ def of_hashes(h: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, also=()) -> DataFrame:
-    """(id, `also`, fp long, n distinct shingles) for each row; a null text has no words, and so fingerprint zero."""
+    """(id, `also`, fp long) for each row; a null text has no words, and so fingerprint zero."""
 
     def run(texts):
-        h = [shingle_hashes(t, words, seed) for t in texts]
-        return {"fp": np.array([of_hashes(x) for x in h], np.uint64).view(np.int64), "n": [len(np.unique(x)) for x in h]}
+        return {"fp": np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)}
 
-    return per_text(df, run, "fp long, n long", text=text_col, keep=[id_col, *also])
+    return per_text(df, run, "fp long", text=text_col, keep=[id_col, *also])
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, part: int, span: int, emit) -> None:
@@ -190,221 +195,182 @@ def links(fps: DataFrame, budget: int = 3, cell_rows: int = 20000) -> DataFrame:
     return _cells(fps.select("fp"), budget, cell_rows).groupBy("trie", "lo", "hi", "i", "j").applyInPandas(walk, "a long, b long")
 
 
-class _Nearest:
-    """Of pairs that arrive in pieces, the `most` nearest of each first end."""
-
-    def __init__(self, most: int):
-        self.most, self.more, self.rows, self.size = most, False, [], 0
-
-    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        self.rows.append((i, j, d))
-        self.size += len(i)
-        if self.size > 1 << 21:
-            self.rows = [self.kept()]
-            self.size = len(self.rows[0][0])
-
-    def kept(self) -> tuple[np.ndarray, ...]:
-        if not self.rows:
-            return (np.zeros(0, np.int64),) * 3
-        i, j, d = (np.concatenate(c) for c in zip(*self.rows))
-        order = np.lexsort((j, d, i))
-        i, j, d = i[order], j[order], d[order]
-        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        near = rank < self.most
-        self.more |= not near.all()
-        return i[near], j[near], d[near]
+SHINGLE = Rolling(0xA24BAED4963EE407)
+#: Slots of the sketch that orders shingles by how often they occur.
+SKETCH = 1 << 20
 
 
-def _candidates(fps: DataFrame, budget: int, cell_rows: int, similarity: float, most: int) -> DataFrame:
-    """(a, b, more): in each task, the `most` nearest partners of a fingerprint that are in another component and of like size.
+def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, size): the distinct shingles of a slice of texts, by text and hash, and each text's number of them.
 
-    fps: fp, n (shingles), component. `more` says that the task had further partners.
+    A-Z lower-cased; a text of fewer words has one shingle, the whole sequence; a text without words none.
     """
-    tries, part = _tries(budget)
-    span = 64 // tries
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
-        key = pdf["key"].to_numpy().view(np.uint64)
-        names, at = np.unique(key, return_index=True)
-        n, comp = pdf["n"].to_numpy()[at], pdf["component"].to_numpy()[at]
-        ia, ib = np.searchsorted(names, a), np.searchsorted(names, b)
-        found = _Nearest(most)
-
-        def emit(i, j):
-            i, j = ia[i], ib[j]
-            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-            if ok.any():
-                i, j = i[ok], j[ok]
-                found.add(i, j, np.bitwise_count(names[i] ^ names[j]))
-
-        trie_pairs(a, b, budget, part, span, emit)
-        i, j, _ = found.kept()
-        back = int(pdf["trie"].iloc[0]) * span
-        x, y = _turn_back(names[i], back), _turn_back(names[j], back)
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "more": found.more})
-
-    return _cells(fps, budget, cell_rows).groupBy("trie", "lo", "hi", "i", "j").applyInPandas(walk, "a long, b long, more boolean")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The rows of `pairs` (a, b: fingerprints) whose representatives' sets of shingles have that Jaccard similarity. df: th, text."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    want = ends.join(classes.select("fp", "th"), "fp")
-    texts = df.join(want.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-
-    def run(texts):
-        return {"set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]}
-
-    sets = table(per_text(texts, run, "set array<long>", text="text", keep=["th"]).join(want, "th").select("fp", "set"))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def similar_links(classes: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int) -> DataFrame:
-    """Links (a, b) between fingerprints within `budget` bits whose texts have Jaccard similarity >= `similarity`.
-
-    A group of near copies has very many pairs, so pairs come in rounds: each
-    fingerprint's nearest partners first, and in later rounds 16 times as many,
-    of those in other components than its own. The last round is one in which
-    no task had more partners than it gave, so no pair between components is
-    left unverified. classes: fp, th, n; df: th, text.
+    w = Words([t.lower() for t in texts])
+    at = np.arange(max(0, len(w.hash) - words + 1))
+    at = at[w.text[at] == w.text[at + words - 1]]
+    short = np.flatnonzero((w.counts > 0) & (w.counts < words))
+    starts, ends = np.concatenate([at, w.first[short]]), np.concatenate([at + words, w.last[short]])
+    text, h = np.concatenate([w.text[at], short]), SHINGLE.spans(w.hash, starts, ends)
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    text, h = text[new], h[new]
+    return text, h, np.bincount(text, minlength=len(texts))
+
+
+def prefixes(text: np.ndarray, h: np.ndarray, size: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each text's prefix: its rarest shingles by (count in the sketch, hash).
+
+    Two sets of that similarity share one of the first n - ceil(similarity n) + 1.
     """
-    found, most = None, 2
-    comp = None
-    while True:
-        named = classes.select("fp", "n")
-        if comp is not None:
-            named = named.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left")
-            named = table(named.withColumn("component", F.coalesce("component", "fp")))
-        else:
-            named = named.withColumn("component", F.col("fp"))
-        got = table(_candidates(named, budget, cell_rows, similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")))
-        more = got.agg(F.max("more")).first()[0]
-        if more is None:
-            break
-        new = table(_verified(got.select("a", "b"), classes, df, words, similarity))
-        found = new if found is None else found.union(new)
-        if not more:
-            break
-        comp, most = table(components(found)), most * 16
-    return found if found is not None else classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-
-
-SKETCH = 1 << 20
-
-
-def _prefix(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """Of distinct shingles, those that come first by (count in the sketch, hash): two sets of the similarity share one of them."""
-    h = h[np.lexsort((h, counts[h & np.uint64(SKETCH - 1)]))]
-    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+    order = np.lexsort((h, counts[h & np.uint64(SKETCH - 1)], text))
+    text, h = text[order], h[order]
+    rank = np.arange(len(h)) - (np.cumsum(size) - size)[text]
+    near = rank < (size - np.ceil(similarity * size - 1e-9) + 1)[text]
+    return text[near], h[near]
 
 
-def exact_links(docs: DataFrame, df: DataFrame, found: DataFrame, *, words: int, similarity: float, max_filter_bits: int = 1 << 27) -> DataFrame:
-    """Links (a, b) of fingerprints of all texts of Jaccard similarity >= `similarity` that `found` doesn't link, at any distance.
-
-    Prefix-filtered join: shingles are ordered by a bounded sketch of their
-    counts, rarest first, and pairs that share a shingle of their prefixes are
-    verified. Only texts of different components of `found` are paired. docs:
-    fp, th; df: th, text.
-    """
-    of = docs.select("fp", "th").distinct().join(components(found).select(F.col("node").alias("fp"), "component"), "fp", "left")
-    of = table(of.withColumn("component", F.coalesce("component", "fp")))
+def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bits: int) -> DataFrame:
+    """(h, th, n) as a table: prefix shingles that more than one row has, with their text and its number of shingles. df: th, text."""
+    sc = df.sparkSession.sparkContext
 
     def sketch(batches):
         sums = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for t in texts_of(batch.column(0)):
-                h = np.unique(shingle_hashes(t, words))
-                np.add.at(sums, h & np.uint64(SKETCH - 1), 1)
+            texts = texts_of(batch.column(0))
+            for a, b in slices(texts):
+                np.add.at(sums, shingle_sets(texts[a:b], words)[1] & np.uint64(SKETCH - 1), 1)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["slot", "n"])
 
     got = df.select("text").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
     counts = np.zeros(SKETCH, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    order = df.sparkSession.sparkContext.broadcast(counts)
+    order = sc.broadcast(counts)
 
     def count(batches):
         for batch in batches:
-            h = [_prefix(np.unique(shingle_hashes(t, words)), order.value, similarity) for t in set(texts_of(batch.column(0))) if t]
-            h, n = np.unique(np.concatenate(h) if h else np.zeros(0, np.uint64), return_counts=True)
+            found, texts = [np.zeros(0, np.uint64)], list({t for t in texts_of(batch.column(0)) if t})
+            for a, b in slices(texts):
+                found.append(prefixes(*shingle_sets(texts[a:b], words), order.value, similarity)[1])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     repeated = df.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    shared = df.sparkSession.sparkContext.broadcast(bit_table(table(repeated), max_filter_bits))
+    shared = sc.broadcast(bit_table(table(repeated), max_filter_bits))
 
     def again(batches):
         for batch in batches:
             th, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
             for a, b in slices(texts):
-                cols = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-                for k in range(a, b):
-                    h = np.unique(shingle_hashes(texts[k], words))
-                    if len(h):
-                        mine = _prefix(h, order.value, similarity).view(np.int64)
-                        mine = mine[has_bit(shared.value, mine)]
-                        for c, v in zip(cols, (mine, np.full(len(mine), th[k]), np.full(len(mine), len(h)))):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "th", "n"])
-
-    rows = df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long").distinct()
-    rows = table(rows.join(of.select("th", "component"), "th"))
-    mixed = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    rows = table(rows.join(mixed, "h"))
-    x, y = rows.alias("x"), rows.alias("y")
-    near = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - 1e-9
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.th") < F.col("y.th")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = table(pairs.select(F.col("x.th").alias("a"), F.col("y.th").alias("b")).distinct())
-    similar = _verified(pairs, of.select(F.col("th").alias("fp"), "th"), df, words, similarity)
-    a, b = of.select(F.col("th").alias("a"), F.col("fp").alias("fa")), of.select(F.col("th").alias("b"), F.col("fp").alias("fb"))
-    return table(similar.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct())
+                text, h, size = shingle_sets(texts[a:b], words)
+                text, h = prefixes(text, h, size, order.value, similarity)
+                hit = has_bit(shared.value, h.view(np.int64))
+                text, h = text[hit], h[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[a:b][text]), pa.array(size[text])], ["h", "th", "n"])
+
+    return table(df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long").distinct())
+
+
+def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(th, set) as a table: the shingles of the texts whose hash is in `wanted`. df: th, text."""
+
+    def run(texts):
+        _, h, size = shingle_sets(texts, words)
+        return {"set": np.split(h.view(np.int64), np.cumsum(size)[:-1])}
+
+    one = df.join(wanted.distinct(), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    return table(per_text(one, run, "set array<long>", text="text", keep=["th"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of `pairs` (a, b: text hashes) whose sets have that Jaccard similarity; two empty sets are equal."""
+    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int, max_filter_bits: int = 1 << 27) -> DataFrame:
+    """Links (a, b) between text hashes that connect all texts of Jaccard similarity >= `similarity`, and no others. texts: th, fp; df: th, text.
+
+    First the trie's links between fingerprints, verified. Then, in rounds, the
+    texts that share a shingle of their prefixes: of each shingle some texts are
+    hubs, which are compared with all the others that are in other components
+    and of like size, and are done with. So a group of copies is linked to its
+    hub without giving all its pairs, and no pair between components is left out.
+    """
+    stand = texts.groupBy("fp").agg(F.min("th").alias("th"))
+    near = links(stand, budget, cell_rows)
+    a, b = stand.select(F.col("fp").alias("a"), F.col("th").alias("ta")), stand.select(F.col("fp").alias("b"), F.col("th").alias("tb"))
+    pairs = near.join(a, "a").join(b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    equal = texts.join(stand.select("fp", F.col("th").alias("a")), "fp").where("th <> a").select("a", F.col("th").alias("b"))
+    pairs = table(pairs.union(equal).distinct())
+    rows = _shared_prefixes(df, words, similarity, max_filter_bits)
+    more = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    rows = table(rows.join(more.select("h"), "h", "left_semi"))
+    sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words)
+    found = [table(_verified(pairs, sets, similarity))]
+    hubs = 1
+    while True:
+        of = components(reduce(DataFrame.union, found)).select(F.col("node").alias("th"), "component")
+        named_rows = rows.join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
+        some = named_rows.groupBy("h").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array(*[F.min_by("th", F.xxhash64("th", F.lit(i))) for i in range(hubs)])).alias("hubs")
+        ).where("x <> y")
+        some = table(some.select("h", F.explode("hubs").alias("hub")))
+        if some.isEmpty():
+            return reduce(DataFrame.union, found)
+        live = table(named_rows.join(some.select("h").distinct(), "h", "left_semi"))
+        centres = live.join(some.select("h", F.col("hub").alias("th")), ["h", "th"]).select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        like = F.least("n", "na") >= F.lit(similarity) * F.greatest("n", "na") - 1e-9
+        met = live.join(table(centres), "h").where((F.col("component") != F.col("ca")) & like)
+        met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
+        found.append(table(_verified(met, sets, similarity)))
+        rows = live.join(some.select("h", F.col("hub").alias("th")), ["h", "th"], "left_anti").select("h", "th", "n")
+        hubs = min(64, hubs * 4)
 
 
 def near_duplicates(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, seed: int = 42, cell_rows: int = 20000,
-    similarity: float | None = None, exact: bool = False,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (least id reachable).
 
-    Documents link if their fingerprints differ in at most `budget` bits and,
-    where `similarity` is given, their sets of shingles have at least that
-    Jaccard similarity (equal fingerprints always link; the text of the least
-    hash stands for them). With `exact`, all texts of that similarity link, at
-    any distance: an exact join adds the links between components. A null
-    or empty text has fingerprint zero and links like any other. Equal
-    fingerprints are one class: copies meet once. Repeated ids are rows of their
-    own with the same id; a null id never names a component unless all its
-    members' ids are null. Very long texts are read whole. Empty table: empty
-    result. Columns other than the two are ignored.
+    Documents link if their fingerprints differ in at most `budget` bits; where
+    `similarity` is given, if their sets of shingles have at least that Jaccard
+    similarity instead, whatever their fingerprints. A null or empty text has
+    fingerprint zero and no shingles and links with its like. Copies are one
+    class and meet once. Repeated ids are rows of their own with the same id; a
+    null id never names a component unless all its members' ids are null. Very
+    long texts are read whole. Empty table: empty result. Columns other than the
+    two are ignored.
     """
     tune(df.sparkSession)
-    text = F.col(text_col).cast("string")
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = named(text_col).cast("string")
+    base = df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     docs = table(fingerprints(base, id_col="id", words=words, seed=seed, also=["th"]))
-    classes = table(docs.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("th", "n")).alias("x")).select("fp", "low", "x.th", "x.n"))
+    key = "fp" if similarity is None else "th"
+    classes = table(docs.groupBy(key).agg(F.min("id").alias("low"), *([F.first("fp").alias("fp")] if key == "th" else [])))
     if similarity is None:
         found = links(classes, budget, cell_rows)
     else:
-        found = similar_links(classes, base.select("th", "text"), words=words, budget=budget, similarity=similarity, cell_rows=cell_rows)
-        if exact:
-            found = found.union(exact_links(docs, base.select("th", "text"), found, words=words, similarity=similarity))
+        found = similar_links(classes.select("th", "fp"), base.select("th", "text"), words=words, budget=budget, similarity=similarity, cell_rows=cell_rows)
     comp = components(found)
-    of = classes.select("fp", "low").join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    of = classes.select(key, "low").join(comp.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(low, "component").select("fp", "component_id")
+    of = of.join(low, "component").select(key, "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(of, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return docs.join(of, key).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of `df` that stand for their group: one document (the least id) of each component.
 
     Repeated rows of the kept id all stay; rows with a null id stay only if no
-    other id is in their group. Columns of `df` are returned as they are.
+    other id is in their group. Columns of `df` are returned as they are,
+    whatever their names. Empty table: empty result.
     """
     verdict = near_duplicates(df, id_col=id_col, **options)
-    stays = verdict.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return df.join(stays, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    stays = table(verdict.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).cast("long").alias("id")).distinct())
+    rows = df.select(F.struct(*map(named, df.columns)).alias("row"), named(id_col).cast("long").alias("me"))
+    return rows.join(stays, F.col("me").eqNullSafe(F.col("id")), "left_semi").select("row.*")

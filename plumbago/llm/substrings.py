@@ -12,9 +12,11 @@ an edge that occurs once can't be part of a repeat. So:
    occurrences have the same word before them and both occur equally often.
    Then all occurrences of the path are whole, and its first source is a run of
    consecutive coordinates.
-4. Path heads are joined with their occurrences; each gives a span, verified
-   against its source coordinate by a second hash. A document's spans, less the
-   source itself, are its removed words.
+4. Path heads are joined with their occurrences; each gives a span, and so does
+   the source. The words at a span's and at its source's coordinates are read
+   again from the texts and compared by a digest of 128 bits of their bytes; a
+   span whose words differ from its source's is dropped. A document's spans,
+   less the source itself, are its removed words.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Rolling, Words, bit_table, has_bit, mix, signed, slices, table, texts_of, tune
+from .common import Rolling, Words, bit_flag, bit_table, give_back, has_bit, named, signed, slices, table, texts_of, tune
 
 KMER = Rolling(0xD1342543DE82EF95)
 EDGE = Rolling(0xAF251AF3B0F025B5)
-CHECK = Rolling(0x2545F4914F6CDD1D)
 NO_ID = (1 << 63) - 1
 EVEN = np.uint64((1 << 64) - 2)
 
@@ -89,7 +91,7 @@ def _edges(df: DataFrame, window: int, kmer: int, bitmap: np.ndarray, heads: np.
     """
     sc = df.sparkSession.sparkContext
     shared, wanted = sc.broadcast(bitmap), sc.broadcast(heads)
-    names = ["h", "doc", "th", "pos", "n", "prev"] if heads is None else ["h", "doc", "th", "pos", "v"]
+    names = ["h", "doc", "th", "pos", *(["n", "prev"] if heads is None else [])]
 
     def run(batches):
         for batch in batches:
@@ -104,8 +106,7 @@ def _edges(df: DataFrame, window: int, kmer: int, bitmap: np.ndarray, heads: np.
                     s, h = s[hit], h[hit]
                 t = w.text[s]
                 pos = s - w.first[t]
-                more = signed(w.hash[np.maximum(s - 1, 0)]) if wanted.value is None else signed(CHECK.spans(mix(w.hash), s, s + window))
-                parts.append((h, t + a, pos, more))
+                parts.append((h, t + a, pos, signed(w.hash[np.maximum(s - 1, 0)])))
             h, t, pos, more = (np.concatenate([p[k] for p in parts]) for k in range(4)) if parts else [np.zeros(0, np.int64)] * 4
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if wanted.value is None:
@@ -118,11 +119,12 @@ def _edges(df: DataFrame, window: int, kmer: int, bitmap: np.ndarray, heads: np.
                 h, t, pos = h[first], t[first], pos[first]
                 last = [pa.array(n.astype(np.int32)), pa.array(more[first], mask=other)]
             else:
-                last = [pa.array(more)]
+                last = []
             cols = [pa.array(h), pa.array(doc[t]), pa.array(th[t]), pa.array(pos.astype(np.int32)), *last]
             yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
-    kinds = {"h": "long", "doc": "long", "th": "long", "pos": "int", "n": "int", "prev": "long", "v": "long"}
+    kinds = {"h": "long", "doc": "long", "th": "long", "pos": "int", "n": "int", "prev": "long"}
     return df.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
@@ -145,11 +147,47 @@ def paths(edges: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc, th, text): the id as it is, as a number, and the text's hash where ids repeat (else 0)."""
-    t = F.col(text_col).cast("string")
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    many = df.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").head(1)
-    return df.select(F.col(id_col).alias("id"), doc.alias("doc"), (F.xxhash64(t) if many else F.lit(0).cast("long")).alias("th"), t.alias("text"))
+    """(id, doc, th, text): the id as it is, as a number (null: the greatest), and the text's hash, which tells rows of one id apart."""
+    t = named(text_col).cast("string")
+    return df.select(named(id_col).alias("id"), F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).alias("th"), t.alias("text"))
+
+
+def _of_documents(spans: DataFrame, max_filter_bits: int) -> tuple[DataFrame, object]:
+    """Spans by document (doc, th, spans) as a table, and a function of (doc, th) that says which documents may be in it."""
+    cols = [c for c in spans.columns if c not in ("doc", "th")]
+    by = table(spans.groupBy("doc", "th").agg(F.collect_set(F.struct(*cols)).alias("spans")))  # at most one a word of the document
+    flag = bit_flag(bit_table(by.select(F.xxhash64("doc", "th").alias("h")), max_filter_bits), spans.sparkSession)
+    return by, flag(F.xxhash64("doc", "th"))
+
+
+def _digests(docs: DataFrame, spans: DataFrame, max_filter_bits: int) -> DataFrame:
+    """(doc, th, start, end, h, own, x, y) as a table: spans with a digest of the words at their coordinates.
+
+    Repeated rows of one id and text are one document.
+    """
+    by, some = _of_documents(spans, max_filter_bits)
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = texts_of(batch.column(2)), batch.column(3)
+            for a, b in slices(texts):
+                w = Words(texts[a:b], hashes=False)
+                data, cols = w.data, [[] for _ in range(8)]
+                for k in range(a, b):
+                    flat, doc, th = spans[k].values, batch.column(0)[k], batch.column(1)[k]
+                    first = w.first[k - a]
+                    for start, end, h, own in zip(*(flat.field(c).to_pylist() for c in ("start", "end", "h", "own"))):
+                        span = [data[w.starts[i] : w.ends[i]].tobytes() for i in range(first + start, first + end)]
+                        d = xxhash.xxh3_128_intdigest(b" ".join(span))
+                        for c, v in zip(cols, (doc.as_py(), th.as_py(), start, end, h, own, d >> 64, d & ((1 << 64) - 1))):
+                            c.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+                arrays = [pa.array(c, t) for c, t in zip(cols, kinds)] + [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[6:]]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc", "th", "start", "end", "h", "own", "x", "y"])
+        give_back()
+
+    one = docs.where(some).join(by, ["doc", "th"]).select("doc", "th", "text", "spans")
+    return table(one.mapInArrow(run, "doc long, th long, start int, end int, h long, own boolean, x long, y long").distinct())
 
 
 def repeated_spans(
@@ -160,7 +198,8 @@ def repeated_spans(
     A run is covered by windows whose words also start earlier (smaller id, or
     the same document, earlier). Rows with one id but different texts are told
     apart by the text's hash `th` and ordered by it; equal rows are one
-    document. A null id counts as the greatest.
+    document. A null id counts as the greatest; a null text has no words. Empty
+    table: empty result.
     """
     docs = keyed(df, id_col, text_col).select("doc", "th", "text")
     tune(df.sparkSession)
@@ -168,11 +207,33 @@ def repeated_spans(
     heads = table(paths(_edges(docs, window, kmer, bitmap)))
     at = _edges(docs, window, kmer, bitmap, bit_table(heads.select("h"), max_filter_bits))
     src = heads.select("h", F.struct("doc", "th", "pos").alias("src"), "n_edges")
-    found = at.join(src, "h").withColumn("me", F.struct("doc", "th", "pos"))
-    # a span counts only if its second hash is that of its source
-    known = found.where("me = src").select(F.col("h").alias("h2"), F.col("v").alias("v2")).distinct()
-    found = found.where("me <> src").join(known, (F.col("h") == F.col("h2")) & (F.col("v") == F.col("v2")))
-    return found.select("doc", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n_edges") + window - 1).alias("end"))
+    found = at.join(src, "h").select(
+        "doc", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n_edges") + window - 1).alias("end"), "h", (F.struct("doc", "th", "pos") == F.col("src")).alias("own")
+    )
+    spans = _digests(docs, table(found), max_filter_bits)
+    # a span counts only if its words are those at its source's coordinates; sources are a table, so that Spark can split a frequent path's spans
+    sources = table(spans.where("own").select("h", "x", "y"))
+    return spans.where("NOT own").join(sources, ["h", "x", "y"], "left_semi").select("doc", "th", "start", "end")
+
+
+def _kept(texts: list[bytes], spans: list) -> pa.StructArray:
+    kept, n_words, n_removed = [], [], []
+    for text, mine in zip(texts, spans):
+        words = text.split()
+        n_words.append(len(words))
+        if mine is not None:
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, mine.field("start").to_numpy(), 1)
+            np.add.at(edge, mine.field("end").to_numpy(), -1)
+            stays = np.cumsum(edge)[:-1] == 0
+            words = [w for w, s in zip(words, stays) if s]
+        n_removed.append(n_words[-1] - len(words))
+        kept.append(b" ".join(words))
+    sha = [hashlib.sha256(x).hexdigest() for x in kept]
+    return pa.StructArray.from_arrays(
+        [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())],
+        ["n_words", "n_removed", "text", "kept_sha256"],
+    )
 
 
 def deduplicate(
@@ -183,31 +244,21 @@ def deduplicate(
     A null text has no words; its kept text is empty. Rows with fewer words
     than a window lose nothing. Repeated rows of one id and text are answered
     alike. Empty table: empty result. Columns other than the two are ignored.
+    Texts are shuffled only where they lose words.
     """
     docs = keyed(df, id_col, text_col)
-    spans = repeated_spans(df, window, id_col=id_col, text_col=text_col, kmer=kmer, max_filter_bits=max_filter_bits)
-    spans = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most one a word of the document
+    by, some = _of_documents(repeated_spans(df, window, id_col=id_col, text_col=text_col, kmer=kmer, max_filter_bits=max_filter_bits), max_filter_bits)
+    made = "n_words long, n_removed long, text string, kept_sha256 string"
 
-    def run(batches):
-        for batch in batches:
-            texts, spans = texts_of(batch.column(1)), batch.column(2)
-            kept, n_words, n_removed = [], [], []
-            for k, text in enumerate(texts):
-                words = text.split()
-                n_words.append(len(words))
-                if spans[k].is_valid:
-                    flat = spans[k].values
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, flat.field("start").to_numpy(), 1)
-                    np.add.at(edge, flat.field("end").to_numpy(), -1)
-                    stays = np.cumsum(edge)[:-1] == 0
-                    words = [w for w, s in zip(words, stays) if s]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            sha = [hashlib.sha256(x).hexdigest() for x in kept]
-            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "text", "kept_sha256"])
-
-    schema = docs.select("id").schema.add("n_words", "long").add("n_removed", "long").add("text", "string").add("kept_sha256", "string")
-    out = docs.join(spans, ["doc", "th"], "left").select("id", "text", "spans").mapInArrow(run, schema)
-    return out.withColumnRenamed("id", id_col)
+    def whole(text: pa.Array) -> pa.Array:
+        return _kept(texts_of(text), [None] * len(text))
+
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return _kept(texts_of(text), [spans[k].values if spans[k].is_valid else None for k in range(len(text))])
+
+    whole.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    cut.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
+    docs = docs.withColumn("some", some)
+    plain = docs.where("NOT some").select("id", F.arrow_udf(whole, made)("text").alias("made"))
+    short = docs.where("some").join(by, ["doc", "th"], "left").select("id", F.arrow_udf(cut, made)("text", "spans").alias("made"))
+    return plain.union(short).select(F.col("id").alias(id_col), "made.*")

@@ -88,26 +88,48 @@ def test_similar_documents_brute_force(spark):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             texts.append(" ".join(w))
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
-    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
-    by_print = {}
-    for i, f in enumerate(fps):
-        by_print.setdefault(f, []).append(i)
-    links = [(m[0], i) for m in by_print.values() for i in m]
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 11 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-            links.append((i, j))
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     want = closure(range(len(texts)), links)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for rows in (60000, 40):
-        got = simhash.near_duplicates(df, words=5, budget=11, similarity=0.8, cell_rows=rows).collect()
+    for rows in (20000, 40):
+        got = simhash.near_duplicates(df, words=5, similarity=0.8, cell_rows=rows).collect()
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_similar_texts_share_a_prefix_shingle():
+    rng = random.Random(4)
+    counts = np.random.default_rng(4).integers(0, 9, simhash.SKETCH)
+    for _ in range(300):
+        w = [str(rng.randrange(60)) for _ in range(rng.randint(1, 60))]
+        v = list(w)
+        for _ in range(rng.randint(0, 3)):
+            v[rng.randrange(len(v))] = "other"
+        text, h, size = simhash.shingle_sets([" ".join(w).encode(), " ".join(v).encode()], 5)
+        x, y = set(h[text == 0].tolist()), set(h[text == 1].tolist())
+        at, p = simhash.prefixes(text, h, size, counts, 0.8)
+        if 5 * len(x & y) >= 4 * len(x | y):
+            assert set(p[at == 0].tolist()) & set(p[at == 1].tolist())
+
+
+def test_one_shingle_in_many_different_texts(spark):
+    """A shingle that many dissimilar texts share links none of them; similar ones among them link."""
+    texts = []
+    for g in range(60):
+        w = ["same"] * 3 + [f"g{g}w{k}" for k in range(3)]
+        texts += [" ".join(w), " ".join(w)] if g % 3 else [" ".join(w)]
+    texts += ["same same same same same", "same same same same same same"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(df, words=5, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == closure(range(len(texts)), links)
+
+
 def test_similar_odd_rows(spark, odd_docs):
-    kept = simhash.deduplicate(odd_docs, words=5, budget=11, similarity=0.8)
+    kept = simhash.deduplicate(odd_docs, words=5, similarity=0.8)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted([1, 3, 5, 5, 7, 8])
-    assert simhash.deduplicate(odd_docs.limit(0), words=5, budget=11, similarity=0.8).collect() == []
+    assert simhash.deduplicate(odd_docs.limit(0), words=5, similarity=0.8).collect() == []
 
 
 def test_vectors_brute_force(spark):
@@ -151,5 +173,5 @@ def test_similar_documents_beyond_the_budget(spark):
     far = [g for g in range(150) if (simhash.fingerprint(texts[2 * g].encode(), 5) ^ simhash.fingerprint(texts[2 * g + 1].encode(), 5)).bit_count() > 11]
     assert far
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = simhash.near_duplicates(df, words=5, budget=11, similarity=0.8, exact=True).collect()
+    got = simhash.near_duplicates(df, words=5, similarity=0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(300)}

@@ -75,7 +75,7 @@ def test_stages_on_their_own_input(spark):
     assert cut.columns == docs.columns and cut.count() == clean.count()
     assert cut.where(F.length("text") != F.col("n_chars")).count() == 0
     one = entries.stage_simhash(spark, cut, SF)
-    groups = simhash.near_duplicates(cut, words=5, budget=11, similarity=0.8).toPandas()
+    groups = simhash.near_duplicates(cut, words=5, similarity=0.8).toPandas()
     assert {r.doc_id for r in one.collect()} == set(groups.component_id)
     mixed = entries.stage_mixing(spark, one, SF)
     assert mixed.columns == docs.columns and mixed.count() > 0.8 * one.count()

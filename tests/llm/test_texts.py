@@ -69,6 +69,15 @@ def test_substrings_one_id_two_texts(spark):
     assert got in ([(30, 0), (30, 0), (31, 30)], [(30, 30), (30, 30), (31, 0)])
 
 
+def test_substrings_long_words_that_differ(spark):
+    """Words of 1024 letters whose polynomial hashes are equal for every base are different words."""
+    t = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    same = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join([*same[:10], t, *same[10:]])), (2, " ".join([*same[:10], t.translate(str.maketrans("ab", "ba")), *same[10:]]))]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(21, 0), (21, 0)]
+
+
 def test_lines_odd_rows(spark, odd_docs):
     got = lines.rewrite(odd_docs)
     assert got.columns == [*odd_docs.columns, "__n_lines", "__n_removed"]
