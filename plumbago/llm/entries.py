@@ -14,6 +14,10 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+#: Target shares after the toxicity stage.
+CLEAN = {"plain": 0.92, "low": 0.08}
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % modulus
 
@@ -113,10 +117,11 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its copies say; documents at rate 0 copies go.
 
-    Rates are those of mixing.fit for these docs and the labels table. Columns
+    Rates are those of mixing.fit for these docs and the labels table, with the
+    targets CLEAN, as toxic documents have been removed before. Columns
     pass through, whatever their names; an empty table gives an empty one.
     """
-    mixture = mixing.fit(docs, read(spark, sf_dir, "labels"))
+    mixture = mixing.fit(docs, read(spark, sf_dir, "labels"), CLEAN)
     name = fresh(docs, "__mixed")
     many = mixing.rated(docs, mixture, name).where(named(name)["copies"] > 0)
     again = fresh(many, "__copy")

@@ -1,12 +1,12 @@
 """Mixing to target weights with soft memberships.
 
 A classifier learnt from a labelled table gives each document a posterior over
-domains. Nonnegative document rates r minimise the squared gap between expected
-domain tokens sum_d r_d n_d p_dk and the targets, by projected gradient from
-r = 1. A document's gradient is its posterior times one vector of K numbers, so
+domains. Document rates r, not negative and not above a bound on the copies of a
+document, minimise the squared gap between expected domain tokens
+sum_d r_d n_d p_dk and the targets, by projected gradient from r = 1. A document's gradient is its posterior times one vector of K numbers, so
 a rate is a function of its posterior and of the vectors so far: every step is
 one distributed sum, and no rates are stored or shuffled. The gap is measured
-in the metric of the Gram matrix of the memberships whose rate is positive;
+in the metric of the Gram matrix of the memberships whose rate is between the bounds;
 each pass tries several step lengths at once and keeps the best. The number of
 passes is fixed, so the work is in proportion to the table.
 """
@@ -28,6 +28,8 @@ from .common import fresh, named, table, text_udf, tune
 TARGETS = {"plain": 0.90, "low": 0.08, "toxic": 0.02}
 #: Passes over the posteriors, and the step lengths that each one tries.
 PASSES, LENGTHS = 6, (1.0, 0.5, 0.125)
+#: Most copies of a document.
+MOST = 8.0
 
 
 @dataclass
@@ -47,7 +49,7 @@ class Mixture:
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for g in self.steps:
-            r = np.maximum(0.0, r - p @ g)
+            r = np.clip(r - p @ g, 0.0, MOST)
         return r
 
     def rate(self, p: list[Column]) -> Column:
@@ -65,7 +67,7 @@ class Mixture:
 
 def _stepped(r: Column, p: list[Column], g: np.ndarray) -> Column:
     back = sum((c * float(x) for c, x in zip(p, g)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), r - back)
+    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), r - back))
 
 
 def _lexical(model: toxicity.Model):
@@ -89,7 +91,7 @@ def fit_with_inputs(
     passes: int = PASSES,
     tolerance: float = 1e-3,
 ) -> tuple[Mixture, DataFrame]:
-    """Classifier and rates, and the posteriors (id, n_tokens, p0, p1, ...) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain.
+    """Classifier and rates, and the posteriors (id, n_tokens, p0, p1, ...) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain; toxic rows are low where the targets have no toxic domain.
 
     The token budget is set so that the anchor domain's expected tokens, times
     `anchor_rate`, are its target share. Rows whose two labels are null and null
@@ -108,7 +110,7 @@ def fit_with_inputs(
     domains = list(targets)
     mixture = Mixture(domains, lexical, None)
     stats = table(quality.with_statistics(base, text_col="text", keep=["id"], more=_lexical(lexical)))
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("plain")
+    domain = F.when(F.col("toxic") == 1, "toxic" if "toxic" in targets else "low").when(F.col("quality") == 0, "low").otherwise("plain")
     y = F.array(*[(domain == d).cast("double") for d in domains])
     mixture.model = quality.fit(table(stats.join(labelled, "id").select("x", y.alias("y"))), len(domains))
     soft = table(_posteriors(stats, mixture))
@@ -157,14 +159,14 @@ def _posteriors(stats: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def _sums(soft: DataFrame, p: list[Column], rates: list[Column]) -> list:
-    """For each rate, the expected tokens of each domain and the Gram matrix of memberships at positive rates; then all tokens. One pass."""
+    """For each rate, the expected tokens of each domain and the Gram matrix of memberships at rates between the bounds; then all tokens. One pass."""
     k = len(p)
     names = [f"r{i}" for i in range(len(rates))]
     rated = soft.select("n_tokens", *p, *[r.alias(n) for n, r in zip(names, rates)])
     aggs = []
     for name in names:
         aggs += [F.sum(F.col("n_tokens") * F.col(name) * p[i]) for i in range(k)]
-        aggs += [F.sum(F.when(F.col(name) > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]
+        aggs += [F.sum(F.when((F.col(name) > 0) & (F.col(name) < MOST), F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]
     x = [v or 0.0 for v in rated.agg(*aggs, F.sum("n_tokens")).first()]
     out, each = [], k + k * (k + 1) // 2
     for s in range(0, len(x) - 1, each):

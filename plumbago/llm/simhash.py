@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bit_table, has_bit, named, per_text, slices, table, texts_of, tune
+from .common import Rolling, Words, bit_flag, bit_table, has_bit, named, per_text, slices, table, texts_of, tune
 from .graph import components, union
 
 FULL = (1 << 64) - 1
@@ -218,15 +218,20 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return text, h, np.bincount(text, minlength=len(texts))
 
 
+#: Share of a text's shingles by which its prefix is longer than it has to be to meet all similar texts: so many more must then be shared.
+EXTRA = 0.1
+
+
 def prefixes(text: np.ndarray, h: np.ndarray, size: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each text's prefix: its rarest shingles by (count in the sketch, hash).
 
-    Two sets of that similarity share one of the first n - ceil(similarity n) + 1.
+    Two sets of that similarity share k of the first n - ceil(similarity n) + k,
+    for any k; here k = 1 + floor(EXTRA n), of the smaller set for a pair.
     """
     order = np.lexsort((h, counts[h & np.uint64(SKETCH - 1)], text))
     text, h = text[order], h[order]
     rank = np.arange(len(h)) - (np.cumsum(size) - size)[text]
-    near = rank < (size - np.ceil(similarity * size - 1e-9) + 1)[text]
+    near = rank < (size - np.ceil(similarity * size - 1e-9) + 1 + np.floor(EXTRA * size))[text]
     return text[near], h[near]
 
 
@@ -272,14 +277,16 @@ def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bi
     return table(df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long").distinct())
 
 
-def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(df: DataFrame, wanted: DataFrame, words: int, max_filter_bits: int) -> DataFrame:
     """(th, set) as a table: the shingles of the texts whose hash is in `wanted`. df: th, text."""
 
     def run(texts):
         _, h, size = shingle_sets(texts, words)
         return {"set": np.split(h.view(np.int64), np.cumsum(size)[:-1])}
 
-    one = df.join(wanted.distinct(), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    wanted = table(wanted.distinct())
+    some = bit_flag(bit_table(wanted.select(F.col("th").alias("h")), max_filter_bits), df.sparkSession)
+    one = df.where(some("th")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     return table(per_text(one, run, "set array<long>", text="text", keep=["th"]))
 
 
@@ -294,10 +301,11 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
     """Links (a, b) between text hashes that connect all texts of Jaccard similarity >= `similarity`, and no others. texts: th, fp; df: th, text.
 
     First the trie's links between fingerprints, verified. Then, in rounds, the
-    texts that share a shingle of their prefixes: of each shingle some texts are
-    hubs, which are compared with all the others that are in other components
-    and of like size, and are done with. So a group of copies is linked to its
-    hub without giving all its pairs, and no pair between components is left out.
+    texts that share enough shingles of their prefixes: of each shingle's texts
+    some are hubs, which are compared with all the others that are in other
+    components and of like size, and are done with. So a group of copies is
+    linked to its hub without giving all its pairs, and no pair between
+    components is left out.
     """
     stand = texts.groupBy("fp").agg(F.min("th").alias("th"))
     near = links(stand, budget, cell_rows)
@@ -308,25 +316,27 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
     rows = _shared_prefixes(df, words, similarity, max_filter_bits)
     more = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     rows = table(rows.join(more.select("h"), "h", "left_semi"))
-    sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words)
+    sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words, max_filter_bits)
     found = [table(_verified(pairs, sets, similarity))]
     hubs = 1
     while True:
         of = components(reduce(DataFrame.union, found)).select(F.col("node").alias("th"), "component")
-        named_rows = rows.join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
-        some = named_rows.groupBy("h").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array(*[F.min_by("th", F.xxhash64("th", F.lit(i))) for i in range(hubs)])).alias("hubs")
-        ).where("x <> y")
-        some = table(some.select("h", F.explode("hubs").alias("hub")))
+        rows = rows.select("h", "th", "n").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
+        centres = [F.min_by("th", F.xxhash64("th", F.lit(i))) for i in range(hubs)]
+        some = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array(*centres)).alias("hubs")).where("x <> y")
+        some = table(some.select("h", "hubs"))
         if some.isEmpty():
             return reduce(DataFrame.union, found)
-        live = table(named_rows.join(some.select("h").distinct(), "h", "left_semi"))
-        centres = live.join(some.select("h", F.col("hub").alias("th")), ["h", "th"]).select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        rows = table(rows.join(some.select("h"), "h", "left_semi"))
+        hub = table(some.select(F.explode("hubs").alias("th")).distinct())
+        centre = table(rows.join(hub, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
         like = F.least("n", "na") >= F.lit(similarity) * F.greatest("n", "na") - 1e-9
-        met = live.join(table(centres), "h").where((F.col("component") != F.col("ca")) & like)
-        met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
+        met = rows.join(centre, "h").where((F.col("component") != F.col("ca")) & like)
+        met = met.groupBy(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("n", "na")).alias("n"))
+        # two hubs meet from both sides, so their count is twice too high: that lets a pair pass, never drops one
+        met = table(met.where(F.col("k") > F.floor(F.lit(EXTRA) * F.col("n"))).select("a", "b"))
         found.append(table(_verified(met, sets, similarity)))
-        rows = live.join(some.select("h", F.col("hub").alias("th")), ["h", "th"], "left_anti").select("h", "th", "n")
+        rows = rows.join(hub, "th", "left_anti")
         hubs = min(64, hubs * 4)
 
 
