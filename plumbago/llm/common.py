@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,9 +54,27 @@ def named(column: str):
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def _allocator():
+    """The C library's calls that set how memory is kept, where it has them; freed memory isn't kept for long."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # from this size on a block is a mapping of its own
+        libc.mallopt(-8, 2)  # heaps for threads
+        return libc.malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+_trim = None
+
+
 def give_back() -> None:
     """Freed memory goes back to the system, as Python workers are used again by other jobs."""
+    global _trim
+    if _trim is None:
+        _trim = _allocator()
     pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -238,7 +238,8 @@ class Encoder:
         spot = np.minimum(np.searchsorted(self.keys, names), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[spot] != names) if len(self.keys) else np.arange(len(names))
         if len(new):
-            self._learn(names[new], [data[starts[k] : ends[k]].tobytes().decode().replace(" ", MARK) for k in place[new]])
+            for part in np.split(new, range(BATCH, len(new), BATCH)):
+                self._learn(names[part], [data[starts[k] : ends[k]].tobytes().decode().replace(" ", MARK) for k in place[part]])
             spot = np.searchsorted(self.keys, names)
         at = self.at[spot][where] if len(names) else np.zeros(0, np.int64)
         text = np.searchsorted(np.cumsum(sizes), starts, side="right")
@@ -297,6 +298,8 @@ def _piece_bytes(piece: str, kind: int) -> bytes:
 
 
 _encoders: dict[tuple, Encoder] = {}
+#: Words that are encoded in one batch.
+BATCH = 4096
 
 
 def encoder(data: bytes, threads: int, verify: bool = False) -> Encoder:
@@ -373,6 +376,7 @@ def encode(
     shared = _share(df.sparkSession, model)
 
     def run(batches):
+        give_back()
         e = encoder(shared.value, threads, verify)
         for batch in batches:
             texts, none = texts_of(batch.column(1)), ~np.array(batch.column(1).is_valid())
