@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 
 def union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -53,6 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        now = table(small.distinct())
+        done, now = now, table(small.distinct())
+        drop(done, large)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_flag, bit_table, give_back, has_bit, named, slices, table, texts_of, tune
+from .common import bit_flag, bit_table, drop, give_back, has_bit, named, slices, table, texts_of, tune
 
 NO_ID = (1 << 63) - 1
 
@@ -56,7 +56,7 @@ def _hashes(body: bytes) -> tuple[int, int]:
 
 
 def _removed(df: DataFrame, modulus: int, max_filter_bits: int, passages: bool) -> DataFrame:
-    """(doc, th, at): chunks to remove, by their number in the text; with `passages`, lines. df: doc, th, text.
+    """(doc, th, gone) as a table: chunks to remove, by their numbers in the text; with `passages`, lines. df: doc, th, text.
 
     Bytes are compared once for each chunk and Arrow batch: a batch's first
     chunk of two equal hashes carries its bytes, and chunks of two equal hashes
@@ -71,7 +71,9 @@ def _removed(df: DataFrame, modulus: int, max_filter_bits: int, passages: bool)
         give_back()
 
     counted = df.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    shared = df.sparkSession.sparkContext.broadcast(bit_table(table(counted.where("n > 1").select("h")), max_filter_bits))
+    repeated = table(counted.where("n > 1").select("h"))
+    shared = df.sparkSession.sparkContext.broadcast(bit_table(repeated, max_filter_bits))
+    drop(repeated)
 
     def again(batches):
         for batch in batches:
@@ -101,11 +103,13 @@ def _removed(df: DataFrame, modulus: int, max_filter_bits: int, passages: bool)
     # a table of its own, so that Spark can split a frequent chunk's rows in the join
     first = table(first.where("n > 1 AND x = y").select("h", "h2", "src"))
     later = found.select("doc", "th", "at", "h", "h2").join(first, ["h", "h2"]).where(me != F.col("src"))
-    if not passages:
-        return later.select("doc", "th", "at")
-    # two equal lines after the first occurrence's first line share its second line, which stays
-    own = F.col("src") == F.struct("doc", "th", (F.col("at") - 1).alias("at"))
-    return later.select("doc", "th", F.explode(F.when(own, F.array(F.col("at") + 1)).otherwise(F.array("at", F.col("at") + 1))).alias("at"))
+    if passages:
+        # two equal lines after the first occurrence's first line share its second line, which stays
+        own = F.col("src") == F.struct("doc", "th", (F.col("at") - 1).alias("at"))
+        later = later.select("doc", "th", F.explode(F.when(own, F.array(F.col("at") + 1)).otherwise(F.array("at", F.col("at") + 1))).alias("at"))
+    gone = table(later.groupBy("doc", "th").agg(F.collect_set("at").alias("gone")))  # at most one a line of the document
+    drop(found, first)
+    return gone
 
 
 def _cut(modulus: int, passages: bool, spark):
@@ -140,7 +144,6 @@ def _rewritten(df: DataFrame, id_col: str, text_col: str, modulus: int, max_filt
     t = named(text_col).cast("string")
     doc = F.coalesce(named(id_col).cast("long"), F.lit(NO_ID))
     gone = _removed(df.select(doc.alias("doc"), F.xxhash64(t).alias("th"), t.alias("text")), modulus, max_filter_bits, passages)
-    gone = table(gone.groupBy("doc", "th").agg(F.collect_set("at").alias("gone")))
     flag = bit_flag(bit_table(gone.select(F.xxhash64("doc", "th").alias("h")), max_filter_bits), spark)
     rows = df.select(F.struct(*map(named, df.columns)).alias("row"), t.alias("text"), doc.alias("doc"), F.xxhash64(t).alias("th"))
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
-from .common import fresh, named, table, text_udf, tune
+from .common import drop, fresh, named, table, text_udf, tune
 
 #: Target shares of expected tokens for the domains of the labels table.
 TARGETS = {"plain": 0.90, "low": 0.08, "toxic": 0.02}
@@ -76,7 +76,9 @@ def _lexical(model: toxicity.Model):
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> Mixture:
     """Classifier and rates; see fit_with_inputs."""
-    return fit_with_inputs(docs, labels, targets, **options)[0]
+    mixture, soft = fit_with_inputs(docs, labels, targets, **options)
+    drop(soft)
+    return mixture
 
 
 def fit_with_inputs(
@@ -90,10 +92,13 @@ def fit_with_inputs(
     anchor_rate: float = 1.1,
     passes: int = PASSES,
     tolerance: float = 1e-3,
+    classifier_rows: int = 40_000,
 ) -> tuple[Mixture, DataFrame]:
     """Classifier and rates, and the posteriors (id, n_tokens, p0, p1, ...) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain; toxic rows are low where the targets have no toxic domain.
 
-    The token budget is set so that the anchor domain's expected tokens, times
+    The classifier learns from about `classifier_rows` labelled rows, chosen by
+    the id's hash (from all of them, if there are no more); posteriors, token
+    counts and rates are of all rows. The token budget is set so that the anchor domain's expected tokens, times
     `anchor_rate`, are its target share. Rows whose two labels are null and null
     ids are no labelled rows; of several labels of one id, toxic and low hold.
     Repeated rows count each. Without labels all posteriors are equal; without
@@ -105,6 +110,8 @@ def fit_with_inputs(
     labelled = labels.where(named(id_col).isNotNull() & known).groupBy(named(id_col).alias("id")).agg(
         F.coalesce(F.max("toxic"), F.lit(0)).cast("int").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).cast("int").alias("quality")
     )
+    share = min(1.0, classifier_rows / max(1, labelled.count()))
+    labelled = labelled.where(F.pmod(F.xxhash64("id", F.lit(37)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     base = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     lexical = toxicity.fit(toxicity.labelled_rows(base, labelled, id_col="id"))
     domains = list(targets)
@@ -112,8 +119,10 @@ def fit_with_inputs(
     stats = table(quality.with_statistics(base, text_col="text", keep=["id"], more=_lexical(lexical)))
     domain = F.when(F.col("toxic") == 1, "toxic" if "toxic" in targets else "low").when(F.col("quality") == 0, "low").otherwise("plain")
     y = F.array(*[(domain == d).cast("double") for d in domains])
-    mixture.model = quality.fit(table(stats.join(labelled, "id").select("x", y.alias("y"))), len(domains))
+    train = table(stats.join(labelled, "id").select("x", y.alias("y")))
+    mixture.model = quality.fit(train, len(domains))
     soft = table(_posteriors(stats, mixture))
+    drop(train, stats)
     project(soft, mixture, targets, anchor, anchor_rate, passes)
     if mixture.gap > tolerance:
         warnings.warn(f"mixing: a gap of {mixture.gap:.2g} of the tokens is left", stacklevel=2)

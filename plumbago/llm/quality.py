@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, named, per_text, schema_with, table, tune
+from .common import Words, drop, named, per_text, schema_with, table, tune
 
 STATS = [
     "log_words", "word_bytes", "symbols", "upper", "digits", "beyond_ascii", "breaks", "punctuation",
@@ -195,4 +195,5 @@ def classify(
     model = fit(train.where("NOT later") if len(parts) == 2 else train, 1)
     if model is not None:
         calibrate(train.where("later") if len(parts) == 2 else train, model)
+    drop(train)
     return score(stats, model, keep=["id"], threshold=threshold).withColumnRenamed("id", id_col)

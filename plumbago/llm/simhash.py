@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bit_flag, bit_table, has_bit, named, per_text, slices, table, texts_of, tune
+from .common import Rolling, Words, bit_flag, bit_table, drop, give_back, has_bit, named, per_text, slices, table, texts_of, tune
 from .graph import components, union
 
 FULL = (1 << 64) - 1
@@ -219,7 +219,7 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
 
 
 #: Share of a text's shingles by which its prefix is longer than it has to be to meet all similar texts: so many more must then be shared.
-EXTRA = 0.1
+EXTRA = 0.05
 
 
 def prefixes(text: np.ndarray, h: np.ndarray, size: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +235,12 @@ def prefixes(text: np.ndarray, h: np.ndarray, size: np.ndarray, counts: np.ndarr
     return text[near], h[near]
 
 
-def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bits: int) -> DataFrame:
-    """(h, th, n) as a table: prefix shingles that more than one row has, with their text and its number of shingles. df: th, text."""
+def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bits: int, sample_rows: int = 50_000) -> DataFrame:
+    """(h, th, n) as a table: prefix shingles that more than one row has, with their text and its number of shingles. df: th, text.
+
+    The order of the shingles is set by a sketch of about `sample_rows` texts,
+    chosen by hash; any order finds the same pairs, with more or less work.
+    """
     sc = df.sparkSession.sparkContext
 
     def sketch(batches):
@@ -248,9 +252,10 @@ def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bi
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["slot", "n"])
 
-    got = df.select("text").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
-    counts = np.zeros(SKETCH, np.int64)
-    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    some = F.pmod(F.xxhash64("th", F.lit(31)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / max(1, df.count())) * (1 << 30)))
+    got = df.where(some).select("text").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts = np.zeros(SKETCH, np.int32)
+    counts[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), (1 << 31) - 1)
     order = sc.broadcast(counts)
 
     def count(batches):
@@ -260,9 +265,11 @@ def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bi
                 found.append(prefixes(*shingle_sets(texts[a:b], words), order.value, similarity)[1])
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        give_back()
 
-    repeated = df.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    shared = sc.broadcast(bit_table(table(repeated), max_filter_bits))
+    repeated = table(df.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    shared = sc.broadcast(bit_table(repeated, max_filter_bits))
+    drop(repeated)
 
     def again(batches):
         for batch in batches:
@@ -273,6 +280,7 @@ def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bi
                 hit = has_bit(shared.value, h.view(np.int64))
                 text, h = text[hit], h[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[a:b][text]), pa.array(size[text])], ["h", "th", "n"])
+        give_back()
 
     return table(df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long").distinct())
 
@@ -287,7 +295,9 @@ def _sets(df: DataFrame, wanted: DataFrame, words: int, max_filter_bits: int) ->
     wanted = table(wanted.distinct())
     some = bit_flag(bit_table(wanted.select(F.col("th").alias("h")), max_filter_bits), df.sparkSession)
     one = df.where(some("th")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    return table(per_text(one, run, "set array<long>", text="text", keep=["th"]))
+    out = table(per_text(one, run, "set array<long>", text="text", keep=["th"]))
+    drop(wanted)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -315,19 +325,28 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
     pairs = table(pairs.union(equal).distinct())
     rows = _shared_prefixes(df, words, similarity, max_filter_bits)
     more = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    rows = table(rows.join(more.select("h"), "h", "left_semi"))
+    several = table(rows.join(more.select("h"), "h", "left_semi"))
+    # a text that has a similar one shares at least so many
+    enough = several.groupBy("th").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") > F.floor(F.lit(EXTRA * similarity) * F.col("n")))
+    drop(rows)
+    rows = table(several.join(enough.select("th"), "th", "left_semi"))
+    drop(several)
     sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words, max_filter_bits)
     found = [table(_verified(pairs, sets, similarity))]
+    drop(pairs)
     hubs = 1
     while True:
+        before = rows
         of = components(reduce(DataFrame.union, found)).select(F.col("node").alias("th"), "component")
         rows = rows.select("h", "th", "n").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
         centres = [F.min_by("th", F.xxhash64("th", F.lit(i))) for i in range(hubs)]
         some = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array(*centres)).alias("hubs")).where("x <> y")
         some = table(some.select("h", "hubs"))
         if some.isEmpty():
+            drop(before, sets, some)
             return reduce(DataFrame.union, found)
         rows = table(rows.join(some.select("h"), "h", "left_semi"))
+        drop(before)
         hub = table(some.select(F.explode("hubs").alias("th")).distinct())
         centre = table(rows.join(hub, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
         like = F.least("n", "na") >= F.lit(similarity) * F.greatest("n", "na") - 1e-9
@@ -336,7 +355,9 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
         # two hubs meet from both sides, so their count is twice too high: that lets a pair pass, never drops one
         met = table(met.where(F.col("k") > F.floor(F.lit(EXTRA) * F.col("n"))).select("a", "b"))
         found.append(table(_verified(met, sets, similarity)))
-        rows = rows.join(hub, "th", "left_anti")
+        left = table(rows.join(hub, "th", "left_anti"))
+        drop(rows, some, hub, centre, met)
+        rows = left
         hubs = min(64, hubs * 4)
 
 

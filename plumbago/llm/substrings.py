@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Rolling, Words, bit_flag, bit_table, give_back, has_bit, named, signed, slices, table, texts_of, tune
+from .common import Rolling, Words, bit_flag, bit_table, drop, give_back, has_bit, named, signed, slices, table, texts_of, tune
 
 KMER = Rolling(0xD1342543DE82EF95)
 EDGE = Rolling(0xAF251AF3B0F025B5)
@@ -77,7 +77,10 @@ def _repeated_bits(df: DataFrame, text: str, window: int, kmer: int, max_bits: i
     key = F.shiftright("h", 1)
     met = met.repartition(key).groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.max(F.col("h").bitwiseAND(F.lit(1))).alias("more"))
     repeated = met.where("n > 1 OR more = 1").select(F.shiftleft("k", 1).alias("h"))
-    return bit_table(table(repeated), max_bits)
+    repeated = table(repeated)
+    bits = bit_table(repeated, max_bits)
+    drop(repeated)
+    return bits
 
 
 def _edges(df: DataFrame, window: int, kmer: int, bitmap: np.ndarray, heads: np.ndarray | None = None) -> DataFrame:
@@ -187,7 +190,9 @@ def _digests(docs: DataFrame, spans: DataFrame, max_filter_bits: int) -> DataFra
         give_back()
 
     one = docs.where(some).join(by, ["doc", "th"]).select("doc", "th", "text", "spans")
-    return table(one.mapInArrow(run, "doc long, th long, start int, end int, h long, own boolean, x long, y long").distinct())
+    out = table(one.mapInArrow(run, "doc long, th long, start int, end int, h long, own boolean, x long, y long").distinct())
+    drop(by)
+    return out
 
 
 def repeated_spans(
@@ -210,7 +215,9 @@ def repeated_spans(
     found = at.join(src, "h").select(
         "doc", "th", F.col("pos").alias("start"), (F.col("pos") + F.col("n_edges") + window - 1).alias("end"), "h", (F.struct("doc", "th", "pos") == F.col("src")).alias("own")
     )
-    spans = _digests(docs, table(found), max_filter_bits)
+    found = table(found)
+    spans = _digests(docs, found, max_filter_bits)
+    drop(heads, found)
     # a span counts only if its words are those at its source's coordinates; sources are a table, so that Spark can split a frequent path's spans
     sources = table(spans.where("own").select("h", "x", "y"))
     return spans.where("NOT own").join(sources, ["h", "x", "y"], "left_semi").select("doc", "th", "start", "end")
