@@ -307,6 +307,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
+def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """The table of components (th, component) after further links (a, b): only the components that these touch are joined anew."""
+    if links.isEmpty():
+        return of
+    for end in ("a", "b"):
+        links = links.join(of.select(F.col("th").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    links = table(links.where("a <> b").distinct())
+    new = table(components(links))
+    out = of.join(new.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("th", F.coalesce("up", "component").alias("component"))
+    # texts that were on their own
+    out = table(out.union(new.select(F.col("node").alias("th"), "component").join(of.select("th"), "th", "left_anti")))
+    drop(links, new, of)
+    return out
+
+
 def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int, max_filter_bits: int = 1 << 27) -> DataFrame:
     """Links (a, b) between text hashes that connect all texts of Jaccard similarity >= `similarity`, and no others. texts: th, fp; df: th, text.
 
@@ -335,15 +350,15 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
     found = [table(_verified(pairs, sets, similarity))]
     drop(pairs)
     hubs = 1
+    of = table(components(found[0]).select(F.col("node").alias("th"), "component"))
     while True:
         before = rows
-        of = components(reduce(DataFrame.union, found)).select(F.col("node").alias("th"), "component")
         rows = rows.select("h", "th", "n").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
         centres = [F.min_by("th", F.xxhash64("th", F.lit(i))) for i in range(hubs)]
         some = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array(*centres)).alias("hubs")).where("x <> y")
         some = table(some.select("h", "hubs"))
         if some.isEmpty():
-            drop(before, sets, some)
+            drop(before, sets, some, of)
             return reduce(DataFrame.union, found)
         rows = table(rows.join(some.select("h"), "h", "left_semi"))
         drop(before)
@@ -357,6 +372,7 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
         found.append(table(_verified(met, sets, similarity)))
         left = table(rows.join(hub, "th", "left_anti"))
         drop(rows, some, hub, centre, met)
+        of = _merged(of, found[-1])
         rows = left
         hubs = min(64, hubs * 4)
 
