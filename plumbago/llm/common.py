@@ -208,6 +208,8 @@ def byte_class(members: bytes) -> np.ndarray:
 IS_SPACE = byte_class(SPACES)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 512
+_SIZE_HASH = mix(np.arange(LONG_WORD + 1, dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -216,17 +218,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     padded[: len(data)] = data
     eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
     size = ends - starts
-    h = mix(size.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) ^ np.uint64(seed))
-    todo = np.flatnonzero((size > 0) & (size <= LONG_WORD))
-    at = 0
-    while len(todo):
-        left = size[todo] - at
-        chunk = eight[starts[todo] + at]
-        part = left < 8
-        chunk[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
-        x = (h[todo] ^ chunk) * np.uint64(0xD6E8FEB86659FD93)
+    h = _SIZE_HASH[np.minimum(size, LONG_WORD)] ^ np.uint64(seed)
+
+    def absorbed(h, chunk):
+        x = (h ^ chunk) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        h[todo] = x * np.uint64(0xC4CEB9FE1A85EC53)
+        return x * np.uint64(0xC4CEB9FE1A85EC53)
+
+    h = absorbed(h, eight[starts] & _LOW_BYTES[np.minimum(size, 8)])
+    todo, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(todo):
+        h[todo] = absorbed(h[todo], eight[starts[todo] + at] & _LOW_BYTES[np.minimum(size[todo] - at, 8)])
         at += 8
         todo = todo[size[todo] > at]
     for k in np.flatnonzero(size > LONG_WORD):

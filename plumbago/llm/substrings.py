@@ -173,20 +173,21 @@ def _digests(docs: DataFrame, spans: DataFrame, max_filter_bits: int) -> DataFra
     def run(batches):
         for batch in batches:
             texts, spans = texts_of(batch.column(2)), batch.column(3)
-            for a, b in slices(texts):
-                w = Words(texts[a:b], hashes=False)
-                data, cols = w.data, [[] for _ in range(8)]
-                for k in range(a, b):
-                    flat, doc, th = spans[k].values, batch.column(0)[k], batch.column(1)[k]
-                    first = w.first[k - a]
-                    for start, end, h, own in zip(*(flat.field(c).to_pylist() for c in ("start", "end", "h", "own"))):
-                        span = [data[w.starts[i] : w.ends[i]].tobytes() for i in range(first + start, first + end)]
-                        d = xxhash.xxh3_128_intdigest(b" ".join(span))
-                        for c, v in zip(cols, (doc.as_py(), th.as_py(), start, end, h, own, d >> 64, d & ((1 << 64) - 1))):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds)] + [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[6:]]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "th", "start", "end", "h", "own", "x", "y"])
+            n = spans.value_lengths().to_numpy()
+            flat = spans.flatten()
+            first = np.cumsum(n) - n
+            start, end = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+            found = []
+            for k, text in enumerate(texts):
+                words = text.split()
+                joined, off = b" ".join(words), np.zeros(len(words) + 1, np.int64)
+                np.cumsum([len(w) + 1 for w in words], out=off[1:])
+                mine = slice(first[k], first[k] + n[k])
+                found += [xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(off[start[mine]].tolist(), (off[end[mine]] - 1).tolist())]
+            both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            place = pa.array(np.repeat(np.arange(len(texts)), n))
+            cols = [batch.column(0).take(place), batch.column(1).take(place), *[flat.field(c) for c in ("start", "end", "h", "own")], pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "start", "end", "h", "own", "x", "y"])
         give_back()
 
     one = docs.where(some).join(by, ["doc", "th"]).select("doc", "th", "text", "spans")
