@@ -17,14 +17,14 @@ def triple(df: DataFrame, sub, rel: str, obj) -> DataFrame:
     return df.select(as_col(sub).alias("sub"), F.lit(rel).alias("rel"), as_col(obj).alias("obj")).where("sub is not null AND obj is not null")
 
 
-def evaluation_triples(rows: DataFrame, most_levels: int = 4) -> DataFrame:
+def evaluation_triples(rows: DataFrame) -> DataFrame:
     """Triples of recursive evaluation rows (task, datasets array<struct<dataset, models array<string>>>, subtasks as JSON).
 
-    Each level of subtasks is parsed and exploded in turn, down to a fixed depth.
+    Each level of subtasks is parsed and exploded in turn, until there is none.
     """
     schema = "array<struct<task:string,datasets:array<struct<dataset:string,models:array<string>>>,subtasks:string>>"
     parts, now = [], rows.select("task", "datasets", "subtasks", F.lit(None).cast("string").alias("parent"))
-    for _ in range(most_levels):
+    while not parts or not now.isEmpty():
         d = now.select("task", F.explode("datasets").alias("d"))
         m = d.select("task", F.col("d.dataset").alias("dataset"), F.explode("d.models").alias("model"))
         parts += [triple(now, "task", "SUBTASK OF", "parent"), triple(d, "task", "HAS DATASET", F.col("d.dataset")), triple(m, "dataset", "EVALUATES", "model"), triple(m, "model", "CAN MODEL", "task")]

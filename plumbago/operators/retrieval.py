@@ -17,9 +17,11 @@ from plumbago.runtime import ship
 QUERY_BLOCK = 2048
 
 
-def postings(docs: DataFrame, doc_id: str, tokens) -> DataFrame:
-    """(term, doc, tf, dl): an inverted index as rows."""
+def postings(docs: DataFrame, doc_id: str, tokens, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, dl): an inverted index as rows; of the distinct `terms` (term) only, where given: the others are left out before any shuffle."""
     x = docs.select(F.col(doc_id).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if terms is not None:
+        x = x.join(terms, "term", "left_semi")
     return x.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -27,10 +29,11 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.6
     """(q, doc, score): sum over distinct query terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), idf = ln(N / df).
 
     index: postings; stats: one row (n_docs, avgdl); queries: (q, term), distinct.
-    Query terms select the postings before anything else is joined; a frequent
+    Give postings the query terms, so that only they are grouped; a frequent
     term is a skewed join, which Spark splits, and scores are summed before the shuffle.
     """
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    # reads tf, so that both uses of the index have one exchange
+    df = index.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     wanted = queries.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     wanted = wanted.select("q", "term", F.log(F.col("n_docs") / F.col("df")).alias("idf"), "avgdl")
     hit = index.join(wanted, "term")
