@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,26 +65,27 @@ def named(column: str):
 
 
 def _allocator():
-    """The C library's calls that set how memory is kept, where it has them; freed memory isn't kept for long."""
+    """The C library's call that gives freed memory back, where it has one; few heaps for threads."""
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 18)  # from this size on a block is a mapping of its own
-        libc.mallopt(-8, 2)  # heaps for threads
+        libc.mallopt(-8, 2)
         return libc.malloc_trim
     except (AttributeError, OSError):
         return lambda pad: 0
 
 
-_trim = None
+_trim, _trimmed = None, 0.0
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system, as Python workers are used again by other jobs."""
-    global _trim
+def give_back(seconds: float = 2.0) -> None:
+    """Freed memory goes back to the system, every so many seconds, as Python workers are used again by other jobs."""
+    global _trim, _trimmed
     if _trim is None:
         _trim = _allocator()
-    pa.default_memory_pool().release_unused()
-    _trim(0)
+    if time.monotonic() - _trimmed > seconds:
+        pa.default_memory_pool().release_unused()
+        _trim(0)
+        _trimmed = time.monotonic()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
