@@ -148,12 +148,12 @@ def build(m: Model):
     return t
 
 
-def build_decoder(m: Model, strip: bool = True):
-    """A tokenizers.Tokenizer that decodes the model's ids; the space that stands for the dummy prefix goes, if `strip`."""
+def build_decoder(m: Model):
+    """A tokenizers.Tokenizer that decodes the model's ids; the space that stands for the dummy prefix goes."""
     from tokenizers import Tokenizer, decoders, models
 
     t = Tokenizer(models.WordLevel({p: i for i, (p, _, _) in enumerate(m.pieces)}, unk_token=m.pieces[m.unk_id][0]))
-    last = [decoders.Strip(" ", 1, 0)] if strip and m.add_dummy_prefix else []
+    last = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *last])
     return t
 
@@ -168,7 +168,7 @@ class Encoder:
     encoded is also encoded by sentencepiece and compared.
     """
 
-    MOST = 200_000
+    MOST = 500_000
 
     def __init__(self, data: bytes, verify: bool = False):
         from tokenizers import normalizers
@@ -177,7 +177,7 @@ class Encoder:
         self.tokenizer = build(m)
         self.by_word = self.tokenizer.pre_tokenizer is not None and not m.charsmap and not m.remove_extra_whitespaces
         self.prefix = b" " if m.add_dummy_prefix else b""
-        self.decoder, self.raw = build_decoder(m), build_decoder(m, strip=False)
+        self.decoder = build_decoder(m)
         self.spelled = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(m.pieces) if k == BYTE} if m.byte_fallback and m.kind == UNIGRAM else {}
         self.known = None
         if verify:
@@ -251,12 +251,7 @@ class Encoder:
         counts = np.fromiter(map(len, got), np.int64, len(got))
         good = np.ones(len(words), bool)
         if self.known is not None:
-            plain = [w.replace(MARK, " ") for w in words]
-            cut = len(self.prefix)
-            # a space alone is an empty text with its prefix, which sentencepiece gives no ids: its one piece is looked up
-            want = [y if w[cut:] else [self.known.piece_to_id(MARK)] for w, y in zip(plain, self.known.encode([w[cut:] for w in plain], num_threads=1))]
-            good[:] = [x == y for x, y in zip(got, want)]
-            good &= [x == y for x, y in zip(plain, self.raw.decode_batch(got, skip_special_tokens=False))]
+            good[:] = self._alike(words, got)
         at = np.arange(len(self.counts), len(self.counts) + len(words))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts, self.good = np.concatenate([self.counts, counts]), np.concatenate([self.good, good])
@@ -264,6 +259,15 @@ class Encoder:
         where = np.searchsorted(self.keys, names)
         self.keys, self.at = np.insert(self.keys, where, names), np.insert(self.at, where, at)
 
+    def _alike(self, words: list[str], got: list[list[int]]) -> list[bool]:
+        """Whether sentencepiece gives the same ids: for all words as one text, as it splits where words do, and only if not for each one."""
+        plain, cut = [w.replace(MARK, " ") for w in words], len(self.prefix)
+        if all(w.strip(MARK) for w in words) and self.known.encode("".join(plain)[cut:]) == list(itertools.chain.from_iterable(got)):
+            return [True] * len(words)
+        # a space alone is an empty text with its prefix, which sentencepiece gives no ids: its one piece is looked up
+        want = [y if w[cut:] else [self.known.piece_to_id(MARK)] for w, y in zip(plain, self.known.encode([w[cut:] for w in plain], num_threads=1))]
+        return [x == y for x, y in zip(got, want)]
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids, the dummy prefix included; for models by word."""
         return self.flat[gather(self.places[ids], self.sizes[ids])].tobytes()
