@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -322,15 +321,22 @@ def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int, max_filter_bits: int = 1 << 27) -> DataFrame:
-    """Links (a, b) between text hashes that connect all texts of Jaccard similarity >= `similarity`, and no others. texts: th, fp; df: th, text.
+#: Rows of prefixes that a round may compare with hubs, as a multiple of all rows of prefixes.
+ROUND = 32
+
+
+def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int, max_filter_bits: int = 1 << 27) -> DataFrame:
+    """(th, component) as a table: the least text hash that links of Jaccard similarity >= `similarity` reach, for texts with any. texts: th, fp; df: th, text.
 
     First the trie's links between fingerprints, verified. Then, in rounds, the
-    texts that share enough shingles of their prefixes: of each shingle's texts
-    some are hubs, which are compared with all the others that are in other
-    components and of like size, and are done with. So a group of copies is
-    linked to its hub without giving all its pairs, and no pair between
-    components is left out.
+    texts that share enough shingles of their prefixes: some texts are hubs,
+    which are compared with all others of other components and of like size,
+    and are done with. In the first round each shingle names one hub, so that a
+    group of copies is linked without giving all its pairs; from then on all
+    texts outside a shingle's largest component are hubs, after which the
+    shingle is done with. Where that would compare more than ROUND times the
+    rows, a share of the hubs, by hash, is left to later rounds. No pair
+    between components is left out.
     """
     stand = texts.groupBy("fp").agg(F.min("th").alias("th"))
     near = links(stand, budget, cell_rows)
@@ -346,35 +352,40 @@ def similar_links(texts: DataFrame, df: DataFrame, *, words: int, budget: int, s
     drop(rows)
     rows = table(several.join(enough.select("th"), "th", "left_semi"))
     drop(several)
+    most = ROUND * rows.count()
     sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words, max_filter_bits)
-    found = [table(_verified(pairs, sets, similarity))]
-    drop(pairs)
-    hubs = 1
-    of = table(components(found[0]).select(F.col("node").alias("th"), "component"))
+    found = table(_verified(pairs, sets, similarity))
+    of = table(components(found).select(F.col("node").alias("th"), "component"))
+    drop(pairs, found)
+    done = 0
     while True:
         before = rows
         rows = rows.select("h", "th", "n").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
-        centres = [F.min_by("th", F.xxhash64("th", F.lit(i))) for i in range(hubs)]
-        some = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array(*centres)).alias("hubs")).where("x <> y")
-        some = table(some.select("h", "hubs"))
+        some = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("th").alias("x"), "th")).alias("low"))
+        some = some.groupBy("h").agg(F.sum("m").alias("k"), F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("major"), F.min("low")["th"].alias("first"))
+        some = table(some.where("parts > 1").drop("parts"))
         if some.isEmpty():
-            drop(before, sets, some, of)
-            return reduce(DataFrame.union, found)
-        rows = table(rows.join(some.select("h"), "h", "left_semi"))
-        drop(before)
-        hub = table(some.select(F.explode("hubs").alias("th")).distinct())
-        centre = table(rows.join(hub, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
+            drop(before, sets, some)
+            return of
+        rows = table(rows.join(some, "h"))
+        drop(before, some)
+        hub = F.col("component") != F.col("major") if done else F.col("th") == F.col("first")
+        hubs = table(rows.where(hub).select("th").distinct())
+        centre = table(rows.join(hubs, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "k"))
+        meet = centre.groupBy("h").agg((F.count("*") * F.max("k")).alias("x")).agg(F.sum("x")).first()[0]
+        share = F.lit(int(min(1.0, most / meet) * (1 << 30)))
+        now = lambda c: F.pmod(F.xxhash64(c, F.lit(done)), F.lit(1 << 30)) < share
         like = F.least("n", "na") >= F.lit(similarity) * F.greatest("n", "na") - 1e-9
-        met = rows.join(centre, "h").where((F.col("component") != F.col("ca")) & like)
+        met = rows.drop("k").join(centre.where(now("a")).drop("k"), "h").where((F.col("component") != F.col("ca")) & like)
         met = met.groupBy(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("n", "na")).alias("n"))
         # two hubs meet from both sides, so their count is twice too high: that lets a pair pass, never drops one
         met = table(met.where(F.col("k") > F.floor(F.lit(EXTRA) * F.col("n"))).select("a", "b"))
-        found.append(table(_verified(met, sets, similarity)))
-        left = table(rows.join(hub, "th", "left_anti"))
-        drop(rows, some, hub, centre, met)
-        of = _merged(of, found[-1])
-        rows = left
-        hubs = min(64, hubs * 4)
+        found = table(_verified(met, sets, similarity))
+        left = table(rows.select("h", "th", "n").join(hubs.where(now("th")), "th", "left_anti"))
+        drop(rows, hubs, centre, met)
+        of = _merged(of, found)
+        drop(found)
+        rows, done = left, done + 1
 
 
 def near_duplicates(
@@ -399,11 +410,10 @@ def near_duplicates(
     key = "fp" if similarity is None else "th"
     classes = table(docs.groupBy(key).agg(F.min("id").alias("low"), *([F.first("fp").alias("fp")] if key == "th" else [])))
     if similarity is None:
-        found = links(classes, budget, cell_rows)
+        comp = components(links(classes, budget, cell_rows)).select(F.col("node").alias(key), "component")
     else:
-        found = similar_links(classes.select("th", "fp"), base.select("th", "text"), words=words, budget=budget, similarity=similarity, cell_rows=cell_rows)
-    comp = components(found)
-    of = classes.select(key, "low").join(comp.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
+        comp = similar_components(classes.select("th", "fp"), base.select("th", "text"), words=words, budget=budget, similarity=similarity, cell_rows=cell_rows)
+    of = classes.select(key, "low").join(comp, key, "left").withColumn("component", F.coalesce("component", key))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(low, "component").select(key, "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
