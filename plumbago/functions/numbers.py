@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What stands for a missing metric, and multipliers by suffix.
-MISSING = ["", "-", "n/a", "none", "nan"]
-SUFFIXES = {"k": 1e3, "m": 1e6, "b": 1e9, "g": 1e9}
+#: What stands for a missing metric, signs between a value and its delta, and multipliers by suffix, in order.
+MISSING = ["-", "--", "–", "?", "", "%"]
+DELTA_SIGNS = ["+/-", "±", "+-", "-+"]
+SUFFIXES = [("M", 1e6), ("m", 1e6), ("M+", 1e6), ("m+", 1e6), ("MB", 1e6), ("K", 1e3), ("k", 1e3), ("B", 1e9), ("G", 1e9)]
 
 
 def lenient(x: Column) -> Column:
@@ -18,19 +21,31 @@ def lenient(x: Column) -> Column:
 
 
 def value_and_delta(x: Column, symbol: str = "±") -> Column:
-    parts = F.split(x, symbol)
-    return F.struct(lenient(F.get(parts, F.lit(0))).alias("value"), lenient(F.get(parts, F.lit(1))).alias("delta"))
+    """(value, delta) of a text with one such symbol, `%` ignored; nulls otherwise."""
+    parts = F.split(F.replace(x, F.lit("%"), F.lit("")), re.escape(symbol))
+    of = lambda i: F.when(F.size(parts) == 2, lenient(F.get(parts, F.lit(i))))
+    return F.struct(of(0).alias("value"), of(1).alias("delta"))
 
 
 def metric(x: Column) -> Column:
-    """A metric's number: markers of missing values, brackets, `%`, suffixes and decimal commas allowed for."""
-    t = F.lower(F.trim(F.split_part(x, F.lit("("), F.lit(1))))
-    t = F.regexp_replace(t, "%$", "")
-    t = F.when(t.rlike(r"^-?[0-9]+,[0-9]{1,2}$"), F.replace(t, F.lit(","), F.lit("."))).otherwise(t)
-    out = lenient(t)
-    for s, times in SUFFIXES.items():
-        out = F.when(t.endswith(s), lenient(F.substr(t, F.lit(1), F.length(t) - 1)) * times).otherwise(out)
-    return F.when(t.isin(MISSING), F.lit(None).cast("double")).otherwise(out)
+    """A metric's number: missing markers, brackets, `%`, decimal commas, deltas (left out) and suffixes allowed for; null if it is none."""
+    t = x
+    for end in "-–e":
+        t = F.btrim(t, F.lit(end))
+    missing = t.isin(MISSING)
+    t = F.when(t.contains(",") & ~t.rlike("[().]"), F.replace(t, F.lit(","), F.lit("."))).otherwise(t)
+    t = F.split_part(t, F.lit("("), F.lit(1))
+
+    def number(v: Column) -> Column:
+        v = F.replace(F.replace(v, F.lit("%"), F.lit("")), F.lit(".."), F.lit("."))
+        return lenient(F.replace(v, F.lit(":"), F.lit(".")))
+
+    out = number(t)
+    for suffix, times in reversed(SUFFIXES):
+        out = F.when(t.endswith(suffix), number(F.substr(t, F.lit(1), F.length(t) - len(suffix))) * times).otherwise(out)
+    for sign in reversed(DELTA_SIGNS):
+        out = F.when(t.contains(sign), value_and_delta(t, sign)["value"]).otherwise(out)
+    return F.when(~missing, out)
 
 
 def metric_values(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOOK_AROUND = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
@@ -92,27 +92,34 @@ def clean_step(x: Column) -> Column:
     return F.lower(camel_spaced(F.array_join(words, " ")))
 
 
-#: Fixed prefixes and suffixes that step labels lose, in order.
-STEP_AFFIXES = [("prefix", "step "), ("prefix", "part "), ("prefix", "how to "), ("prefix", "to "), ("suffix", " section"), ("suffix", " part"), ("suffix", ":"), ("suffix", ".")]
+#: Terms that step labels lose, in order, and at which ends.
+STEP_AFFIXES = [("lab", "both"), ("points", "both"), ("point", "both"), ("problem", "start"), ("question", "start"), ("part", "start"), ("solution", "end"), ("solutions", "end")]
 
 
 def strip_affixes(x: Column, affixes: list[tuple[str, str]] = STEP_AFFIXES) -> Column:
-    for side, term in affixes:
-        if side == "prefix":
-            x = F.when(x.startswith(term), F.substr(x, F.lit(len(term) + 1))).otherwise(x)
-        else:
-            x = F.when(x.endswith(term), F.substr(x, F.lit(1), F.length(x) - len(term))).otherwise(x)
-    return F.trim(x)
+    """A step label without the terms, each taken off once at its ends if a space parts it from the rest."""
+    for term, side in affixes:
+        if side != "end":
+            x = F.regexp_replace(x, f"^{term} ", "")
+        if side != "start":
+            x = F.regexp_replace(x, rf" {term}\z", "")
+    return x
+
+
+#: Characters of a query that become spaces, and words that it loses at its start, in order.
+QUERY_MARKS = [".", "!", "=", "–", '"', "\\", "$", "|", "'", ":", ")", "(", "[", "]", "}", "{"]
+QUERY_HEADS = ["COGS", "Exercise", "Aside", "Week", "Assignment", "Assignments", "Sheet"]
 
 
 def clean_query(x: Column) -> Column:
-    """A search query's normal form: lower case, quotes and brackets dropped, separators to spaces."""
-    x = F.lower(F.trim(x))
-    x = F.regexp_replace(x, r"\([^)]*\)", "")
-    x = F.translate(x, "\"'`?!", "")
-    x = F.regexp_replace(x, r"[/_\-:;,]+", " ")
-    x = F.regexp_replace(x, r"^(how to|how do i|how can i) ", "")
-    return F.trim(F.regexp_replace(x, " +", " "))
+    """A heading as a search query: its title without points, marks, tags, numbers and course words, in lower case; empty if it is no heading."""
+    x = clean_markdown(first_line_title(F.regexp_replace(strip_tags(x), r"\(\d+ points\)", "")))
+    x = F.trim(F.translate(F.replace(drop_step_numbers(x), F.lit("(TODO)"), F.lit(" ")), "\"'", "  "))
+    x = F.translate(F.replace(x, F.lit("(1.0 point)"), F.lit(" ")), "-", " ")
+    x = F.trim(F.translate(strip_question_tags(x), "".join(QUERY_MARKS), " " * len(QUERY_MARKS)))
+    for head in QUERY_HEADS:
+        x = F.trim(F.regexp_replace(x, f"^{head} ", ""))
+    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 
 def intent_of_question(x: Column) -> Column:
@@ -152,24 +159,21 @@ def n_lines(code: Column) -> Column:
     return F.size(F.filter(F.split(code, "\n"), lambda x: F.trim(x) != ""))
 
 
+#: General forms of plan labels and their templates, in order; {} is any text.
+LABEL_FORMS = {
+    "convert D1 to D2": "convert {} to {}", "function to do X": "function to do {}", "compute S": "compute {}", "create D": "create {}",
+    "copy D": "copy {}", "populate D": "populate {}", "iterate over D": "iterate over {}", "data filtering": "data filtering conditison",
+}
+
+
 def generalised(label: Column) -> Column:
-    """Labels of known forms by their template."""
+    """The general form of the first template that the whole label fits, letter case ignored; else the label."""
     out = label
-    for pattern, form in reversed([("^convert (.+?) to (.+)$", "convert type"), ("^(plot|draw|show) (.+)$", "plot data"), ("^(load|read|import) (.+)$", "load data"), ("^(drop|remove|delete) (.+)$", "drop data")]):
-        out = F.when(label.rlike(pattern), F.lit(form)).otherwise(out)
+    for form, template in reversed(LABEL_FORMS.items()):
+        out = F.when(label.rlike("(?is)^" + template.replace("{}", ".+?") + r"\z"), form).otherwise(out)
     return out
 
 
-def compound_parts(label: Column, known: Column, separators: tuple[str, ...] = (" to ", " and ", " & "), most: int = 4) -> Column:
-    """Parts of a compound label, where each has at most `most` words; a known label stays whole."""
-    out = F.array(label)
-    for s in reversed(separators):
-        parts = F.transform(F.split(label, s), lambda p: F.trim(p))
-        short = F.forall(parts, lambda p: (p != "") & (F.size(F.split(p, " +")) <= most))
-        out = F.when(label.contains(s) & short, parts).otherwise(out)
-    return F.when(known, F.array(label)).otherwise(out)
-
-
 def until_stop(x: Column, stops: list[str]) -> Column:
     """Text before the earliest stop token; all of it if there is none."""
     at = F.array_min(F.filter(F.array(*[F.instr(x, s) for s in stops]), lambda p: p > 0))
@@ -197,3 +201,47 @@ def without_comments(code: Column) -> Column:
     """Line and block comments of C-like languages go, quoted strings stay."""
     quoted = r'"(?:\\.|[^"\\])*"' + "|" + r"'(?:\\.|[^'\\])*'"
     return F.regexp_replace(code, f"({quoted})|//[^\\n]*|(?s:/\\*.*?\\*/)", "$1")
+
+
+#: Labels that stay whole, and labels that are dropped.
+WHOLE_LABELS = [
+    "impute missing data values, in order to preserve as much of the time series as possible",
+    "set the index to a datetimeindex type",
+    "computing alpha, beta, and r squared in python",
+    "get the sse by using the predictions for every x y_hats and the true y values",
+    "helper to create two separate dataframes for classification and regression",
+    "using principal component analysis to plot in two dimensions",
+    "how many rows and columns are in kallisto",
+    "split a dataframe into a testing and a test set",
+    "split up the data into a training set and a test set",
+]
+SKIPPED_LABELS = ["introduction", "linear", "load", "loading", "do exploratory data analysis", "bar charts", "assign it to a variable"]
+
+
+def compound_parts(labels: DataFrame) -> DataFrame:
+    """(label, parts): each distinct label with the parts that it is split into; itself if it isn't.
+
+    A label is split at its first ` to ` if a part is a label itself, else at
+    its only ` & ` (or, without one, ` and `) if a part of that is; else at the
+    first whose parts have over two words each. Null and empty labels are left out.
+    """
+    x = labels.select("label").where("label <> ''").distinct()
+    at = F.instr("label", " to ")
+    both = F.when(F.col("label").contains(" & "), F.split("label", " & ")).otherwise(F.split("label", " and "))
+    left, right = F.when(at > 0, F.substr("label", F.lit(1), at - 1)).otherwise(""), F.when(at > 0, F.substr("label", at + 4)).otherwise("")
+    pair = lambda i: F.when(F.size(both) == 2, F.get(both, F.lit(i))).otherwise("")
+    c = x.where((at > 0) | F.col("label").contains(" and ")).withColumn("p", F.array(left, right, pair(0), pair(1)))
+    known = c.select("label", F.posexplode("p").alias("i", "part")).join(x.select(F.col("label").alias("part")), "part")
+    known = known.groupBy("label").agg(F.bool_or(F.col("i") < 2).alias("to"), F.bool_or(F.col("i") > 1).alias("and"))
+    several = F.transform("p", lambda v: F.size(F.filter(F.split(v, r"\s+"), lambda w: w != "")) > 2)
+    to, also = F.slice("p", 1, 2), F.slice("p", 3, 2)
+    parts = (
+        F.when(F.col("label").isin(WHOLE_LABELS) | F.col("p").isNull(), F.array("label")).when(F.col("to"), to).when(F.col("and"), also)
+        .when(F.get(several, F.lit(0)) & F.get(several, F.lit(1)), to).when(F.get(several, F.lit(2)) & F.get(several, F.lit(3)), also).otherwise(F.array("label"))
+    )
+    return x.join(c, "label", "left").join(known, "label", "left").select("label", parts.alias("parts"))
+
+
+def simple_labels(labels: DataFrame) -> DataFrame:
+    """(label): distinct labels after compound ones are split, without SKIPPED_LABELS."""
+    return compound_parts(labels).select(F.explode("parts").alias("label")).distinct().where(~F.col("label").isin(SKIPPED_LABELS))

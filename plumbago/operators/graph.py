@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from plumbago.runtime import checkpoints
 
-#: Fixed inverse names of relations.
-INVERSE = {"CONSISTS OF": "IS A PART OF", "HAS STEP": "IS STEP OF", "HAS NEXT STEP": "HAS PREVIOUS STEP", "SUBCLASS OF": "HAS SUBCLASS"}
+#: Relations and their inverses, either way round, and the inverse of all others.
+INVERSE = {
+    "has part(s)": "part of", "influenced by": "influences", "uses": "used by", "has instance": "instance of", "modeled by": "can model", "superclass of": "subclass of",
+    "evaluated by": "evaluates", "has language": "has dataset", "better than": "worse than",
+}
 DEFAULT_INVERSE = "IS A PART OF"
 
 
 def inverse(rel: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in INVERSE.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, rel), F.lit(DEFAULT_INVERSE))
+    """The inverse relation in capitals; letter case and spaces around the relation are ignored."""
+    both = [(k.upper(), v.upper()) for pair in INVERSE.items() for k, v in (pair, pair[::-1])]
+    known = F.create_map(*[F.lit(x) for kv in both for x in kv])
+    return F.coalesce(F.try_element_at(known, F.upper(F.trim(rel))), F.lit(DEFAULT_INVERSE))
 
 
 def with_inverse(edges: DataFrame) -> DataFrame:

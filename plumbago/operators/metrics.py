@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.functions.code import vectorised
+
 
 def recall_at(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     """(k, recall, precision): share of queries with a relevant document in the first k, and the mean share of k that is relevant."""
@@ -91,6 +94,35 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     return x.select("id", F.round(F.coalesce(p, F.lit(0.0)), 6).alias("p"), F.round(F.coalesce(r, F.lit(0.0)), 6).alias("r"), F.round(f, 6).alias("f1"))
 
 
+WEIGHT = 1.2
+
+
+@vectorised("double")
+def weighted_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The greatest sum of k ** WEIGHT over runs of k equal neighbours in a common subsequence, as ROUGE-W counts it."""
+    def one(x, y):
+        score, run = [0.0] * (len(y) + 1), [0] * (len(y) + 1)
+        for u in x:
+            new, now = [0.0], [0]
+            for j, v in enumerate(y):
+                k = run[j] + 1 if u == v else 0
+                now.append(k)
+                new.append(score[j] + k**WEIGHT - (k - 1) ** WEIGHT if k else max(score[j + 1], new[j]))
+            score, run = new, now
+        return score[-1]
+
+    return pd.Series([one(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
+
+
+def rouge_w(pairs: DataFrame) -> DataFrame:
+    """(id, p, r, f1) by the longest common subsequence that favours runs."""
+    x = pairs.select("id", weighted_lcs("pred", "true").alias("m"), F.size("pred").alias("a"), F.size("true").alias("b"))
+    share = lambda n: F.coalesce(F.pow(F.try_divide("m", F.pow(n, F.lit(WEIGHT))), F.lit(1 / WEIGHT)), F.lit(0.0))
+    p, r = share(F.col("a")), share(F.col("b"))
+    f = F.when(F.col("m") > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return x.select("id", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f, 6).alias("f1"))
+
+
 def set_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
     """Share of the first sets' members that the second sets have, over all rows, in percent."""
     return df.agg(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.functions.code import vectorised
+
 
 def bigrams(df: DataFrame, seq: str, order: list[str], symbol: str) -> DataFrame:
     """(a, b, n): how often b follows a."""
@@ -45,18 +49,34 @@ def question_blocks(cells: DataFrame, is_question: Column, is_answer: Column) ->
     return x.groupBy("nb_id", "qa_id").agg(F.max(F.when(F.col("__q"), F.col("content"))).alias("question"), F.array_join(answers, "\n").alias("answer"))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: the dynamic programme's row as a fold."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
+def _common(a: list, b: list):
+    """After each element of `b`, the length of its longest common subsequence with `a` so far: rows of the table as bits of one number."""
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & masks.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield len(a) - row.bit_count()
+
 
-    def row(before: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            here = F.when(x == F.get(b, j - 1), F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(done, j - 1)))
-            return F.concat(done, F.array(here))
+@vectorised("int")
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays; null if one is."""
+    return pd.Series([None if x is None or y is None else max(_common(list(x), list(y)), default=0) for x, y in zip(a, b)], dtype="Int32")
 
-        return F.when(F.size(b) == 0, before).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(F.lit(0)), cell))
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
+@vectorised("struct<score:int,depth:int>")
+def best_prefix(prompt: pd.Series, seq: pd.Series) -> pd.DataFrame:
+    """The greatest common subsequence of a prompt with a proper prefix of a sequence, and the shortest such prefix's length."""
+    rows = []
+    for p, s in zip(prompt, seq):
+        score = list(_common(list(p), list(s[:-1])))
+        best = max(score, default=0)
+        rows.append((best, score.index(best) + 1 if score else None))
+    return pd.DataFrame(rows, columns=["score", "depth"]).astype("Int32")
 
 
 def prefixes(df: DataFrame, seq_id: str, seq: str) -> DataFrame:
@@ -66,17 +86,48 @@ def prefixes(df: DataFrame, seq_id: str, seq: str) -> DataFrame:
     return x.select(seq_id, "depth", F.slice(seq, F.lit(1), F.col("depth")).alias("prefix"), F.get(seq, F.col("depth")).alias("next"))
 
 
-def next_step(prompts: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
-    """The step that follows in the corpus sequence nearest to each prompt by common subsequence.
+def next_step(prompts: DataFrame, corpus: DataFrame, blocks: int = 8) -> DataFrame:
+    """(id, next, score, seq_id, depth): the step after the corpus prefix nearest to each prompt by common subsequence.
 
-    prompts: id, key, prefix; corpus: seq_id, key, prefix, next (its prefixes).
-    Joined on the key, never all with all; the first greatest wins.
+    prompts: id, prefix (a stated query set). corpus: seq_id, seq; sequences of
+    one step have no prefix. The first greatest wins, by seq_id and depth. Each
+    sequence's prefixes are scored in one pass. Prompts and corpus meet in
+    blocks of the corpus, and only the best of a block leaves it.
     """
-    p = prompts.select(F.col("id"), F.col(key).alias("k"), F.col("prefix").alias("p"))
-    c = corpus.select("seq_id", "depth", F.col(key).alias("k"), F.col("prefix").alias("c"), "next")
-    scored = p.join(c, "k").withColumn("score", lcs(F.col("p"), F.col("c")))
-    by = W.partitionBy("id").orderBy(F.desc("score"), "seq_id", "depth")
-    return scored.withColumn("n", F.row_number().over(by)).where("n = 1").select("id", "next", "score")
+    p = prompts.select("id", "prefix", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    c = corpus.where(F.size("seq") > 1).select("seq_id", "seq", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int").alias("block"))
+    x = p.join(c, "block").withColumn("best", best_prefix("prefix", "seq"))
+    x = x.select("id", F.struct((-F.col("best.score")).alias("lost"), "seq_id", F.col("best.depth").alias("depth"), F.get("seq", F.col("best.depth")).alias("next")).alias("b"))
+    return x.groupBy("id").agg(F.min("b").alias("b")).select("id", "b.next", (-F.col("b.lost")).alias("score"), "b.seq_id", "b.depth")
+
+
+def sequence_similarity(df: DataFrame, pairs: DataFrame, seq: str, item: str, vec: str, rows: int = 2000) -> DataFrame:
+    """(a, b, similarity): of two sequences of vectors, the mean of row maxima plus the mean of column maxima of their cosines.
+
+    pairs: a, b (sequence names). Sequences are cut into blocks of some `rows`
+    items that meet pairwise, so no task holds a whole long sequence.
+    """
+    n = df.groupBy(seq).agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    cut = df.join(n, seq).select(F.col(seq).alias("s"), F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item), "n").cast("int").alias("i"), "n")
+    n = n.select(F.col(seq).alias("s"), "n")
+    other = lambda side, far: cut.join(pairs, F.col("s") == F.col(side)).join(n.select(F.col("s").alias("far"), F.col("n").alias("nf")), F.col("far") == F.col(far)).select(
+        "a", "b", F.lit(side).alias("side"), "item", "v", "i", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("j")
+    )
+    both = other("a", "b").union(other("b", "a").select("a", "b", "side", "item", "v", F.col("j").alias("i"), F.col("i").alias("j")))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": [], "side": [], "item": [], "m": []})
+        u, v = (np.stack(z["v"].to_numpy()) for z in (x, y))
+        s = (u / np.linalg.norm(u, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+        out = pd.concat([x.assign(m=s.max(axis=1)), y.assign(m=s.max(axis=0))])
+        return out[["a", "b", "side", "item", "m"]]
+
+    types = dict(pairs.dtypes) | {"item": dict(df.dtypes)[item]}
+    found = both.groupBy("a", "b", "i", "j").applyInPandas(best, f"a {types['a']}, b {types['b']}, side string, item {types['item']}, m double")
+    found = found.groupBy("a", "b", "side", "item").agg(F.max("m").alias("m")).groupBy("a", "b", "side").agg(F.avg("m").alias("m"))
+    return found.groupBy("a", "b").agg(F.round(F.sum("m"), 6).alias("similarity"))
 
 
 def align(cells: DataFrame, reference: DataFrame) -> DataFrame:

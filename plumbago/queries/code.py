@@ -121,8 +121,8 @@ def syn28(spark, sf):
 
 @query("str21_str22_best_fuzzy_match")
 def str21(spark, sf):
-    """Best fuzzy match of each role's first words within a conversation."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 6).alias("t"))
+    """Best fuzzy match of a conversation's first text with its others."""
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     a, b = c.where("turn = 0"), c.where("turn > 0").select("conv_id", F.col("t").alias("u"))
     x = a.join(b, "conv_id", "left").withColumn("score", F.when(F.col("u").isNotNull(), C.token_set_ratio("t", F.coalesce("u", F.lit("")))))
     return x.groupBy("conv_id").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))

@@ -74,9 +74,12 @@ def kg1(spark, sf):
     return G.steps_to_triples(steps(spark))
 
 
-@query("kg2_inverse_relations", "SELECT DISTINCT r AS rel, CASE r WHEN 'HAS STEP' THEN 'IS STEP OF' WHEN 'SUBCLASS OF' THEN 'HAS SUBCLASS' ELSE 'IS A PART OF' END AS inverse FROM (VALUES ('HAS STEP'), ('SUBCLASS OF'), ('USES')) AS t(r)")
+RELATIONS = "uses,used by,Has Part(s),part of,influenced by,influences,has instance,instance of,modeled by,can model,superclass of,subclass of,evaluated by,evaluates,has language,has dataset,better than,worse than,HAS STEP"
+
+
+@query("kg2_inverse_relations", "SELECT * FROM (VALUES ('uses', 'USED BY'), ('used by', 'USES'), ('Has Part(s)', 'PART OF'), ('part of', 'HAS PART(S)'), ('influenced by', 'INFLUENCES'), ('influences', 'INFLUENCED BY'), ('has instance', 'INSTANCE OF'), ('instance of', 'HAS INSTANCE'), ('modeled by', 'CAN MODEL'), ('can model', 'MODELED BY'), ('superclass of', 'SUBCLASS OF'), ('subclass of', 'SUPERCLASS OF'), ('evaluated by', 'EVALUATES'), ('evaluates', 'EVALUATED BY'), ('has language', 'HAS DATASET'), ('has dataset', 'HAS LANGUAGE'), ('better than', 'WORSE THAN'), ('worse than', 'BETTER THAN'), ('HAS STEP', 'IS A PART OF')) AS v(rel, inverse)")
 def kg2(spark, sf):
-    return spark.createDataFrame([("HAS STEP",), ("SUBCLASS OF",), ("USES",)], "rel string").select("rel", G.inverse(F.col("rel")).alias("inverse"))
+    return spark.createDataFrame([(r,) for r in RELATIONS.split(",")], "rel string").select("rel", G.inverse(F.col("rel")).alias("inverse"))
 
 
 @query("kg17_ordered_children", STEP_SQL + "SELECT name, pos FROM st WHERE parent = 'cook'")
@@ -204,12 +207,11 @@ def jon13(spark, sf):
     return pair.groupBy(F.col("a.w").alias("parent"), F.col("b.w").alias("child")).agg(F.count("*").alias("n"))
 
 
-@query("jon15_containing_blocks", "SELECT a.event_id, count(b.user_id) AS n FROM (SELECT event_id, value, user_id FROM events WHERE event_id < 500) a LEFT JOIN (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY user_id) b ON b.user_id = a.user_id AND b.lo <= a.value AND a.value <= b.hi GROUP BY a.event_id")
+@query("jon15_containing_blocks", "SELECT a.event_id, count(b.user_id) AS n FROM events a LEFT JOIN (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY user_id) b ON b.user_id = a.user_id AND b.lo <= a.value AND a.value <= b.hi GROUP BY a.event_id")
 def jon15(spark, sf):
     e = read(spark, sf, "events")
     b = e.groupBy(F.col("user_id").alias("u")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    a = e.where("event_id < 500")
-    x = a.join(b, (F.col("user_id") == F.col("u")) & (F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi")), "left")
+    x = e.join(b, (F.col("user_id") == F.col("u")) & (F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi")), "left")
     return x.groupBy("event_id").agg(F.count("u").alias("n"))
 
 

@@ -44,11 +44,13 @@ def met11(spark, sf):
     return M.accuracy(x, "truth", "guess")
 
 
-PAIRS = """WITH x AS (SELECT a.conv_id AS id, regexp_extract_all(lower(a.text), '[a-z]+')[1:{n}] AS pred, regexp_extract_all(lower(b.text), '[a-z]+')[1:{n}] AS ref FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 1 AND b.turn = 0) """
+PAIRS = """WITH x AS (SELECT a.conv_id AS id, regexp_extract_all(lower(a.text), '[a-z]+'){n} AS pred, regexp_extract_all(lower(b.text), '[a-z]+'){n} AS ref FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 1 AND b.turn = 0) """
 
 
-def answers(spark, sf, n=50):
-    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", F.slice(tokens(F.col("text")), 1, n).alias("w"))
+def answers(spark, sf, n=None):
+    """Answers and what they answer, as words; the first n of them where the metric has such a limit."""
+    w = tokens(F.col("text"))
+    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", (w if n is None else F.slice(w, 1, n)).alias("w"))
     return c.where("turn = 1").select("id", F.col("w").alias("pred")).join(c.where("turn = 0").select("id", F.col("w").alias("true")), "id")
 
 
@@ -59,40 +61,58 @@ def _gram_sql(n):
     return f"(SELECT id, sum(least(coalesce(p.n, 0), coalesce(r.n, 0)))::DOUBLE AS m, sum(coalesce(p.n, 0))::DOUBLE AS np, sum(coalesce(r.n, 0))::DOUBLE AS nt FROM {g('pred')} p FULL JOIN {g('ref')} r USING (id, g) GROUP BY id)"
 
 
-@query("met8_rouge_1", PAIRS.format(n=50) + f"SELECT id, round(CASE WHEN np > 0 THEN m / np ELSE 0 END, 6) AS p, round(CASE WHEN nt > 0 THEN m / nt ELSE 0 END, 6) AS r, round(CASE WHEN m > 0 THEN 2 * (m / np) * (m / nt) / (m / np + m / nt) ELSE 0 END, 6) AS f1 FROM {_gram_sql(1)}")
-def met8(spark, sf):
-    return M.rouge_n(answers(spark, sf), 1)
+#: The metric's own limit of words.
+ROUGE_WORDS = 100
 
 
-@query("met8_rouge_2", PAIRS.format(n=50) + f"SELECT id, round(CASE WHEN np > 0 THEN m / np ELSE 0 END, 6) AS p, round(CASE WHEN nt > 0 THEN m / nt ELSE 0 END, 6) AS r, round(CASE WHEN m > 0 THEN 2 * (m / np) * (m / nt) / (m / np + m / nt) ELSE 0 END, 6) AS f1 FROM {_gram_sql(2)}")
-def met8_2(spark, sf):
-    return M.rouge_n(answers(spark, sf), 2)
+def _on_grams(k):
+    sql = PAIRS.format(n="[1:100]") + f"SELECT id, round(CASE WHEN np > 0 THEN m / np ELSE 0 END, 6) AS p, round(CASE WHEN nt > 0 THEN m / nt ELSE 0 END, 6) AS r, round(CASE WHEN m > 0 THEN 2 * (m / np) * (m / nt) / (m / np + m / nt) ELSE 0 END, 6) AS f1 FROM {_gram_sql(k)}"
+
+    @query(f"met8_rouge_{k}", sql)
+    def q(spark, sf):
+        return M.rouge_n(answers(spark, sf, ROUGE_WORDS), k)
+
+
+for _k in (1, 2, 3, 4):
+    _on_grams(_k)
 
 
 @query("met8_rouge_l")
 def met8_l(spark, sf):
-    return M.rouge_l(answers(spark, sf, 20))
+    return M.rouge_l(answers(spark, sf, ROUGE_WORDS))
+
 
+@query("met8_rouge_w")
+def met8_w(spark, sf):
+    return M.rouge_w(answers(spark, sf, ROUGE_WORDS))
 
-def _bleu_sql(weights):
+
+def _bleu_sql(weights, n=""):
     used = [(k, w) for k, w in enumerate(weights, 1) if w]
     sums = ", ".join(f"(SELECT sum(m) FROM {_gram_sql(k)}) AS m{k}, (SELECT sum(np) FROM {_gram_sql(k)}) AS p{k}" for k, _ in used)
     logs = " + ".join(f"{w} * ln(m{k} / p{k})" for k, w in used)
     zero = " OR ".join(f"m{k} = 0" for k, _ in used)
-    return PAIRS.format(n=100) + f", s AS (SELECT sum(len(pred))::DOUBLE AS lp, sum(len(ref))::DOUBLE AS lt, {sums} FROM x) SELECT round(CASE WHEN {zero} THEN 0 ELSE 100 * CASE WHEN lp > lt THEN 1 ELSE exp(1 - lt / lp) END * exp({logs}) END, 4) AS bleu FROM s"
+    return PAIRS.format(n=n) + f", s AS (SELECT sum(len(pred))::DOUBLE AS lp, sum(len(ref))::DOUBLE AS lt, {sums} FROM x) SELECT round(CASE WHEN {zero} THEN 0 ELSE 100 * CASE WHEN lp > lt THEN 1 ELSE exp(1 - lt / lp) END * exp({logs}) END, 4) AS bleu FROM s"
 
 
-@query("met6_corpus_bleu", _bleu_sql((0.5, 0.5, 0, 0)))
+@query("met6_corpus_bleu", _bleu_sql((0.5, 0.5, 0, 0), "[1:100]"))
 def met6(spark, sf):
     return M.corpus_bleu(answers(spark, sf, 100), (0.5, 0.5, 0, 0))
 
 
-@query("met7_bleu_b1", _bleu_sql((1.0, 0, 0, 0)))
-def met7(spark, sf):
-    return M.corpus_bleu(answers(spark, sf, 100), (1.0, 0, 0, 0))
+def _on_order(k):
+    weights = tuple(float(j == k) for j in (1, 2, 3, 4))
+
+    @query(f"met7_bleu_b{k}", _bleu_sql(weights))
+    def q(spark, sf):
+        return M.corpus_bleu(answers(spark, sf), weights)
+
+
+for _k in (1, 2, 3, 4):
+    _on_order(_k)
 
 
-@query("met9_set4_overlap", PAIRS.format(n=50) + "SELECT sum(len(list_intersect(pred, ref)))::BIGINT AS common, sum(len(list_distinct(pred)))::BIGINT AS total, round(100.0 * sum(len(list_intersect(pred, ref))) / sum(len(list_distinct(pred))), 6) AS pct FROM x")
+@query("met9_set4_overlap", PAIRS.format(n="") + "SELECT sum(len(list_intersect(pred, ref)))::BIGINT AS common, sum(len(list_distinct(pred)))::BIGINT AS total, round(100.0 * sum(len(list_intersect(pred, ref))) / sum(len(list_distinct(pred))), 6) AS pct FROM x")
 def met9(spark, sf):
     return M.set_overlap(answers(spark, sf), "pred", "true")
 

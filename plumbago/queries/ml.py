@@ -32,9 +32,8 @@ def tree(spark, sf):
     return ml.merge_tree(c)
 
 
-@query("ml8_prefix_batches", "SELECT conv_id, i AS n, array_to_string(w[1:i], ' ') AS prefix, w[i + 1] AS target FROM (SELECT conv_id, regexp_extract_all(lower(text), '[a-z]+')[1:8] AS w FROM conversations WHERE turn = 0), unnest(range(1, len(w))) AS t(i)")
+@query("ml8_prefix_batches", "SELECT conv_id, turn, i AS n, array_to_string(w[1:i], ' ') AS prefix, w[i + 1] AS target FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), unnest(range(1, len(w))) AS t(i)")
 def batches(spark, sf):
-    w = F.slice(tokens(F.col("text")), 1, 8)
-    x = read(spark, sf, "conversations").where("turn = 0").select("conv_id", w.alias("w")).where(F.size("w") > 1)
-    x = x.select("conv_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("n"))
-    return x.select("conv_id", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("prefix"), F.get("w", F.col("n")).alias("target"))
+    x = read(spark, sf, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w")).where(F.size("w") > 1)
+    x = x.select("conv_id", "turn", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("n"))
+    return x.select("conv_id", "turn", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("prefix"), F.get("w", F.col("n")).alias("target"))

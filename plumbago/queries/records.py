@@ -182,10 +182,10 @@ def ext6(spark, sf):
     return code_cells(spark).select("nb_id", "pos", n.alias("n")).where("n > 1")
 
 
-@query("ext11_node_key", "SELECT DISTINCT '{\"t\":\"' || event_type || '\",\"u\":' || user_id || '}' AS key FROM events WHERE user_id < 5")
+@query("ext11_node_key", "SELECT DISTINCT '{\"t\":\"' || event_type || '\",\"u\":' || user_id || '}' AS key FROM events")
 def ext11(spark, sf):
     key = F.to_json(F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("u")))
-    return read(spark, sf, "events").where("user_id < 5").select(key.alias("key")).distinct()
+    return read(spark, sf, "events").select(key.alias("key")).distinct()
 
 
 @query("ext13_token_views", "SELECT item_id, 'query' AS side, len(regexp_extract_all(lower(text), '[a-z]+'))::INT AS n FROM benchmark UNION ALL SELECT doc_id, 'doc', len(regexp_extract_all(lower(text), '[a-z]+'))::INT FROM documents")

@@ -56,9 +56,8 @@ def seq4(spark, sf):
 
 
 def symbol_sequences(spark, sf):
-    e = read(spark, sf, "events").where("user_id < 60")
     seq = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    return e.groupBy("user_id").agg(F.slice(seq, 1, 8).alias("s"))
+    return read(spark, sf, "events").groupBy("user_id").agg(seq.alias("s"))
 
 
 @query("num9_lcs_length")
@@ -69,34 +68,37 @@ def num9(spark, sf):
     return pair.select(F.col("a.user_id").alias("user_id"), S.lcs(F.col("a.s"), F.col("b.s")).alias("n"))
 
 
+def corpus(s):
+    return s.where("user_id % 20 <> 0").select(F.col("user_id").alias("seq_id"), F.col("s").alias("seq"))
+
+
 @query("seq6_next_step")
 def seq6(spark, sf):
-    s = S.prefixes(symbol_sequences(spark, sf), "user_id", "s").withColumn("k", F.get("prefix", F.lit(0)))
-    prompts = s.where("user_id < 10 AND depth = 4").select(F.col("user_id").alias("id"), "k", "prefix")
-    corpus = s.where("user_id >= 10").select(F.col("user_id").alias("seq_id"), "depth", "k", "prefix", "next")
-    return S.next_step(prompts, corpus, "k")
+    s = symbol_sequences(spark, sf)
+    return S.next_step(s.where("user_id % 20 = 0").select(F.col("user_id").alias("id"), F.col("s").alias("prefix")), corpus(s)).select("id", "next", "score")
 
 
-@query("seq7_accuracy_by_depth", """WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:8] AS s FROM events WHERE user_id < 60 GROUP BY user_id),
-p AS (SELECT user_id, d AS depth, s[d] AS last, s[d + 1] AS next FROM s, unnest(range(1, len(s))) AS t(d))
-SELECT depth, count(*) AS n, round(avg((last = next)::INT), 6) AS repeat_share FROM p GROUP BY depth""")
+@query("seq7_accuracy_by_depth")
 def seq7(spark, sf):
-    p = S.prefixes(symbol_sequences(spark, sf), "user_id", "s")
-    hit = (F.element_at("prefix", -1) == F.col("next")).cast("int")
-    return p.groupBy("depth").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("repeat_share"))
+    """How often the step foretold for each prefix of the query set's sequences comes, by its length."""
+    s = symbol_sequences(spark, sf)
+    p = S.prefixes(s.where("user_id % 20 = 0"), "user_id", "s").withColumn("id", F.struct("user_id", "depth"))
+    told = S.next_step(p.select("id", "prefix"), corpus(s)).select("id", F.col("next").alias("told"))
+    hit = (F.col("told") == F.col("next")).cast("int")
+    return p.select("id", "depth", "next").join(told, "id").groupBy("depth").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
 
 
-@query("seq8_sequence_similarity", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 60),
-d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s FROM e a JOIN e b ON a.label = 1 AND b.label = 2)
-SELECT round((SELECT avg(m) FROM (SELECT max(s) AS m FROM d GROUP BY a)) + (SELECT avg(m) FROM (SELECT max(s) AS m FROM d GROUP BY b)), 6) AS similarity""")
+@query("seq8_sequence_similarity", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
+d AS (SELECT a.label AS a, b.label AS b, a.vec_id AS x, b.vec_id AS y, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s FROM e a JOIN e b ON b.label = a.label + 1),
+r AS (SELECT a, b, avg(m) AS m FROM (SELECT a, b, x, max(s) AS m FROM d GROUP BY a, b, x) GROUP BY a, b), c AS (SELECT a, b, avg(m) AS m FROM (SELECT a, b, y, max(s) AS m FROM d GROUP BY a, b, y) GROUP BY a, b)
+SELECT a, b, round(r.m + c.m, 6) AS similarity FROM r JOIN c USING (a, b)""")
 def seq8(spark, sf):
-    from plumbago.operators.retrieval import pair_cosines
-
-    e = read(spark, sf, "embeddings").where("vec_id < 60")
-    d = pair_cosines(e.where("label = 1"), e.where("label = 2"), "vec_id", "embedding")
-    rows = d.groupBy("a").agg(F.max("score").alias("m")).agg(F.avg("m").alias("x"))
-    cols = d.groupBy("b").agg(F.max("score").alias("m")).agg(F.avg("m").alias("y"))
-    return rows.crossJoin(cols).select(F.round(F.col("x") + F.col("y"), 6).alias("similarity"))  # two single rows
+    """Each label's vectors as one sequence, against the next label's."""
+    e = read(spark, sf, "embeddings").where("label is not null and embedding is not null")
+    labels = e.select(F.col("label").alias("a")).distinct()
+    kind = dict(e.dtypes)["label"]
+    pairs = labels.select("a", (F.col("a") + 1).cast(kind).alias("b")).join(labels.select(F.col("a").alias("b")), "b").select("a", "b")
+    return S.sequence_similarity(e, pairs, "label", "vec_id", "embedding")
 
 
 TREE = [("# Load", 0), ("read file", 1), ("## Parse", 2), ("x = 1", 3), ("## Check", 4), ("y = 2", 5), ("# Plot", 6), ("plot()", 7), ("### Deep", 8), ("z", 9)]

@@ -17,6 +17,8 @@ ID_VALUES = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(IDS)) +
 MD = [
     "# Load *data* from [the site](http://example.org/a) now", "## Clean `df.dropna()` and `  ` values!", "plain text http://example.org/x?y=1 end",
     "Q1.2 find the mean", "Problem 3.1 &nbsp; plot", "<b>bold</b> and <i>it</i> <img src='a.png'> image", "#### Step 1: how to convert a list", "", "!wow!",
+    "lab load data lab", "points plot points 2 points", "solution to part one solution", "part two solutions", "problem question x", "convert a list to an array", "Compute the mean", "create a frame",
+    "data filtering conditison", "iterate over rows", "# Week Assignment 3.2: (3 points) Plot \"it\" [now] = 5", "## Exercise load-data (TODO) | $x$ 7a.", "load data", "plot it", "fit the big model & plot its large errors", "use it to plot it",
     "step 2 plot 3d data of col1 in (2 ways)", "How to convert str to int? (fast)", "Question 4: Mean: compute it (3 points)", "load data and plot it", "drop x & sort y",
 ]
 MD_VALUES = "(VALUES " + ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(MD)) + ") AS v(id, x)"
@@ -34,12 +36,34 @@ def on_literal(name, values, table_sql, column, sql):
     return q
 
 
+#: All lines of documents and pages, and literal ones of each form.
+LINES = f"""(SELECT 'fixed' AS src, id::BIGINT AS id, 0 AS pos, x FROM {MD_VALUES}
+UNION ALL SELECT 'documents', doc_id, (i - 1)::INT, l[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)
+UNION ALL SELECT 'pages', page_id, (i - 1)::INT, l[i] FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages), unnest(range(1, len(l) + 1)) AS t(i)) AS v"""
+
+
+def lines(spark, sf):
+    out = literal(spark, MD).select(F.lit("fixed").alias("src"), F.col("id").cast("long").alias("id"), F.lit(0).alias("pos"), "x")
+    for name, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+        out = out.union(read(spark, sf, name).select(F.lit(name), F.col(key).cast("long"), F.posexplode(F.split(text, "\n"))))
+    return out
+
+
 def on_ids(name, column, sql):
-    return on_literal(name, IDS, ID_VALUES, column, sql)
+    @query(name, f"SELECT x, {sql} AS y FROM (SELECT x FROM {ID_VALUES} UNION SELECT unnest(regexp_extract_all(text, '[A-Za-z_.]+')) FROM documents) AS u")
+    def q(spark, sf):
+        words = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_.]+"), F.lit(0))).alias("x"))
+        return literal(spark, IDS).select("x").union(words).distinct().select("x", column(F.col("x")).alias("y"))
+
+    return q
 
 
 def on_markdown(name, column, sql):
-    return on_literal(name, MD, MD_VALUES, column, sql)
+    @query(name, f"SELECT src, id, pos, {sql} AS y FROM {LINES}")
+    def q(spark, sf):
+        return lines(spark, sf).select("src", "id", "pos", column(F.col("x")).alias("y"))
+
+    return q
 
 
 on_ids("str1_camel_split", lambda x: F.array_join(T.camel_words(x), "|"), "replace(" + SPACED.format(x="x") + ", ' ', '|')")
@@ -53,8 +77,9 @@ on_markdown("str6_question_tags", T.strip_question_tags, r"regexp_replace(regexp
 on_markdown("str7_strip_urls", T.strip_urls, r"regexp_replace(x, 'http\S+', ' ', 'g')")
 on_markdown("str8_links_to_text", T.links_to_text, r"regexp_replace(x, '\[([^]]+)\]\(\s*(http[s]?://[^)]+)\s*\)', '\1', 'g')")
 on_markdown("str9_strip_images", T.strip_images, "regexp_replace(x, '(?is)<img.*?>', '', 'g')")
-on_markdown("str10_clean_markdown", T.clean_markdown, r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(regexp_replace(x, '[#`*]', '', 'g'), '!'), '&nbsp;', ''),
- '\[([^]]+)\]\(\s*(http[s]?://[^)]+)\s*\)', '\1', 'g'), 'http\S+', ' ', 'g'), '(?is)<img.*?>', '', 'g'), '[ \t\n\r\f]+', ' ', 'g'))""")
+CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(regexp_replace(x, '[#`*]', '', 'g'), '!'), '&nbsp;', ''),
+ '\[([^]]+)\]\(\s*(http[s]?://[^)]+)\s*\)', '\1', 'g'), 'http\S+', ' ', 'g'), '(?is)<img.*?>', '', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"""
+on_markdown("str10_clean_markdown", T.clean_markdown, CLEAN)
 on_markdown("str11_code_fragments", lambda x: F.array_join(T.code_fragments(x), "|"), "array_to_string(list_filter(list_transform(regexp_extract_all(x, '`([^`]*)`', 1), lambda c: trim(c)), lambda c: c <> ''), '|')")
 DROP_NUMBERS = r"array_to_string(list_transform(regexp_split_to_array({x}, '\s+'), lambda w: regexp_replace(w, '^\D*\d+\D*(\.)?\D*$', '')), ' ')"
 PUNCT = r"""regexp_replace(regexp_replace(x, '<.*?>', '', 'g'), '[!"#$%&''()*+,\-/:;<=>?@\[\\\]^_`{|}~]', ' ', 'g')"""
@@ -63,29 +88,46 @@ on_markdown("str13_drop_step_numbers", T.drop_step_numbers, DROP_NUMBERS.replace
 on_markdown("str14_letter_and_digit", T.has_letter_and_digit, "regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')")
 
 
-def _affix_sql(x: str) -> str:
-    steps = [f"s0 AS (SELECT id, lower(x) AS x FROM {MD_VALUES})"]
-    for k, (side, term) in enumerate(T.STEP_AFFIXES):
-        test, cut = (f"starts_with(x, '{term}')", f"substr(x, {len(term) + 1})") if side == "prefix" else (f"ends_with(x, '{term}')", f"substr(x, 1, length(x) - {len(term)})")
-        steps.append(f"s{k + 1} AS (SELECT id, CASE WHEN {test} THEN {cut} ELSE x END AS x FROM s{k})")
-    return "WITH " + ", ".join(steps) + f" SELECT id, trim(x) AS y FROM s{len(T.STEP_AFFIXES)}"
+def chain(source, *steps):
+    """SQL that applies expressions of x one after the other."""
+    parts = [f"s0 AS (SELECT src, id, pos, x FROM {source})"] + [f"s{k + 1} AS (SELECT src, id, pos, {e} AS x FROM s{k})" for k, e in enumerate(steps)]
+    return "WITH " + ", ".join(parts) + f" SELECT src, id, pos, x AS y FROM s{len(steps)}"
 
 
-@query("str15_strip_affixes", _affix_sql("x"))
+@query("str15_strip_affixes", chain(LINES, "lower(x)", *[f"regexp_replace(x, '{p}', '')" for p in (
+    "^lab ", " lab$", "^points ", " points$", "^point ", " point$", "^problem ", "^question ", "^part ", " solution$", " solutions$")]))
 def str15(spark, sf):
-    return literal(spark, MD).select("id", T.strip_affixes(F.lower("x")).alias("y"))
+    return lines(spark, sf).select("src", "id", "pos", T.strip_affixes(F.lower("x")).alias("y"))
+
+
+@query("str16_clean_query", chain(
+    LINES, r"regexp_replace(regexp_replace(x, '<.*?>', '', 'g'), '\(\d+ points\)', '', 'g')",
+    "CASE WHEN starts_with(trim(x), '#') THEN trim(split_part(regexp_replace(trim(x), '^#+', ''), chr(10), 1)) ELSE '' END", CLEAN, DROP_NUMBERS.replace("{x}", "x"),
+    r"trim(regexp_replace(replace(x, '(TODO)', ' '), '[\x22\x27]', ' ', 'g'))", "translate(replace(x, '(1.0 point)', ' '), '-', ' ')",
+    r"regexp_replace(regexp_replace(regexp_replace(x, 'Q\d+\.\d+', ' ', 'g'), 'Problem \d+\.\d+', ' ', 'g'), '\d+\.\d+', ' ', 'g')", r"trim(regexp_replace(x, '[.!=–\x22\\$|\x27:)(\[\]}{]', ' ', 'g'))",
+    *[f"trim(regexp_replace(x, '^{w} ', ''))" for w in ("COGS", "Exercise", "Aside", "Week", "Assignment", "Assignments", "Sheet")], r"lower(trim(regexp_replace(x, '\s+', ' ', 'g')))"))
+def str16(spark, sf):
+    return lines(spark, sf).select("src", "id", "pos", T.clean_query(F.col("x")).alias("y"))
 
 
-on_markdown("str16_clean_query", T.clean_query, r"""trim(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(lower(trim(x)), '\([^)]*\)', '', 'g'), '"''`?!', ''), '[/_\-:;,]+', ' ', 'g'),
- '^(how to|how do i|how can i) ', ''), ' +', ' ', 'g'))""")
 on_markdown("str17_question_intent", T.intent_of_question, "trim(split_part(string_split(string_split(x, 'Question')[-1], ':')[-1], '(', 1))")
 on_markdown("str18_html_residue", T.html_residue, "trim(translate(split_part(regexp_replace(x, '<dl.*?>', '', 'g'), chr(10), 1), '#¶', ''))")
 on_markdown("str19_predicate", T.predicate_of, "translate(translate(lower(trim(x)), '()', ''), ' ', '_')")
-on_markdown("str29_generalised", T.generalised, """CASE WHEN regexp_matches(x, '^convert (.+?) to (.+)$') THEN 'convert type' WHEN regexp_matches(x, '^(plot|draw|show) (.+)$') THEN 'plot data'
- WHEN regexp_matches(x, '^(load|read|import) (.+)$') THEN 'load data' WHEN regexp_matches(x, '^(drop|remove|delete) (.+)$') THEN 'drop data' ELSE x END""")
-SHORT = "len(list_filter(list_transform(string_split(x, '{s}'), lambda p: trim(p)), lambda p: p = '' OR len(regexp_split_to_array(p, ' +')) > 4)) = 0"
-COMPOUND = "CASE " + " ".join(f"WHEN contains(x, '{s}') AND {SHORT.replace('{s}', s)} THEN array_to_string(list_transform(string_split(x, '{s}'), lambda p: trim(p)), '|')" for s in (" to ", " and ", " & ")) + " ELSE x END"
-on_markdown("str30_compound_parts", lambda x: F.array_join(T.compound_parts(x, F.lit(False)), "|"), COMPOUND)
+on_markdown("str29_generalised", T.generalised, """CASE WHEN regexp_matches(x, '(?is)^convert .+? to .+$') THEN 'convert D1 to D2' WHEN regexp_matches(x, '(?is)^function to do .+$') THEN 'function to do X'
+ WHEN regexp_matches(x, '(?is)^compute .+$') THEN 'compute S' WHEN regexp_matches(x, '(?is)^create .+$') THEN 'create D' WHEN regexp_matches(x, '(?is)^copy .+$') THEN 'copy D' WHEN regexp_matches(x, '(?is)^populate .+$') THEN 'populate D'
+ WHEN regexp_matches(x, '(?is)^iterate over .+$') THEN 'iterate over D' WHEN lower(x) = 'data filtering conditison' THEN 'data filtering' ELSE x END""")
+
+
+@query("str30_compound_parts", f"""WITH x AS (SELECT DISTINCT lower(x) AS label FROM {LINES} WHERE x <> ''),
+c AS (SELECT label, instr(label, ' to ') AS o, CASE WHEN contains(label, ' & ') THEN string_split(label, ' & ') ELSE string_split(label, ' and ') END AS b FROM x WHERE contains(label, ' to ') OR contains(label, ' and ')),
+p AS (SELECT label, CASE WHEN o > 0 THEN substr(label, 1, o - 1) ELSE '' END AS a1, CASE WHEN o > 0 THEN substr(label, o + 4) ELSE '' END AS a2, CASE WHEN len(b) = 2 THEN b[1] ELSE '' END AS b1, CASE WHEN len(b) = 2 THEN b[2] ELSE '' END AS b2 FROM c),
+k AS (SELECT *, (a1 IN (SELECT label FROM x) OR a2 IN (SELECT label FROM x)) AS t, (b1 IN (SELECT label FROM x) OR b2 IN (SELECT label FROM x)) AS n FROM p)
+SELECT x.label, CASE WHEN a1 IS NULL THEN x.label WHEN t THEN a1 || '|' || a2 WHEN n THEN b1 || '|' || b2 WHEN {{a1}} AND {{a2}} THEN a1 || '|' || a2 WHEN {{b1}} AND {{b2}} THEN b1 || '|' || b2 ELSE x.label END AS parts FROM x LEFT JOIN k USING (label)""".format(
+    **{c: rf"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')) > 2" for c in ("a1", "a2", "b1", "b2")}))
+def str30(spark, sf):
+    return T.compound_parts(lines(spark, sf).select(F.lower("x").alias("label"))).select("label", F.array_join("parts", "|").alias("parts"))
+
+
 on_markdown("str31_until_stop", lambda x: T.until_stop(x, ["(", ":", "<i>"]),
             "CASE WHEN list_min(list_filter([instr(x, '('), instr(x, ':'), instr(x, '<i>')], lambda p: p > 0)) IS NULL THEN x ELSE substr(x, 1, list_min(list_filter([instr(x, '('), instr(x, ':'), instr(x, '<i>')], lambda p: p > 0)) - 1) END")
 
@@ -124,7 +166,7 @@ def page_text(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.length(T.strip_tags(F.col("html"))).cast("long").alias("n"))
 
 
-METRICS = ["1,234.5", "87.3%", "12.5M", "3k", "-", "N/A", "45,6", "1.2.3", "abc", "76.1 (top-1)", "2B", ""]
+METRICS = ["1,234.5", "87.3%", "12.5M", "3k", "-", "N/A", "45,6", "1.2.3", "abc", "76.1 (top-1)", "2B", "", "76.1 ± 0.2", "5MB", "7M+", "1:30", "12e", "3,5 (a,b)"]
 METRIC_VALUES = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(METRICS)) + ") AS v(id, x)"
 
 
@@ -136,19 +178,13 @@ def lenient_sql(x):
 on_literal("num1_lenient_number", METRICS, METRIC_VALUES, N.lenient, lenient_sql("x"))
 
 
-@query("num2_value_and_delta", f"SELECT id, {lenient_sql(chr(39) + '1' + chr(39) + ' || id')} AS value, {lenient_sql(chr(39) + '0.' + chr(39) + ' || id')} AS delta FROM {METRIC_VALUES}")
+@query("num2_value_and_delta", "SELECT id, value::DOUBLE AS value, delta::DOUBLE AS delta FROM (VALUES (0, 1.5, 0.2), (1, 87, 1), (2, NULL, NULL), (3, 1000, 2), (4, NULL, NULL)) AS v(id, value, delta)")
 def num2(spark, sf):
-    x = F.concat(F.lit("1"), F.col("id").cast("string"), F.lit(" ± 0."), F.col("id").cast("string"))
-    return literal(spark, METRICS).select("id", N.value_and_delta(x).alias("v")).select("id", "v.value", "v.delta")
-
-
-_T0 = "regexp_replace(lower(trim(split_part(x, '(', 1))), '%$', '')"
-_T1 = f"CASE WHEN regexp_matches({_T0}, '^-?[0-9]+,[0-9]{{1,2}}$') THEN replace({_T0}, ',', '.') ELSE {_T0} END"
+    x = literal(spark, ["1.5 ± 0.2", "87% ± 1%", "3", "1,000 ± 2", "1±2±3"])
+    return x.select("id", N.value_and_delta(F.col("x")).alias("v")).select("id", "v.value", "v.delta")
 
 
-@query("num3_metric_number", f"""WITH t AS (SELECT id, {_T1} AS t FROM {METRIC_VALUES})
-SELECT id, CASE WHEN t IN ('', '-', 'n/a', 'none', 'nan') THEN NULL WHEN ends_with(t, 'k') THEN {lenient_sql('substr(t, 1, length(t) - 1)')} * 1e3 WHEN ends_with(t, 'm') THEN {lenient_sql('substr(t, 1, length(t) - 1)')} * 1e6
- WHEN ends_with(t, 'b') OR ends_with(t, 'g') THEN {lenient_sql('substr(t, 1, length(t) - 1)')} * 1e9 ELSE {lenient_sql('t')} END AS y FROM t""")
+@query("num3_metric_number", "SELECT id, y::DOUBLE AS y FROM (VALUES (0, 1234.5), (1, 87.3), (2, 12500000), (3, 3000), (4, NULL), (5, NULL), (6, 45.6), (7, 1.23), (8, NULL), (9, 76.1), (10, 2000000000), (11, NULL), (12, 76.1), (13, 5000000), (14, 7000000), (15, 1.3), (16, 12), (17, 35)) AS v(id, y)")
 def num3(spark, sf):
     return literal(spark, METRICS).select("id", N.metric(F.col("x")).alias("y"))
 

@@ -79,3 +79,41 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("parseHTTPUrl",)], "x string")
     assert one(df.select(F.array_join(T.identifier_terms(F.col("x")), " "))) == [("parse http url",)]
     assert one(df.limit(0).select(T.clean_step(F.col("x")))) == []
+
+
+def test_next_step_brute_force(spark):
+    corpus = {1: list("abcab"), 2: list("bcd"), 3: ["a"], 4: list("ccabd"), 5: []}
+    prompts = {0: list("abc"), 7: list("cd"), 8: [], 9: ["z"]}
+    want = {}
+    for i, p in prompts.items():
+        best = min((-lcs(p, s[:d]), k, d, s[d]) for k, s in corpus.items() for d in range(1, len(s)))
+        want[i] = (best[3], -best[0])
+    p = spark.createDataFrame(list(prompts.items()), "id int, prefix array<string>")
+    c = spark.createDataFrame(list(corpus.items()), "seq_id int, seq array<string>")
+    assert {r.id: (r.next, r.score) for r in sequences.next_step(p, c).collect()} == want
+
+
+def test_sequences_in_blocks(spark):
+    rows = [(i % 2, i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "s int, id int, v array<double>")
+    pairs = spark.createDataFrame([(0, 1)], "a int, b int")
+    whole, cut = (one(sequences.sequence_similarity(df, pairs, "s", "id", "v", n)) for n in (1000, 3))
+    assert whole == cut and len(whole) == 1
+
+
+def test_rouge_w_favours_runs(spark):
+    df = spark.createDataFrame([(1, list("abcd"), list("abcd")), (2, list("abcd"), list("axbycz")), (3, list("abcd"), list("abcxyz")), (4, [], list("a"))], "id int, pred array<string>, true array<string>")
+    got = {r.id: r.f1 for r in metrics.rouge_w(df).collect()}
+    assert got[1] == 1.0 and got[4] == 0.0 and 0 < got[2] < got[3] < 1
+
+
+def test_compound_labels(spark):
+    labels = ["plot it", "load data and plot it", "use it to plot it", "fit the big model & plot its large errors", "a and b", "set the index to a datetimeindex type", "one to two to plot it", "load", "", None]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    got = {r.label: r.parts for r in T.compound_parts(df).collect()}
+    assert got == {
+        "plot it": ["plot it"], "load data and plot it": ["load data", "plot it"], "use it to plot it": ["use it", "plot it"], "a and b": ["a and b"],
+        "fit the big model & plot its large errors": ["fit the big model & plot its large errors"], "set the index to a datetimeindex type": ["set the index to a datetimeindex type"],
+        "one to two to plot it": ["one to two to plot it"], "load": ["load"],
+    }
+    assert "load" not in {r.label for r in T.simple_labels(df).collect()}
