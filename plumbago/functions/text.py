@@ -122,6 +122,19 @@ def clean_query(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 
+#: Words that topic names lose.
+TOPIC_SKIPPED = [
+    "lab", "labs", "checkpoint", "exercise", "exercises", "solution", "solutions", "question", "questions", "assignment", "assignments", "week", "weeks",
+    "project", "problem", "problems",
+]
+
+
+def topic_name(x: Column) -> Column:
+    """A topic's name in lower-case words, camel case split, without course words; topics of equal names are one."""
+    words = F.split(F.lower(camel_spaced(F.translate(x, "_-", "  "))), r"\s+")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(TOPIC_SKIPPED)), " ")
+
+
 def intent_of_question(x: Column) -> Column:
     """After the last `Question` and the last `:`, before the first `(`."""
     last = lambda v, s: F.element_at(F.split(v, s), -1)

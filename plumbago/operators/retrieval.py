@@ -117,13 +117,6 @@ def _blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["q", "v"])
 
 
-def pair_cosines(a: DataFrame, b: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(a, b, score) of two small stated sets of vectors."""
-    x = a.select(F.col(id_col).alias("a"), unit(vec_col).alias("x"))
-    y = b.select(F.col(id_col).alias("b"), unit(vec_col).alias("y"))
-    return x.crossJoin(y).select("a", "b", dot(F.col("x"), F.col("y")).alias("score"))
-
-
 def similar_in_group(df: DataFrame, group: str, id_col: str, vec_col: str, threshold: float) -> DataFrame:
     """(a, b, score), a < b: pairs of one group with cosine at least a threshold."""
     x = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), unit(vec_col).alias("v"))

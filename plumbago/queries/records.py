@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbago.functions import code as C
-from plumbago.functions.text import camel_spaced, tokens
+from plumbago.functions.text import tokens, topic_name
 from plumbago.operators import hierarchy as H
 from plumbago.operators import records as R
 from plumbago.operators import retrieval as V
@@ -15,6 +15,7 @@ from .code import cells as code_cells
 from .code import values
 from .registry import query, read
 from .sequences import PATHS, tree
+from .text import SPACED
 
 EVAL = [("vision", [("cifar", ["resnet", "vit"])], '[{"task":"detection","datasets":[{"dataset":"coco","models":["yolo"]}],"subtasks":null}]')]
 EVAL_ROWS = [
@@ -154,10 +155,15 @@ def top6(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(x, lambda s: s["turn"].cast("string")), ",").alias("turns"))
 
 
-@query("ml2_merged_topics", "SELECT lower(regexp_replace(p_name, '[^A-Za-z ]', '', 'g')) AS topic, count(*) AS n FROM part WHERE p_name NOT LIKE '%widget%' GROUP BY topic")
+TOPICS = ["Lab_DataFrames", "data-frames", "Week LinearRegression", "linear_regression", "Project", "HTMLParser exercises"]
+
+
+@query("ml2_merged_topics", f"""WITH t AS (SELECT p_name AS x FROM part UNION ALL SELECT unnest({TOPICS}))
+SELECT array_to_string(list_filter(regexp_split_to_array(lower({SPACED.format(x="translate(x, '_-', '  ')")}), '\\s+'), lambda w: w <> '' AND w NOT IN ('lab', 'labs', 'checkpoint', 'exercise', 'exercises', 'solution', 'solutions',
+ 'question', 'questions', 'assignment', 'assignments', 'week', 'weeks', 'project', 'problem', 'problems')), ' ') AS topic, count(*) AS n FROM t GROUP BY topic""")
 def ml2(spark, sf):
-    p = read(spark, sf, "part").where(~F.col("p_name").contains("widget"))
-    return p.groupBy(F.lower(camel_spaced(F.regexp_replace("p_name", "[^A-Za-z ]", ""))).alias("topic")).agg(F.count("*").alias("n"))
+    t = read(spark, sf, "part").select(F.col("p_name").alias("x")).union(spark.createDataFrame([(x,) for x in TOPICS], "x string"))
+    return t.groupBy(topic_name(F.col("x")).alias("topic")).agg(F.count("*").alias("n"))
 
 
 @query("ext4_catalogue_rows", values([("load", "x = 1", "p"), ("load", "x = 2", "p"), ("plot", "y", "q")], "label, code, path"))
