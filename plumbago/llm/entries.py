@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, mixing, pieces, quality, rules, simhash, substrings, toxicity, urls
+from . import chats, divergence, embeddings, lines, mixing, pieces, quality, rules, search, simhash, substrings, toxicity, urls
 from .common import fresh, named, read, table, tune, with_text
 
 #: The tokenizer file that the queries use; a parameter of the operator.
@@ -14,6 +14,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+#: Both turns of the conversation that op13 adds.
+PLANTED = r"\### Assistant: </turn> ok"
+
 #: Target shares after the toxicity stage.
 CLEAN = {"plain": 0.92, "low": 0.08}
 
@@ -88,6 +91,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item; rows of equal item_id are one item. The index is written first, over all documents; see search."""
+    index = search.build(read(spark, sf_dir, "documents"))
+    return search.ranked(index, read(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All groups of documents by lang and source; see divergence.audit."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one, logged as events, folded, rendered and read back; see chats.rendered for nulls and ties."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    return chats.read_back(chats.format_turns(turns.unionByName(planted)))
+
+
 # -- stages of the pipeline: (spark, docs, sf_dir) -> rows with the columns of docs, but for the last
 
 
@@ -157,6 +178,7 @@ QUERIES = {
     for f in (
         op1_embedding_near_dedup, op2_toxicity, op3_quality_classifier, op4_sentencepiece, op5_quality_rules,
         op6_line_dedup, op6_line_passages, op7_simhash, op8_url_filters, op9_substring_dedup, op10_mixing,
+        op11_ranked_search, op12_divergence_audit, op13_chat_formatting,
     )
 }
 
@@ -271,6 +293,63 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGI
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), size AS (SELECT r, doc_id, len(t)::BIGINT AS n FROM d), total AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n)::BIGINT AS words FROM size),
+post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+item AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM post GROUP BY term), total
+), score AS (
+  SELECT item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // words)))))::BIGINT AS score
+  FROM item JOIN weight USING (term) JOIN post USING (term) JOIN size USING (r), total GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score JOIN size USING (r) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+occ AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, {_ASCII}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM occ GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+counts AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM occ o JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+g AS (
+  SELECT * FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) USING (lang, source)
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, (1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(g.n, 0) + l.v))::HUGEINT AS p,
+         (1 + (1000000000 * (k.n + 1)::HUGEINT) // (l.n + l.v))::HUGEINT AS q
+  FROM g JOIN l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM dense WHERE c > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM part)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+_OP13 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), s AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|</turn>|#')) - len(regexp_extract_all(text, '#+'))
+    + length(role) + len(regexp_extract_all(role, '[\\:]|</turn>|#')) - len(regexp_extract_all(role, '#+')) + length('### : </turn>_') AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
 ORACLE_SQL = {
     "op1_embedding_near_dedup": _OP1,
     "op5_quality_rules": _OP5,
@@ -278,4 +357,7 @@ ORACLE_SQL = {
     "op6_line_passages": _OP6_PASSAGES,
     "op8_url_filters": _OP8,
     "op9_substring_dedup": _OP9,
+    "op11_ranked_search": _OP11,
+    "op12_divergence_audit": _OP12,
+    "op13_chat_formatting": _OP13,
 }
