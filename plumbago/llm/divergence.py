@@ -78,25 +78,30 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     group's existence only. Each of repeated rows counts. Other columns are not
     read. An empty table gives an empty one.
     """
-    by_term = Window.partitionBy("lang", "term")
-    counted = counted_terms(docs, lang, source, text)
-    held = counted.select("lang", "source", "term", "n", F.sum("docs").over(by_term).alias("docs"), F.sum("n").over(by_term).alias("all"),
-                          (F.row_number().over(by_term.orderBy("source")) == 1).alias("head"))
-    kept = table(held.where(F.col("docs") >= least).drop("docs"))
+    by_term = Window.partitionBy("lang", "term").orderBy("source")
+    whole = by_term.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = counted_terms(docs, lang, source, text).select(
+        "lang", "source", "term", "n", F.sum("docs").over(whole).alias("docs"), F.sum("n").over(whole).alias("all"), (F.row_number().over(by_term) == 1).alias("head")
+    )
+    # a number for each kept term of a lang, given in the task that writes its rows
+    held = held.where(F.col("docs") >= least).drop("docs").withColumn("number", F.when(F.col("head"), F.monotonically_increasing_id()))
+    kept = table(held.withColumn("number", F.max("number").over(whole)))
     heads = kept.where("head").groupBy("lang").agg(F.sum("all").alias("lang_n"), F.count("*").alias("v"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     groups = docs.select(_read(lang).alias("lang"), _read(source).alias("source")).distinct()
-    groups = table(groups.join(sums, ["lang", "source"], "left").join(heads, "lang", "left").na.fill(0, ["group_n", "lang_n", "v"]))
+    groups = groups.join(sums, ["lang", "source"], "left").join(heads, "lang", "left").na.fill(0, ["group_n", "lang_n", "v"])
+    groups = table(groups.withColumn("group", F.monotonically_increasing_id()))
     few = groups.count() <= BROADCAST_GROUPS
 
-    crossed = with_groups(kept.where("head").select("lang", "term"), groups, ["lang"], few)
-    dense = crossed.join(kept.select("lang", "term", "source", "n"), ["lang", "term", "source"], "left")
-    dense = dense.select("lang", "term", "source", share(F.coalesce("n", F.lit(0)), F.col("group_n") + F.col("v"), scale).alias("p"))
+    counts = with_groups(kept, groups, ["lang", "source"], few)
+    crossed = with_groups(kept.where("head").select("lang", "term", "number"), groups.drop("source"), ["lang"], few).select("number", "group", (F.col("group_n") + F.col("v")).alias("total"))
+    dense = crossed.join(counts.select("number", "group", "n"), ["number", "group"], "left")
+    dense = dense.select("number", "group", share(F.coalesce("n", F.lit(0)), F.col("total"), scale).alias("p"))
     # each two groups meet once, and both directions are summed
-    a, b = dense, dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = a.join(b, ["lang", "term"]).where(F.col("source") < F.col("item")).groupBy("lang", "source", "item").agg(
-        F.sum(divergence(F.col("p"), F.col("q"))).alias("there"), F.sum(divergence(F.col("q"), F.col("p"))).alias("back")
-    )
+    # (the same plan on both sides, so that one shuffle serves both)
+    p, q, met = F.col("a.p"), F.col("b.p"), dense.alias("a").join(dense.alias("b"), "number").where(F.col("a.group") < F.col("b.group"))
+    met = met.groupBy(F.col("a.group"), F.col("b.group").alias("other")).agg(F.sum(divergence(p, q)).alias("there"), F.sum(divergence(q, p)).alias("back"))
+    met = met.join(groups.select("group", "lang", "source"), "group").join(groups.select(F.col("group").alias("other"), F.col("source").alias("item")), "other")
     sides = F.array(
         F.struct(F.col("source").alias("source"), F.col("item").alias("item"), F.col("there").alias("value")),
         F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")),
@@ -106,7 +111,7 @@ def audit(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     pairs = groups.select("lang", "source").join(others, "lang").where(F.col("source") != F.col("item")).join(found, ["lang", "source", "item"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
-    own = with_groups(kept.select("lang", "source", "term", "n", "all"), groups, ["lang", "source"], few)
+    own = counts
     p, q = share(F.col("n"), F.col("group_n") + F.col("v"), scale), share(F.col("all"), F.col("lang_n") + F.col("v"), scale)
     own = own.select("lang", "source", "term", p.alias("p"), q.alias("q")).where(F.col("p") > F.col("q"))
     own = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
