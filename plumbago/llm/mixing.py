@@ -1,18 +1,19 @@
 """Mixing to target weights with soft memberships.
 
 A classifier learnt from a labelled table gives each document a posterior over
-domains. Document rates r, not negative and not above a bound on the copies of a
-document, minimise the squared gap between expected domain tokens
+domains. Document rates r, not negative, minimise the squared gap between expected domain tokens
 sum_d r_d n_d p_dk and the targets, by projected gradient from r = 1. A document's gradient is its posterior times one vector of K numbers, so
 a rate is a function of its posterior and of the vectors so far: every step is
 one distributed sum, and no rates are stored or shuffled. The gap is measured
-in the metric of the Gram matrix of the memberships whose rate is between the bounds;
-each pass tries several step lengths at once and keeps the best. The number of
-passes is fixed, so the work is in proportion to the table.
+in the metric of the Gram matrix of all memberships, in which a step of length 1 always
+lowers it; each pass also tries longer steps, and steps in the metric of the memberships
+whose rate is above 0, and keeps the best. There is a fixed
+number of passes at most, so the work is in proportion to the table.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass, field
 
@@ -26,10 +27,8 @@ from .common import drop, fresh, named, table, text_udf, tune
 
 #: Target shares of expected tokens for the domains of the labels table.
 TARGETS = {"plain": 0.90, "low": 0.08, "toxic": 0.02}
-#: Passes over the posteriors, and the step lengths that each one tries.
-PASSES, LENGTHS = 6, (1.0, 0.5, 0.125)
-#: Most copies of a document.
-MOST = 8.0
+#: Most passes over the posteriors, the gap at which no more are made, and the step lengths that each one tries in the metric of all rows and in that of the rates above 0.
+PASSES, ENOUGH, LENGTHS, FREE_LENGTHS = 12, 1e-4, (1.0, 4.0, 16.0), (1.0, 0.5, 0.125)
 
 
 @dataclass
@@ -37,6 +36,7 @@ class Mixture:
     domains: list[str]
     lexical: toxicity.Model
     model: quality.Model | None
+    most: float = math.inf  # bound of all rates
     steps: list[np.ndarray] = field(default_factory=list)
     gaps: list[float] = field(default_factory=list)  # largest gap of a domain before each pass and at the end, as a share of all target tokens
 
@@ -49,14 +49,14 @@ class Mixture:
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
         for g in self.steps:
-            r = np.clip(r - p @ g, 0.0, MOST)
+            r = np.clip(r - p @ g, 0.0, self.most)
         return r
 
     def rate(self, p: list[Column]) -> Column:
         """The same as an expression of the posterior's columns."""
         r = F.lit(1.0)
         for g in self.steps:
-            r = _stepped(r, p, g)
+            r = _stepped(r, p, g, self.most)
         return r
 
     @property
@@ -65,9 +65,10 @@ class Mixture:
         return self.gaps[-1] if self.gaps else 0.0
 
 
-def _stepped(r: Column, p: list[Column], g: np.ndarray) -> Column:
+def _stepped(r: Column, p: list[Column], g: np.ndarray, most: float) -> Column:
     back = sum((c * float(x) for c, x in zip(p, g)), F.lit(0.0))
-    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), r - back))
+    r = F.greatest(F.lit(0.0), r - back)
+    return r if math.isinf(most) else F.least(F.lit(most), r)
 
 
 def _lexical(model: toxicity.Model):
@@ -92,6 +93,7 @@ def fit_with_inputs(
     anchor_rate: float = 1.1,
     passes: int = PASSES,
     tolerance: float = 1e-3,
+    most: float = math.inf,
     classifier_rows: int = 40_000,
 ) -> tuple[Mixture, DataFrame]:
     """Classifier and rates, and the posteriors (id, n_tokens, p0, p1, ...) as a table. labels: id, quality, toxic; domains are toxic (1), else low (quality 0), else plain; toxic rows are low where the targets have no toxic domain.
@@ -102,7 +104,8 @@ def fit_with_inputs(
     `anchor_rate`, are its target share. Rows whose two labels are null and null
     ids are no labelled rows; of several labels of one id, toxic and low hold.
     Repeated rows count each. Without labels all posteriors are equal; without
-    tokens (an empty table) all rates are 1. A gap over `tolerance` after the
+    tokens (an empty table) all rates are 1. Rates have no bound but 0 unless `most` is
+    given. A gap over `tolerance` after the
     passes, as where targets can't be reached, is in Mixture.gap and a warning.
     """
     tune(docs.sparkSession)
@@ -115,7 +118,7 @@ def fit_with_inputs(
     base = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     lexical = toxicity.fit(toxicity.labelled_rows(base, labelled, id_col="id"))
     domains = list(targets)
-    mixture = Mixture(domains, lexical, None)
+    mixture = Mixture(domains, lexical, None, most)
     stats = table(quality.with_statistics(base, text_col="text", keep=["id"], more=_lexical(lexical)))
     domain = F.when(F.col("toxic") == 1, "toxic" if "toxic" in targets else "low").when(F.col("quality") == 0, "low").otherwise("plain")
     y = F.array(*[(domain == d).cast("double") for d in domains])
@@ -133,7 +136,7 @@ def project(soft: DataFrame, mixture: Mixture, targets: dict[str, float], anchor
     """Projected gradient over a table of posteriors (n_tokens, p0, p1, ...): sets the mixture's steps and gaps."""
     k = len(mixture.domains)
     p = [F.col(f"p{i}") for i in range(k)]
-    (tokens, gram), total = _sums(soft, p, [F.lit(1.0)])
+    (tokens, gram), total = _sums(soft, p, [F.lit(1.0)], mixture.most)
     if not total:
         return
     share = np.array([targets[d] for d in mixture.domains])
@@ -144,13 +147,16 @@ def project(soft: DataFrame, mixture: Mixture, targets: dict[str, float], anchor
     cost = lambda t: float((t - want) @ metric @ (t - want))
     mixture.gaps.append(float(np.abs(tokens - want).max() / want.sum()))
     for _ in range(passes):
-        g = np.linalg.solve(gram + ridge, tokens - want)
+        if mixture.gap < ENOUGH:
+            break
+        steps = [a * (metric @ (tokens - want)) for a in LENGTHS] + [a * np.linalg.solve(gram + ridge, tokens - want) for a in FREE_LENGTHS]
         r = mixture.rate(p)
-        *tried, _ = _sums(soft, p, [_stepped(r, p, a * g) for a in LENGTHS])
-        best = min(range(len(LENGTHS)), key=lambda i: cost(tried[i][0]))
-        if cost(tried[best][0]) < cost(tokens):
-            mixture.steps.append(LENGTHS[best] * g)
-            tokens, gram = tried[best]
+        *tried, _ = _sums(soft, p, [_stepped(r, p, g, mixture.most) for g in steps], mixture.most)
+        best = min(range(len(steps)), key=lambda i: cost(tried[i][0]))
+        if cost(tried[best][0]) >= cost(tokens):
+            break
+        mixture.steps.append(steps[best])
+        tokens, gram = tried[best]
         mixture.gaps.append(float(np.abs(tokens - want).max() / want.sum()))
 
 
@@ -167,15 +173,15 @@ def _posteriors(stats: DataFrame, mixture: Mixture) -> DataFrame:
     return stats.select("id", "n_words", "x").mapInPandas(run, schema)
 
 
-def _sums(soft: DataFrame, p: list[Column], rates: list[Column]) -> list:
-    """For each rate, the expected tokens of each domain and the Gram matrix of memberships at rates between the bounds; then all tokens. One pass."""
+def _sums(soft: DataFrame, p: list[Column], rates: list[Column], most: float) -> list:
+    """For each rate, the expected tokens of each domain and the Gram matrix of memberships at rates between 0 and the bound; then all tokens. One pass."""
     k = len(p)
     names = [f"r{i}" for i in range(len(rates))]
     rated = soft.select("n_tokens", *p, *[r.alias(n) for n, r in zip(names, rates)])
     aggs = []
     for name in names:
         aggs += [F.sum(F.col("n_tokens") * F.col(name) * p[i]) for i in range(k)]
-        aggs += [F.sum(F.when((F.col(name) > 0) & (F.col(name) < MOST), F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]
+        aggs += [F.sum(F.when((F.col(name) > 0) & (F.col(name) < most), F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i, k)]
     x = [v or 0.0 for v in rated.agg(*aggs, F.sum("n_tokens")).first()]
     out, each = [], k + k * (k + 1) // 2
     for s in range(0, len(x) - 1, each):
@@ -189,13 +195,13 @@ def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **optio
     """Fit, and the result of apply for the same documents (id kept), in one pass over their texts.
 
     Empty table: empty result. See fit_with_inputs for nulls and repeated rows,
-    apply for the columns.
+    apply for the columns; `gap` is the share of tokens by which targets were missed.
     """
     mixture, soft = fit_with_inputs(docs, labels, id_col=id_col, **options)
     p = [F.col(f"p{i}") for i in range(len(mixture.domains))]
     rate = mixture.rate(p)
     return soft.select(
-        F.col("id").alias(id_col), "n_tokens", *[c.alias(f"p_{d}") for c, d in zip(p, mixture.domains)], rate.alias("rate"), _copies(rate, F.col("id")).alias("copies")
+        F.col("id").alias(id_col), "n_tokens", *[c.alias(f"p_{d}") for c, d in zip(p, mixture.domains)], rate.alias("rate"), _copies(rate, F.col("id")).alias("copies"), F.lit(mixture.gap).alias("gap")
     )
 
 

@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, constants without labels, and what the pipeline's stages do."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbago.llm import entries, mixing, quality, simhash, toxicity
@@ -96,3 +97,42 @@ def test_all_labelled_rows_are_counted(spark):
     rows = toxicity.labelled_rows(docs, docs.select("doc_id", (F.col("doc_id") % 4000 == 0).cast("int").alias("toxic")))
     assert rows.count() == n
     assert {(r.text, r.toxic): r["count"] for r in rows.groupBy("text", "toxic").count().collect()} == {("zyxw", 1): 63, ("plain", 0): n - 63}
+
+
+def test_toxicity_pairs_at_any_size(spark):
+    """The same proportions in more rows never lower the log ratio of a pair that only toxic texts have (it rises, as the other class's backoff gets surer)."""
+    got = []
+    for n in (2000, 40000):
+        rng = np.random.default_rng(4)
+        names = np.array(["".join(chr(97 + (i // 26**k) % 26) for k in range(5)) for i in range(3000)])
+        words = names[rng.integers(0, 3000, (n, 12))]
+        rows = [(" ".join([*w[:6], "vile", "thing", *w[6:]] if i % 10 == 0 else [*w[:6], "vile", *w[6:9], "thing", *w[9:]]), int(i % 10 == 0)) for i, w in enumerate(words)]
+        docs = spark.createDataFrame(pd.DataFrame(rows, columns=["text", "toxic"]))
+        counts = toxicity.ngram_counts(docs.selectExpr("text", "toxic AS y"))
+        model = toxicity.from_counts(counts)
+        w, ids = toxicity.expressions([b"vile thing"])
+        key = (toxicity.contexts(w, ids) << np.uint64(32) | ids)[1]
+        [place] = np.flatnonzero(model.pairs.keys == key)
+        got.append(model.pairs.values[place])
+    assert 2 < got[0] <= got[1], got
+
+
+def test_mixing_against_direct_least_squares(spark):
+    """Rates of scarce domains rise as far as they have to; the gap is that of a long projected gradient descent."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([8, 1, 0.2], 3000)
+    n = rng.integers(1, 400, 3000)
+    soft = spark.createDataFrame(pd.DataFrame({"id": range(3000), "n_tokens": n, "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]}))
+    for targets, most in (({"plain": 0.6, "low": 0.1, "toxic": 0.3}, np.inf), ({"plain": 0.6, "low": 0.3, "toxic": 0.1}, np.inf), ({"plain": 0.75, "low": 0.15, "toxic": 0.1}, 12.0)):
+        mixture = mixing.Mixture(list(targets), toxicity.Model(), None, most)
+        mixing.project(soft, mixture, targets, "plain", 1.0, 16)
+        a = p * n[:, None]
+        share = np.array(list(targets.values()))
+        want = share * a[:, 0].sum() / share[0]
+        r, step = np.ones(3000), 1 / np.linalg.eigvalsh(a.T @ a)[-1]
+        for _ in range(20000):
+            r = np.clip(r - step * a @ (a.T @ r - want), 0, most)
+        got = mixture.rates(p)
+        assert (got >= 0).all() and (got <= most).all()
+        direct, ours = (float(np.abs(a.T @ x - want).max() / want.sum()) for x in (r, got))
+        assert ours <= direct + 2e-3 and abs(mixture.gap - ours) < 1e-9, (targets, most, ours, direct, mixture.gaps)
