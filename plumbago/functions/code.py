@@ -128,19 +128,18 @@ def obfuscated(code: pd.Series) -> pd.Series:
 
 @vectorised("array<struct<name:string,first:int,last:int>>")
 def variable_blocks(code: pd.Series) -> pd.Series:
-    """For each assigned name: the lines from its first to its last statement."""
+    """For each name that an assignment sets: the lines from its first to its last occurrence, where these are several."""
     def one(c):
         try:
-            tree = ast.parse(c or "")
+            nodes = list(ast.walk(ast.parse(c or "")))
         except (SyntaxError, ValueError):
             return []
-        seen: dict[str, list[int]] = {}
-        for s in tree.body:
-            for n in ast.walk(s):
-                if isinstance(n, ast.Name) and (isinstance(n.ctx, ast.Store) or n.id in seen):
-                    at = seen.setdefault(n.id, [s.lineno, s.end_lineno])
-                    at[1] = s.end_lineno
-        return [{"name": k, "first": a, "last": b} for k, (a, b) in seen.items()]
+        own = {n.id for s in nodes if isinstance(s, ast.Assign) for t in s.targets for n in ast.walk(t) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+        seen: dict[str, list[int]] = {x: [] for x in sorted(own)}
+        for n in nodes:
+            if isinstance(n, ast.Name) and n.id in seen:
+                seen[n.id].append(n.lineno)
+        return [{"name": k, "first": min(at), "last": max(at)} for k, at in seen.items() if min(at) < max(at)]
 
     return code.map(one)
 

@@ -12,7 +12,8 @@ from plumbago.operators import records as R
 from plumbago.operators import retrieval as V
 
 from .code import cells as code_cells
-from .code import values
+from .code import mended, values
+from .derived import facts_sql
 from .registry import query, read
 from .sequences import PATHS, tree
 from .text import SPACED
@@ -182,10 +183,10 @@ def ext5(spark, sf):
     return near.join(a, "q").join(b, "doc").agg(F.count("*").alias("n"), F.round(F.avg((F.col("truth") == F.col("guess")).cast("int")), 6).alias("accuracy"))
 
 
-@query("ext6_many_chunks", values([(1, 1, 5), (1, 2, 4), (2, 2, 3)], "nb_id, pos, n"))
+@query("ext6_many_chunks", facts_sql({"n": ["3", "8", "", "4", "5", ""]}, "pos % 6 NOT IN (2, 5)"))
 def ext6(spark, sf):
-    n = F.size(F.filter(C.chunks(F.col("code")), lambda c: c["line"] >= 0))
-    return code_cells(spark).select("nb_id", "pos", n.alias("n")).where("n > 1")
+    n = F.size(C.chunks(mended()))
+    return code_cells(spark, sf).select("nb_id", "pos", n.alias("n")).where("n > 1").withColumn("n", F.col("n").cast("string"))
 
 
 @query("ext11_node_key", "SELECT DISTINCT '{\"t\":\"' || event_type || '\",\"u\":' || user_id || '}' AS key FROM events")
@@ -207,24 +208,17 @@ def ext17(spark, sf):
     return every.select(F.posexplode("x").alias("class", "lang")).select("lang", F.col("class").cast("long").alias("class"))
 
 
-@query("syn3_topics_and_constructs", values([(1, 0, "df,print,read_csv"), (1, 1, "df,len,mean,s,sum,xs,y"), (1, 2, "i,plot,range,y"), (2, 0, ""), (2, 1, ""), (2, 2, "dot,ones,w,z")], "nb_id, pos, topics"))
-def syn3(spark, sf):
-    last = F.transform("f.calls", lambda c: F.substring_index(c, ".", -1))
-    return code_cells(spark).select("nb_id", "pos", F.array_join(F.sort_array(F.array_distinct(F.concat(last, "f.variables"))), ",").alias("topics"))
-
+TOPICS = ["mean,print,x{c}", "base,clip,len,np,p,prices,rate,sum", "", "load,rows,sort,w,z{c}", "best,i,items,out,reverse,sorted", ""]
+ACCEPTED = ["Import", "For,If,Return", "", "", "ListComp,Return", ""]
 
-@query("syn13_function_io", values([("mean", "xs", "s,len,xs")], "name, inputs, outputs"))
-def syn13(spark, sf):
-    x = code_cells(spark).where("size(f.definitions) = 1")
-    return x.select(F.get("f.definitions", F.lit(0)).alias("name"), F.array_join("f.arguments", ",").alias("inputs"), F.array_join("f.returned", ",").alias("outputs"))
 
-
-@query("syn15_syn16_statement_stream")
-def syn15(spark, sf):
-    """Statements as a stream of inputs, outputs and operators, from the dataflow of each line."""
-    d = code_cells(spark).select("nb_id", "pos", F.explode(C.dataflow(F.col("code"))).alias("d")).where("d.kind = 'computedFrom'")
-    step = F.concat(F.lit("[I] "), F.array_join("d.sources", " "), F.lit(" [O] "), F.col("d.name"))
-    return d.groupBy("nb_id", "pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("d.line", step.alias("s")))), lambda x: x["s"]), " [STEP] ").alias("stream"))
+@query("syn3_topics_and_constructs", facts_sql({"topics": TOPICS, "constructs": ACCEPTED}))
+def syn3(spark, sf):
+    """A cell's terms in order, and which of the constructs that tell something about it (not calls, assignments or plain expressions) it has."""
+    last = F.transform("f.calls", lambda c: F.substring_index(c, ".", -1))
+    plain = F.array(*map(F.lit, ("Assign", "AugAssign", "Call", "Expr", "FunctionDef")))
+    topics = F.array_sort(F.array_distinct(F.concat(last, "f.variables")))
+    return code_cells(spark, sf).select("nb_id", "pos", F.array_join(topics, ",").alias("topics"), F.array_join(F.array_sort(F.array_except("f.constructs", plain)), ",").alias("constructs"))
 
 
 @query("syn24_syn25_grown_context", values([(1, "2,3,4,5,6")], "id, lines"))

@@ -8,6 +8,7 @@ from plumbago.functions import numbers as N
 from plumbago.functions import text as T
 from plumbago.operators import aggregates as A
 
+from . import derived
 from .registry import query, read
 
 SPACED = "regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
@@ -28,14 +29,6 @@ def literal(spark, values):
     return spark.createDataFrame(list(enumerate(values)), "id int, x string")
 
 
-def on_literal(name, values, table_sql, column, sql):
-    @query(name, f"SELECT id, {sql} AS y FROM {table_sql}")
-    def q(spark, sf):
-        return literal(spark, values).select("id", column(F.col("x")).alias("y"))
-
-    return q
-
-
 #: All lines of documents and pages, and literal ones of each form.
 LINES = f"""(SELECT 'fixed' AS src, id::BIGINT AS id, 0 AS pos, x FROM {MD_VALUES}
 UNION ALL SELECT 'documents', doc_id, (i - 1)::INT, l[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)
@@ -131,18 +124,23 @@ def str30(spark, sf):
 on_markdown("str31_until_stop", lambda x: T.until_stop(x, ["(", ":", "<i>"]),
             "CASE WHEN list_min(list_filter([instr(x, '('), instr(x, ':'), instr(x, '<i>')], lambda p: p > 0)) IS NULL THEN x ELSE substr(x, 1, list_min(list_filter([instr(x, '('), instr(x, ':'), instr(x, '<i>')], lambda p: p > 0)) - 1) END")
 
-DOCS = ["Args:\n  path (str): where\n  n (int, optional): how many\n", "none here", "x (list of str) : names"]
-DOC_VALUES = "(VALUES " + ", ".join("({}, '{}')".format(i, x.replace("\n", "' || chr(10) || '")) for i, x in enumerate(DOCS)) + ") AS v(id, x)"
-on_literal("str33_docstring_types", DOCS, DOC_VALUES, lambda x: F.array_join(T.docstring_types(x), "|"),
-           r"array_to_string(list_transform(list_zip(regexp_extract_all(x, '(\w+)\s*\(([^)]+)\)\s*:', 1), regexp_extract_all(x, '(\w+)\s*\(([^)]+)\)\s*:', 2)), lambda p: p[1] || ':' || p[2]), '|')")
+def on_code(name, column, sql):
+    """A query of one text a code cell; `sql` is of x."""
+
+    @query(name, f"SELECT nb_id, pos, {sql} AS y FROM (SELECT nb_id, pos, code AS x FROM {derived.CODE_SQL})")
+    def q(spark, sf):
+        return derived.code_cells(spark, sf).select("nb_id", "pos", column(F.col("code")).alias("y"))
+
+    return q
 
-CODE = ["print 'a'\nx = 1\n%matplotlib inline\n!ls -la", "  print x, y  \n\n  # note\n", "import os\n\n   %time f()\nprint(1)", "int a; // one\nint b; /* two */ char* s = \"//no\";"]
-CODE_VALUES = "(VALUES " + ", ".join("({}, '{}')".format(i, x.replace("'", "''").replace("\n", "' || chr(10) || '")) for i, x in enumerate(CODE)) + ") AS v(id, x)"
-on_literal("str23_without_comments", CODE, CODE_VALUES, T.without_comments, """regexp_replace(x, '("(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*'')|//[^\\n]*|(?s:/\\*.*?\\*/)', '\\1', 'g')""")
-on_literal("str24_print_to_call", CODE, CODE_VALUES, T.print_to_call, r"regexp_replace(x, '(?m)^([ \t]*)print[ \t]+([^\n]+?)[ \t]*$', '\1print(\2)', 'g')")
-on_literal("str25_drop_magics", CODE, CODE_VALUES, T.drop_magics, "array_to_string(list_filter(string_split(x, chr(10)), lambda l: NOT regexp_matches(trim(l), '^[!%]')), chr(10))")
-on_literal("str25_magics_to_pass", CODE, CODE_VALUES, lambda x: T.drop_magics(x, True), "array_to_string(list_transform(string_split(x, chr(10)), lambda l: CASE WHEN regexp_matches(trim(l), '^[!%]') THEN regexp_extract(l, '^( *)', 1) || 'pass' ELSE l END), chr(10))")
-on_literal("str27_line_count", CODE, CODE_VALUES, T.n_lines, "len(list_filter(string_split(x, chr(10)), lambda l: trim(l) <> ''))::INT")
+
+on_code("str33_docstring_types", lambda x: F.array_join(T.docstring_types(x), "|"),
+        r"array_to_string(list_transform(list_zip(regexp_extract_all(x, '(\w+)\s*\(([^)]+)\)\s*:', 1), regexp_extract_all(x, '(\w+)\s*\(([^)]+)\)\s*:', 2)), lambda p: p[1] || ':' || p[2]), '|')")
+on_code("str23_without_comments", T.without_comments, """regexp_replace(x, '("(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*'')|//[^\\n]*|(?s:/\\*.*?\\*/)', '\\1', 'g')""")
+on_code("str24_print_to_call", T.print_to_call, r"regexp_replace(x, '(?m)^([ \t]*)print[ \t]+([^\n]+?)[ \t]*$', '\1print(\2)', 'g')")
+on_code("str25_drop_magics", T.drop_magics, "array_to_string(list_filter(string_split(x, chr(10)), lambda l: NOT regexp_matches(trim(l), '^[!%]')), chr(10))")
+on_code("str25_magics_to_pass", lambda x: T.drop_magics(x, True), "array_to_string(list_transform(string_split(x, chr(10)), lambda l: CASE WHEN regexp_matches(trim(l), '^[!%]') THEN regexp_extract(l, '^( *)', 1) || 'pass' ELSE l END), chr(10))")
+on_code("str27_line_count", T.n_lines, "len(list_filter(string_split(x, chr(10)), lambda l: trim(l) <> ''))::INT")
 
 
 def on_documents(name, column, sql):
@@ -166,8 +164,14 @@ def page_text(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.length(T.strip_tags(F.col("html"))).cast("long").alias("n"))
 
 
-METRICS = ["1,234.5", "87.3%", "12.5M", "3k", "-", "N/A", "45,6", "1.2.3", "abc", "76.1 (top-1)", "2B", "", "76.1 ± 0.2", "5MB", "7M+", "1:30", "12e", "3,5 (a,b)"]
-METRIC_VALUES = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(METRICS)) + ") AS v(id, x)"
+#: Texts of numbers by kind, one an order.
+METRICS = ["{p}.5%", "1,{c}.25", "{c}M", "{c}.5 ± 0.2", "N/A", "{p} (top-1)", "{c}k", "1.{c}.3", "-", "{p}", "{c}B", "", "{c}MB", "{p}M+", "1:{c}", "{c}e", "{c},5 (a,b)"]
+WITH_DELTA = ["{c}.5 ± 0.25", "{p}% ± 1%", "{p}", "1,{p} ± 2", "1±{c}±3"]
+SEVERAL = ["{c}/3", "2 x {c} x 4", "10|{c}|{p}"]
+
+
+def metric_cells(spark, sf, templates):
+    return derived.orders(spark, sf).select("nb_id", "pos", derived.filled(templates).alias("x"))
 
 
 def lenient_sql(x):
@@ -175,24 +179,30 @@ def lenient_sql(x):
     return f"TRY_CAST(split_part({t}, '.', 1) || '.' || replace(regexp_replace({t}, '^[^.]*\\.?', ''), '.', '') AS DOUBLE)"
 
 
-on_literal("num1_lenient_number", METRICS, METRIC_VALUES, N.lenient, lenient_sql("x"))
+@query("num1_lenient_number", f"SELECT nb_id, pos, {lenient_sql('x')} AS y FROM (SELECT nb_id, pos, {derived.filled_sql(METRICS)} AS x FROM {derived.ORDERS_SQL})")
+def num1(spark, sf):
+    return metric_cells(spark, sf, METRICS).select("nb_id", "pos", N.lenient(F.col("x")).alias("y"))
 
 
-@query("num2_value_and_delta", "SELECT id, value::DOUBLE AS value, delta::DOUBLE AS delta FROM (VALUES (0, 1.5, 0.2), (1, 87, 1), (2, NULL, NULL), (3, 1000, 2), (4, NULL, NULL)) AS v(id, value, delta)")
+@query("num2_value_and_delta", f"""SELECT nb_id, pos, (CASE pos % 5 WHEN 0 THEN c + 0.5 WHEN 1 THEN p WHEN 3 THEN ('1' || p)::DOUBLE END)::DOUBLE AS value,
+(CASE pos % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 1 WHEN 3 THEN 2 END)::DOUBLE AS delta FROM {derived.ORDERS_SQL}""")
 def num2(spark, sf):
-    x = literal(spark, ["1.5 ± 0.2", "87% ± 1%", "3", "1,000 ± 2", "1±2±3"])
-    return x.select("id", N.value_and_delta(F.col("x")).alias("v")).select("id", "v.value", "v.delta")
+    return metric_cells(spark, sf, WITH_DELTA).select("nb_id", "pos", N.value_and_delta(F.col("x")).alias("v")).select("nb_id", "pos", "v.value", "v.delta")
 
 
-@query("num3_metric_number", "SELECT id, y::DOUBLE AS y FROM (VALUES (0, 1234.5), (1, 87.3), (2, 12500000), (3, 3000), (4, NULL), (5, NULL), (6, 45.6), (7, 1.23), (8, NULL), (9, 76.1), (10, 2000000000), (11, NULL), (12, 76.1), (13, 5000000), (14, 7000000), (15, 1.3), (16, 12), (17, 35)) AS v(id, y)")
+@query("num3_metric_number", f"""SELECT nb_id, pos, (CASE pos % 17 WHEN 0 THEN p + 0.5 WHEN 1 THEN ('1' || c || '.25')::DOUBLE WHEN 2 THEN c * 1e6 WHEN 3 THEN c + 0.5 WHEN 5 THEN p WHEN 6 THEN c * 1e3 WHEN 7 THEN ('1.' || c || '3')::DOUBLE
+WHEN 9 THEN p WHEN 10 THEN c * 1e9 WHEN 12 THEN c * 1e6 WHEN 13 THEN p * 1e6 WHEN 14 THEN ('1.' || c)::DOUBLE WHEN 15 THEN c WHEN 16 THEN (c || '5')::DOUBLE END)::DOUBLE AS y,
+(CASE WHEN pos % 17 = 3 THEN 0.2 END)::DOUBLE AS delta FROM {derived.ORDERS_SQL}""")
 def num3(spark, sf):
-    return literal(spark, METRICS).select("id", N.metric(F.col("x")).alias("y"))
+    """The number, and what follows a plus-minus sign."""
+    x = F.col("x")
+    return metric_cells(spark, sf, METRICS).select("nb_id", "pos", N.metric(x).alias("y"), F.when(x.contains("±"), N.value_and_delta(x)["delta"]).alias("delta"))
 
 
-@query("num4_metric_values", "SELECT * FROM (VALUES (0, 2, 5.0::DOUBLE), (1, 1, 24.0::DOUBLE), (2, 3, 60.0::DOUBLE)) AS v(id, n, total)")
+@query("num4_metric_values", f"""SELECT nb_id, pos, [2, 1, 3][pos % 3 + 1]::INT AS n, (CASE pos % 3 WHEN 0 THEN c + 3 WHEN 1 THEN 8 * c ELSE 10 + c + p END)::DOUBLE AS total FROM {derived.ORDERS_SQL}""")
 def num4(spark, sf):
     values = N.metric_values(F.col("x"))
-    return literal(spark, ["2/3", "2 x 3 x 4", "10|20|30"]).select("id", F.size(values).alias("n"), F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("total"))
+    return metric_cells(spark, sf, SEVERAL).select("nb_id", "pos", F.size(values).alias("n"), F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
 @query("num6_vector_norms", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
@@ -250,9 +260,9 @@ def agg7(spark, sf):
     return read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.array_join(ids, " ").alias("members"))
 
 
-@query("agg8_titles_by_level", f"SELECT length(regexp_extract(trim(x), '^(#*)', 1))::INT AS level, count(*) AS n FROM {MD_VALUES} WHERE starts_with(x, '#') GROUP BY level")
+@query("agg8_titles_by_level", f"SELECT length(regexp_extract(trim(md), '^(#*)', 1))::INT AS level, count(*) AS n FROM {derived.MARKDOWN_SQL} WHERE starts_with(md, '#') GROUP BY level")
 def agg8(spark, sf):
-    return literal(spark, MD).where(F.col("x").startswith("#")).groupBy(T.heading_level(F.col("x")).alias("level")).agg(F.count("*").alias("n"))
+    return derived.markdown_cells(spark, sf).where(F.col("md").startswith("#")).groupBy(T.heading_level(F.col("md")).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("agg9_bag_of_words", "SELECT conv_id, w AS word, count(*) AS n FROM conversations, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS t(w) GROUP BY conv_id, w")
