@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbago.functions.numbers import dot, norm
-from plumbago.runtime import ship
-
-#: Rows of a block of queries that is sent to every task of a vector search.
-QUERY_BLOCK = 2048
+from .vectors import block_tops, pairs_in_range
 
 
 def postings(docs: DataFrame, doc_id: str, tokens, terms: DataFrame | None = None) -> DataFrame:
@@ -59,70 +51,19 @@ def fused(lists: list[DataFrame], k: int) -> DataFrame:
     return top_k(both.groupBy("q", "doc").agg(F.sum("score").alias("score"), F.count("*").alias("n_lists")), k)
 
 
-def unit(v: str):
-    n = norm(F.col(v))
-    return F.transform(v, lambda x: x.cast("double") / n)
-
-
 def vector_top_k(queries: DataFrame, docs: DataFrame, k: int, id_col: str, vec_col: str, *, exclude_self: bool = False) -> DataFrame:
     """(q, doc, score, rank): exact top k by cosine.
 
-    A stated query set meets all rows in blocks: each block of queries is
-    broadcast (QUERY_BLOCK vectors at most), every task keeps the k best of its
-    batch for each query, and the rest is one window over those.
+    A stated query set meets all rows in blocks of both, and the blocks' tops are ranked together; see vectors.block_tops.
     """
-    spark = queries.sparkSession
-    ship(spark)
-    parts = []
-    for block in _blocks(queries.select(F.col(id_col).alias("q"), F.col(vec_col).cast("array<double>").alias("v"))):
-        ids = block["q"].to_numpy()
-        x = np.stack(block["v"].to_numpy())
-        shared = spark.sparkContext.broadcast((ids, x / np.linalg.norm(x, axis=1, keepdims=True)))
-
-        def run(batches, shared=shared):
-            q, x = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                y = np.stack(pdf["v"].to_numpy())
-                s = x @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-                doc = pdf["doc"].to_numpy()
-                if exclude_self:
-                    s[q[:, None] == doc[None, :]] = -np.inf
-                n = min(k + 8, s.shape[1])
-                near = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                # ties at the cut stay in, so that the id decides between them
-                cut = np.take_along_axis(s, near, axis=1).min(axis=1)
-                i, j = np.nonzero(s >= cut[:, None] - 1e-12)
-                keep = np.isfinite(s[i, j])
-                yield pd.DataFrame({"q": q[i[keep]], "doc": doc[j[keep]], "score": s[i[keep], j[keep]]})
-
-        d = docs.select(F.col(id_col).alias("doc"), F.col(vec_col).cast("array<double>").alias("v"))
-        parts.append(top_k(d.mapInPandas(run, "q long, doc long, score double"), k))
-    out = parts[0] if parts else spark.createDataFrame([], "q long, doc long, score double, rank int")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """The stated query set, a block at a time."""
-    rows = []
-    for r in queries.toLocalIterator():
-        rows.append((r["q"], np.array(r["v"])))
-        if len(rows) == QUERY_BLOCK:
-            yield pd.DataFrame(rows, columns=["q", "v"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["q", "v"])
+    q = queries.select(F.col(id_col).alias("q"), F.col(vec_col).cast("array<double>").alias("v"))
+    d = docs.select(F.col(id_col).alias("doc"), F.col(vec_col).cast("array<double>").alias("v"))
+    return top_k(block_tops(q, d, k, exclude_self), k)
 
 
 def similar_in_group(df: DataFrame, group: str, id_col: str, vec_col: str, threshold: float) -> DataFrame:
-    """(a, b, score), a < b: pairs of one group with cosine at least a threshold."""
-    x = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), unit(vec_col).alias("v"))
-    a, b = x.alias("a"), x.alias("b")
-    pair = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
-    return pair.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dot(F.col("a.v"), F.col("b.v")).alias("score")).where(F.col("score") >= threshold)
+    """(a, b, score), a < b: pairs of one group with cosine at least a threshold; see vectors.pairs_in_range."""
+    return pairs_in_range(df, group, id_col, vec_col, threshold)[0]
 
 
 def shifted_negatives(df: DataFrame, id_col: str, seed: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbago.functions import code as C
 from plumbago.functions import subprograms as S
 from plumbago.functions.text import docstring_types, drop_magics, print_to_call
+from plumbago.operators.fuzzy import fuzzy_parents
 
 from . import derived
 from .derived import facts_sql, listed_sql
@@ -232,15 +233,11 @@ def str21(spark, sf):
     return x.groupBy("conv_id").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))
 
 
-@query("jon11_fuzzy_parents", values([("load data", "load the data"), ("plot", "plot")], "parent, child").replace("SELECT *", "SELECT parent, child") + " WHERE parent <> child")
+@query("jon11_fuzzy_parents")
 def jon11(spark, sf):
-    """Pairs of labels that share a word and are alike; the shorter is the parent."""
-    x = spark.createDataFrame([(0, "load data"), (1, "load the data"), (2, "plot"), (3, "save model")], "id int, label string")
-    w = x.select("id", "label", F.explode(F.split("label", " ")).alias("w"))
-    a, b = w.alias("a"), w.alias("b")
-    pair = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.struct(F.length("a.label"), F.col("a.id")) < F.struct(F.length("b.label"), F.col("b.id"))))
-    pair = pair.select(F.col("a.label").alias("parent"), F.col("b.label").alias("child")).distinct()
-    return pair.where(C.token_set_ratio("parent", "child") >= 95)
+    """Titles of pages and part names as labels; see operators.fuzzy."""
+    titles = read(spark, sf, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("label"))
+    return fuzzy_parents(titles.union(read(spark, sf, "part").select("p_name")), "label")
 
 
 @query("jon14_names_in_markdown", f"""WITH v AS ({listed_sql(['term'], [[(x,) for x in v] + [(f,) for f in fs] for v, fs in zip(VARIABLES, (['mean'], ['clip', 'total{c}'], [], ['load', 'sort'], ['reverse', 'pick{c}'], []))])}),

@@ -112,11 +112,6 @@ def hie12(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.length(F.regexp_replace(drop, "</?(span|div|li|ul|b)[^>]*>", "")).cast("long").alias("n"))
 
 
-@query("hie9_ret9_ret12_best_steps", PATHS + " SELECT nb_id, pos, depth FROM leaf WHERE contains(path, 'Check') ORDER BY depth, pos LIMIT 3")
-def hie9(spark, sf):
-    return H.leaf_paths(tree(spark)).where(F.col("path").contains("Check")).orderBy("depth", "pos").limit(3).select("nb_id", "pos", "depth")
-
-
 @query("seq9_labelled_plan", PATHS + " SELECT nb_id, pos, CASE WHEN content LIKE '#%' THEN 'heading' ELSE 'step' END AS label FROM t")
 def seq9(spark, sf):
     return tree(spark).select("nb_id", "pos", F.when(F.col("content").startswith("#"), "heading").otherwise("step").alias("label"))
