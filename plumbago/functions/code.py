@@ -10,6 +10,8 @@ from __future__ import annotations
 import ast
 import builtins
 import difflib
+import io
+import tokenize
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -253,3 +255,42 @@ def tagged_patch(patch):
     tag = lambda k: F.element_at(F.array(F.lit("<del>"), F.lit("<add>"), F.lit("<keep>")), k + 1)
     some = F.filter(patch_lines(patch), lambda x: x["line"] != "")
     return F.array_join(F.transform(some, lambda x: F.concat(tag(x["label"]), x["line"])), " ")
+
+
+def bare_python(code: str | None) -> str | None:
+    """Python code without its comments and docstrings, found by their places in the token stream; all else keeps its layout, but lines that are left empty go. Null if it has no tokens to the end."""
+    code = code or ""
+    lines = code.split("\n")
+    spans = []
+    try:
+        tree = ast.parse(code)
+        for t in tokenize.generate_tokens(io.StringIO(code).readline):
+            if t.type == tokenize.COMMENT:
+                spans.append((t.start, t.end, ""))
+    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+        return None
+    for n in ast.walk(tree):
+        body = getattr(n, "body", None)
+        if isinstance(n, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and ast.get_docstring(n, False) is not None:
+            d = body[0].value
+            row, end = lines[d.lineno - 1].encode(), lines[d.end_lineno - 1].encode()
+            places = (d.lineno, len(row[: d.col_offset].decode())), (d.end_lineno, len(end[: d.end_col_offset].decode()))
+            alone = len(body) == 1 and not isinstance(n, ast.Module)
+            spans.append((*places, "pass" if alone or lines[d.end_lineno - 1][places[1][1] :].lstrip().startswith(";") else ""))
+    touched = set()
+    for (a, i), (b, j), instead in sorted(spans, reverse=True):
+        lines[a - 1 : b] = [lines[a - 1][:i] + instead + lines[b - 1][j:]] + [None] * (b - a)
+        touched.add(a - 1)
+    out = []
+    for k, line in enumerate(lines):
+        if line is None:
+            continue
+        if k in touched and not line.strip():
+            continue
+        out.append(line.rstrip() if k in touched else line)
+    return "\n".join(out)
+
+
+@vectorised("string")
+def without_comments_and_docstrings(code: pd.Series) -> pd.Series:
+    return code.map(bare_python)

@@ -171,18 +171,46 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(miss > 0, miss - 1).otherwise(F.size(same)).cast("int")
 
 
+def prefix_hashes(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
+    """(g, id, n, k, h): for each length k from 0 to n, the hash of a sequence's first k elements, trimmed; each adds to the one before."""
+    s = sequences.select(F.col(group).alias("g"), F.col(seq_id).alias("id"), F.size(seq).alias("n"), F.transform(seq, lambda x: F.trim(x)).alias("s"))
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.array(F.lit(0).cast("long")).alias("all"))
+    chain = lambda acc, x: F.struct(F.xxhash64(acc["h"], x).alias("h"), F.concat(acc["all"], F.array(F.xxhash64(acc["h"], x))).alias("all"))
+    return s.select("g", "id", "n", F.posexplode(F.aggregate("s", start, chain)["all"]).alias("k", "h"))
+
+
 def prefix_pairs(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
-    """Pairs of sequences of one group whose shorter one is a prefix of the longer.
+    """Pairs of sequences of one group whose shorter one is a prefix of the longer; of equal ones the lesser id is the shorter.
+
+    A whole sequence's hash meets the hashes of others' prefixes of its length, so only
+    pairs that are in the result (but for equal hashes of 64 bits, which are compared) are made.
+    """
+    every = prefix_hashes(sequences, group, seq_id, seq)
+    whole = every.where("k = n").select("g", "k", "h", F.col("id").alias("a"), F.col("n").alias("na"))
+    both = whole.join(every.select("g", "k", "h", F.col("id").alias("b"), F.col("n").alias("nb")), ["g", "k", "h"]).where("na < nb OR (na = nb AND a < b)")
+    of = sequences.select(F.col(group).alias("g"), F.col(seq_id).alias("id"), F.col(seq).alias("s"))
+    both = both.join(of.select("g", F.col("id").alias("a"), F.col("s").alias("sa")), ["g", "a"]).join(of.select("g", F.col("id").alias("b"), F.col("s").alias("sb")), ["g", "b"])
+    both = both.where((F.col("na") == 0) | (common_prefix(F.col("sa"), F.col("sb")) == F.col("na")))
+    return both.select(F.col("g").alias(group), F.col("a").alias("shorter"), F.col("b").alias("longer"))
+
+
+def overlap_lengths(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
+    """group, common_len, n_pairs: how many pairs of a group's sequences have just that many first elements in common.
 
-    Joined on group and trimmed first element, which a prefix must share; an
-    empty sequence is a prefix of all and is joined apart.
+    Counted without making the pairs: m sequences that begin alike for k elements are m (m - 1) / 2 pairs of at least that
+    common length. Sequences must have distinct ids.
     """
-    s = sequences.select(F.col(group).alias("g"), F.col(seq_id).alias("id"), F.col(seq).alias("s"), F.size(seq).alias("n"))
-    s = s.withColumn("head", F.trim(F.get("s", F.lit(0))))
-    a, b = s.alias("a"), s.alias("b")
-    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
-    some = a.where("n > 0").join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.head") == F.col("b.head")) & order)
-    some = some.where(common_prefix(F.col("a.s"), F.col("b.s")) == F.col("a.n"))
-    none = a.where("n = 0").join(b, (F.col("a.g") == F.col("b.g")) & order)
-    cols = [F.col("a.g").alias(group), F.col("a.id").alias("shorter"), F.col("b.id").alias("longer")]
-    return some.select(cols).union(none.select(cols))
+    same = prefix_hashes(sequences, group, seq_id, seq).groupBy("g", "k", "h").agg(F.count("*").alias("m"))
+    least = same.groupBy("g", "k").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    further = F.coalesce(F.lead("pairs").over(W.partitionBy("g").orderBy("k")), F.lit(0))
+    just = least.select(F.col("g").alias(group), F.col("k").alias("common_len"), (F.col("pairs") - further).alias("n_pairs"))
+    return just.where("n_pairs > 0")
+
+
+def overlaps(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
+    """group, a, b, min_len, max_len, common_len: pairs of a group's sequences (a < b) that begin alike, and for how many elements; pairs with nothing in common are left out."""
+    every = prefix_hashes(sequences, group, seq_id, seq).where("k > 0")
+    met = every.alias("x").join(every.alias("y"), ["g", "k", "h"]).where(F.col("x.id") < F.col("y.id"))
+    ids = [F.col("g").alias(group), F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    met = met.select(*ids, "k", F.least("x.n", "y.n").alias("min_len"), F.greatest("x.n", "y.n").alias("max_len"))
+    return met.groupBy(group, "a", "b", "min_len", "max_len").agg(F.max("k").alias("common_len"))

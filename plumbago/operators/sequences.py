@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbago.functions.code import vectorised
+from plumbago.runtime import ship
 
 
 def bigrams(df: DataFrame, seq: str, order: list[str], symbol: str) -> DataFrame:
@@ -101,6 +102,84 @@ def next_step(prompts: DataFrame, corpus: DataFrame, blocks: int = 8) -> DataFra
     return x.groupBy("id").agg(F.min("b").alias("b")).select("id", "b.next", (-F.col("b.lost")).alias("score"), "b.seq_id", "b.depth")
 
 
+#: Sequences of a block that meets prompts in one task, and prompts of one.
+BLOCK, PROMPTS = 512, 64
+
+
+def foretold(prompts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, depth, next, told): for each proper prefix of each prompt, the step after it and the one foretold.
+
+    prompts: id, intent, seq (a stated query set); corpus: seq_id, intent, seq. A prefix of n steps is compared with the first n of each
+    sequence of its intent by common subsequence; the first greatest wins, by seq_id, and foretells its next step (null if it has none).
+    One bit-parallel pass over a sequence scores all prefixes of a prompt: the row after n steps tells the common length with any prefix. Before, the smaller counts
+    of each step in both bound the length, so a sequence that can't beat the best so far at any depth is not aligned. Equal sequences of an intent are
+    aligned once. Both sides meet in blocks whose number follows from their rows; only a block's best leave it.
+    """
+    ship(prompts.sparkSession)
+    one = corpus.where(F.size("seq") > 0).groupBy("intent", "seq").agg(F.min("seq_id").alias("seq_id"))
+    n_c = (one.groupBy("intent").count().agg(F.max("count")).first()[0] or 0) // BLOCK + 1
+    n_p = (prompts.groupBy("intent").count().agg(F.max("count")).first()[0] or 0) // PROMPTS + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    c = one.select("intent", F.pmod(F.xxhash64("seq_id"), F.lit(n_c)).cast("int").alias("i"), every(n_p).alias("j"), "seq_id", "seq")
+    p = prompts.where(F.size("seq") > 1).select(F.col("intent").alias("at"), every(n_c).alias("pi"), F.pmod(F.xxhash64("id"), F.lit(n_p)).cast("int").alias("pj"), "id", F.col("seq").alias("prompt"))
+    kind = prompts.schema["id"].dataType.simpleString()
+
+    def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        theirs = theirs.sort_values("seq_id")
+        sequences, ids = [list(x) for x in theirs["seq"]], theirs["seq_id"].to_numpy()
+        for key, prompt in zip(mine["id"], map(list, mine["prompt"])):
+            rows += [(key, *r) for r in best_by_depth(prompt, sequences, ids)[0]]
+        return pd.DataFrame(rows, columns=["id", "depth", "score", "seq_id", "told"])
+
+    found = p.groupBy("at", "pi", "pj").cogroup(c.groupBy("intent", "i", "j")).applyInPandas(meet, f"id {kind}, depth int, score int, seq_id long, told string")
+    best = found.groupBy("id", "depth").agg(F.min_by("told", F.struct((-F.col("score")).alias("lost"), "seq_id")).alias("told"))
+    return prefixes(prompts, "id", "seq").select("id", "depth", "next").join(best, ["id", "depth"], "left")
+
+
+def best_by_depth(prompt: list, sequences: list[list], ids) -> tuple[list[tuple], int]:
+    """(depth, score, seq_id, next) of the best sequence for each proper prefix of a prompt, and how many were aligned; sequences by ascending id."""
+    depth = len(prompt) - 1
+    if not sequences:
+        return [], 0
+    steps = {x: i for i, x in enumerate(dict.fromkeys(prompt))}
+
+    def counts(seq: list) -> np.ndarray:
+        at = np.zeros((depth, len(steps)), np.int32)
+        for n, x in enumerate(seq[:depth]):
+            if x in steps:
+                at[n, steps[x]] += 1
+        return at.cumsum(axis=0)
+
+    own = counts(prompt)
+    bound = np.stack([np.minimum(own, counts(x)).sum(axis=1) for x in sequences])
+    best, which, aligned = np.full(depth, -1), np.zeros(depth, int), 0
+    for k in np.argsort(-bound.sum(axis=1), kind="stable"):
+        if not ((bound[k] > best) | ((bound[k] == best) & (k < which))).any():
+            continue
+        aligned += 1
+        score = diagonal(sequences[k][:depth], prompt[:depth])
+        better = (score > best) | ((score == best) & (k < which))
+        best[better], which[better] = score[better], k
+    told = [sequences[k][n + 1] if len(sequences[k]) > n + 1 else None for n, k in enumerate(which)]
+    return [(n + 1, int(best[n]), int(ids[k]), told[n]) for n, k in enumerate(which)], aligned
+
+
+def diagonal(a: list, b: list) -> np.ndarray:
+    """Common-subsequence lengths of the first n of both, for n from 1 to the length of b."""
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row, out = full, []
+    for n, y in enumerate(b, 1):
+        hit = row & masks.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+        m = min(n, len(a))
+        out.append(m - (row & ((1 << m) - 1)).bit_count())
+    return np.array(out, int)
+
+
 def sequence_similarity(df: DataFrame, pairs: DataFrame, seq: str, item: str, vec: str, rows: int = 2000) -> DataFrame:
     """(a, b, similarity): of two sequences of vectors, the mean of row maxima plus the mean of column maxima of their cosines.
 

@@ -170,6 +170,26 @@ def jon10(spark, sf):
     return C.prefix_pairs(seq, "grp", "nb_id", "types")
 
 
+def type_sequences(spark, sf):
+    seq = cells(spark, sf).groupBy("nb_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cell_type", "content"))).alias("s"))
+    return seq.select((F.col("nb_id") % 10).alias("topic"), "nb_id", F.transform("s", lambda c: c["cell_type"]).alias("types"), F.transform("s", lambda c: c["content"]).alias("texts"))
+
+
+TOPICS = WITH + """, s AS (SELECT nb_id % 10 AS topic, nb_id, list(cell_type ORDER BY pos) AS t, list(content ORDER BY pos) AS x FROM c GROUP BY nb_id),
+p AS (SELECT a.topic, a.nb_id AS a, b.nb_id AS b, least(len(a.t), len(b.t))::INT AS min_len, greatest(len(a.t), len(b.t))::INT AS max_len,
+ coalesce(list_position(list_transform(range(1, least(len(a.{x}), len(b.{x})) + 1), lambda i: trim(a.{x}[i]) = trim(b.{x}[i])), false) - 1, least(len(a.{x}), len(b.{x})))::INT AS common_len FROM s a JOIN s b ON a.topic = b.topic AND a.nb_id < b.nb_id) """
+
+
+@query("agg16_topic_overlap", TOPICS.format(x="t") + "SELECT * FROM p WHERE common_len > 0")
+def agg16(spark, sf):
+    return C.overlaps(type_sequences(spark, sf), "topic", "nb_id", "types")
+
+
+@query("agg16_overlap_lengths", TOPICS.format(x="t") + "SELECT topic, common_len, count(*) AS n_pairs FROM p GROUP BY topic, common_len")
+def agg16_lengths(spark, sf):
+    return C.overlap_lengths(type_sequences(spark, sf), "topic", "nb_id", "types")
+
+
 @query("num10_common_prefix", WITH + """, s AS (SELECT nb_id, list(cell_type ORDER BY pos) AS s FROM c GROUP BY nb_id)
 SELECT a.nb_id, coalesce(list_position(list_transform(range(1, least(len(a.s), len(b.s)) + 1), lambda i: a.s[i] = b.s[i]), false) - 1, least(len(a.s), len(b.s)))::INT AS n
 FROM s a JOIN s b ON b.nb_id = a.nb_id + 1""")

@@ -8,6 +8,8 @@ from plumbago.functions import code as C
 from plumbago.functions import subprograms as S
 from plumbago.functions.text import docstring_types, drop_magics, print_to_call
 from plumbago.operators.fuzzy import fuzzy_parents
+from plumbago.runtime import scratch
+from plumbago.sources.files import read_shards
 
 from . import derived
 from .derived import facts_sql, listed_sql
@@ -191,6 +193,32 @@ def syn16_shared(spark, sf):
     return d.select("nb_id", shape.alias("shape")).distinct().groupBy("shape").agg(F.count("*").alias("n_notebooks"))
 
 
+BARE = ["", "def total{c}(prices, rate):\n    base = sum(prices)\n    for p in prices:\n        base += p * rate\n    if base > {p}:\n        base = np.clip(base, {p})\n    return base, len(prices)", "", *derived.CODE[3:]]
+BARE[0] = derived.CODE[0].replace("%matplotlib inline\nprint x{c}", "print(x{c})")
+by_cell("str23_python_without_comments", {"code": BARE}, lambda c: c.select("nb_id", "pos", F.coalesce(C.without_comments_and_docstrings(mended()), F.lit("")).alias("code")))
+
+
+def shards(spark, sf):
+    """The code cells in 14 files of JSON Lines, those of kind 3 in another language and those of kind 2 cut off; read again with an expectation."""
+    c = derived.code_cells(spark, sf)
+    line = F.to_json(F.struct(F.when(F.col("pos") % 6 == 3, "java").otherwise("python").alias("language"), "nb_id", "pos", "code"))
+    path = scratch(spark, "shards")
+    c.select(F.when(F.col("pos") % 6 == 2, F.substring(line, 1, 20)).otherwise(line).alias("value"), (F.col("pos") % 14).alias("shard")).write.partitionBy("shard").text(path)
+    return read_shards(spark, f"{path}/*/*.txt", "language string, nb_id long, pos long, code string", "language = 'python'")
+
+
+@query("ext7_shards_and_quarantine", "SELECT CASE pos % 6 WHEN 2 THEN 'parse' WHEN 3 THEN 'expectation' ELSE 'good' END AS outcome, count(*) AS n, count(*) AS n_places FROM (SELECT o_orderkey AS pos FROM orders) GROUP BY 1".replace("pos % 6", "(pos % 6)"))
+def ext7(spark, sf):
+    good, bad = shards(spark, sf)
+    both = good.select(F.lit("good").alias("outcome"), "file", "line").union(bad.select("reason", "file", "line"))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("file", "line").alias("n_places"))
+
+
+@query("ext7_shard_streams", facts_sql({"stream": STREAMS}, FUNCTION_KINDS))
+def ext7_streams(spark, sf):
+    return shards(spark, sf)[0].withColumn("d", S.decompose(F.col("code"))).where("d.ok").select("nb_id", "pos", "d.stream")
+
+
 def as_lines(x):
     return f"string_split({x}, chr(10))"
 

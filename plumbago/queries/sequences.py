@@ -9,6 +9,8 @@ from plumbago.operators import hierarchy as H
 from plumbago.operators import sequences as S
 
 from .cells import WITH, cells
+from plumbago.operators.cells import squeezed
+
 from .registry import query, read
 
 PAIRS = "WITH p AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), n AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY a, b) "
@@ -80,12 +82,15 @@ def seq6(spark, sf):
 
 @query("seq7_accuracy_by_depth")
 def seq7(spark, sf):
-    """How often the step foretold for each prefix of the query set's sequences comes, by its length."""
-    s = symbol_sequences(spark, sf)
-    p = S.prefixes(s.where("user_id % 20 = 0"), "user_id", "s").withColumn("id", F.struct("user_id", "depth"))
-    told = S.next_step(p.select("id", "prefix"), corpus(s)).select("id", F.col("next").alias("told"))
-    hit = (F.col("told") == F.col("next")).cast("int")
-    return p.select("id", "depth", "next").join(told, "id").groupBy("depth").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
+    """How often the step foretold comes, for all prefixes of the query set's sequences: by depth, by intent (here the user's number modulo 3) and in all; steps of a score over 20, repeats squeezed."""
+    e = read(spark, sf, "events").where("value > 20")
+    s = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("s"))
+    s = s.select("user_id", (F.col("user_id") % 3).alias("intent"), squeezed("s").alias("seq"))
+    told = S.foretold(s.where("user_id % 20 = 0").withColumnRenamed("user_id", "id"), s.where("user_id % 20 <> 0").withColumnRenamed("user_id", "seq_id"))
+    # the last step is not asked for
+    told = told.join(s.select(F.col("user_id").alias("id"), "intent", F.size("seq").alias("n")), "id").where("depth < n - 1").withColumn("hit", F.coalesce(F.col("told") == F.col("next"), F.lit(False)).cast("int"))
+    sides = [told.select(F.lit(kind).alias("kind"), key.cast("long").alias("key"), "hit") for kind, key in (("depth", F.col("depth")), ("intent", F.col("intent")), ("all", F.lit(0)))]
+    return sides[0].union(sides[1]).union(sides[2]).groupBy("kind", "key").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
 
 
 @query("seq8_sequence_similarity", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),

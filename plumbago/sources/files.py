@@ -8,6 +8,7 @@ import tarfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -105,3 +106,26 @@ def printed_context(cells: DataFrame) -> DataFrame:
     line = F.when(F.col("cell_type") == "markdown", F.concat(F.lit("# "), F.replace("content", F.lit("\n"), F.lit("\n# ")))).when(F.col("cell_type") == "code", F.col("content"))
     parts = F.transform(F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("pos", line.alias("t"))))), lambda c: c["t"])
     return cells.groupBy("nb_id").agg(F.array_join(parts, "\n").alias("text"))
+
+
+def read_shards(spark: SparkSession, paths: str, ddl: str, expect: str) -> tuple[DataFrame, DataFrame]:
+    """JSON Lines files of a glob, line by line: the rows that parse and meet an expectation (SQL), and the others.
+
+    Good rows have `ddl`'s columns, file (its name) and line (from 1); bad ones file, line, text and reason ('parse' or
+    'expectation', an unknown outcome being one). Together they are all lines. Lines are numbered inside the blocks that files are
+    read in and shifted by the counts of the blocks before, so a large file is read by many tasks.
+    """
+    raw = spark.read.text(paths).select(
+        F.col("value"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = raw.withColumn("nth", F.row_number().over(W.partitionBy("file", "block").orderBy("at"))).join(sizes.select("file", "block", before.alias("before")), ["file", "block"])
+    numbered = numbered.select("value", "file", (F.col("before") + F.col("nth")).alias("line"))
+    parsed = numbered.withColumn("row", F.from_json("value", f"{ddl}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    names = spark.createDataFrame([], ddl).columns
+    flat = parsed.select("value", "file", "line", F.coalesce(F.col("row._broken").isNotNull() | F.col("row").isNull(), F.lit(True)).alias("__broken"), *[F.col(f"row.{n}").alias(n) for n in names])
+    met = F.coalesce(F.expr(expect), F.lit(False))
+    good = flat.where(~F.col("__broken") & met).select(*names, "file", "line")
+    reason = F.when(F.col("__broken"), "parse").otherwise("expectation")
+    return good, flat.where(F.col("__broken") | ~met).select("file", "line", F.col("value").alias("text"), reason.alias("reason"))
