@@ -373,7 +373,7 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
         hubs = table(rows.where(hub).select("th").distinct())
         centre = table(rows.join(hubs, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "k"))
         meet = centre.groupBy("h").agg((F.count("*") * F.max("k")).alias("x")).agg(F.sum("x")).first()[0]
-        share = F.lit(int(min(1.0, most / meet) * (1 << 30)))
+        share = F.lit(max(1, int(min(1.0, most / meet) * (1 << 30))))
         now = lambda c: F.pmod(F.xxhash64(c, F.lit(done)), F.lit(1 << 30)) < share
         like = F.least("n", "na") >= F.lit(similarity) * F.greatest("n", "na") - 1e-9
         met = rows.drop("k").join(centre.where(now("a")).drop("k"), "h").where((F.col("component") != F.col("ca")) & like)
