@@ -217,25 +217,21 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return text, h, np.bincount(text, minlength=len(texts))
 
 
-#: Share of a text's shingles by which its prefix is longer than it has to be to meet all similar texts: so many more must then be shared.
-EXTRA = 0.05
+def prefixes(text: np.ndarray, h: np.ndarray, size: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, rank) of each text's prefix: its rarest shingles by (count in the sketch, hash), ranks from 0.
 
-
-def prefixes(text: np.ndarray, h: np.ndarray, size: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each text's prefix: its rarest shingles by (count in the sketch, hash).
-
-    Two sets of that similarity share k of the first n - ceil(similarity n) + k,
-    for any k; here k = 1 + floor(EXTRA n), of the smaller set for a pair.
+    Two similar sets have their first common shingle, in that order, where either
+    still has enough shingles to come, itself included: at least the share `similarity` of its own.
     """
     order = np.lexsort((h, counts[h & np.uint64(SKETCH - 1)], text))
     text, h = text[order], h[order]
     rank = np.arange(len(h)) - (np.cumsum(size) - size)[text]
-    near = rank < (size - np.ceil(similarity * size - 1e-9) + 1 + np.floor(EXTRA * size))[text]
-    return text[near], h[near]
+    near = size[text] - rank >= similarity * size[text] - 1e-9
+    return text[near], h[near], rank[near]
 
 
 def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bits: int, sample_rows: int = 50_000) -> DataFrame:
-    """(h, th, n) as a table: prefix shingles that more than one row has, with their text and its number of shingles. df: th, text.
+    """(h, th, n, i) as a table: prefix shingles that more than one row has, with their text, its number of shingles and their rank in it. df: th, text.
 
     The order of the shingles is set by a sketch of about `sample_rows` texts,
     chosen by hash; any order finds the same pairs, with more or less work.
@@ -275,13 +271,13 @@ def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bi
             th, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
             for a, b in slices(texts):
                 text, h, size = shingle_sets(texts[a:b], words)
-                text, h = prefixes(text, h, size, order.value, similarity)
+                text, h, rank = prefixes(text, h, size, order.value, similarity)
                 hit = has_bit(shared.value, h.view(np.int64))
-                text, h = text[hit], h[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[a:b][text]), pa.array(size[text])], ["h", "th", "n"])
+                text, h, rank = text[hit], h[hit], rank[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(th[a:b][text]), pa.array(size[text]), pa.array(rank)], ["h", "th", "n", "i"])
         give_back()
 
-    return table(df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long").distinct())
+    return table(df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long, i long").distinct())
 
 
 def _sets(df: DataFrame, wanted: DataFrame, words: int, max_filter_bits: int) -> DataFrame:
@@ -329,7 +325,7 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
     """(th, component) as a table: the least text hash that links of Jaccard similarity >= `similarity` reach, for texts with any. texts: th, fp; df: th, text.
 
     First the trie's links between fingerprints, verified. Then, in rounds, the
-    texts that share enough shingles of their prefixes: some texts are hubs,
+    texts whose first common shingle comes early enough for both to have enough more: some texts are hubs,
     which are compared with all others of other components and of like size,
     and are done with. In the first round each shingle names one hub, so that a
     group of copies is linked without giving all its pairs; from then on all
@@ -337,6 +333,10 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
     shingle is done with. Where that would compare more than ROUND times the
     rows, a share of the hubs, by hash, is left to later rounds. No pair
     between components is left out.
+
+    Of two similar texts, the one of fewer shingles has the first common one among
+    its own first ninth, roughly (at similarity 0.8): only such rows meet all others, so that a
+    passage in many texts, which comes after each one's own words, makes no pairs of them.
     """
     stand = texts.groupBy("fp").agg(F.min("th").alias("th"))
     near = links(stand, budget, cell_rows)
@@ -345,13 +345,12 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
     equal = texts.join(stand.select("fp", F.col("th").alias("a")), "fp").where("th <> a").select("a", F.col("th").alias("b"))
     pairs = table(pairs.union(equal).distinct())
     rows = _shared_prefixes(df, words, similarity, max_filter_bits)
-    more = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    several = table(rows.join(more.select("h"), "h", "left_semi"))
-    # a text that has a similar one shares at least so many
-    enough = several.groupBy("th").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") > F.floor(F.lit(EXTRA * similarity) * F.col("n")))
+    # as the text of fewer shingles, at most as far as both being equally long allows
+    graded = rows.withColumn("early", F.col("n") - F.col("i") >= F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-9)
+    more = graded.groupBy("h").agg(F.count("*").alias("k"), F.count_if("early").alias("e")).where("k > 1 AND e > 0")
+    several = table(graded.join(more.select("h"), "h", "left_semi"))
     drop(rows)
-    rows = table(several.join(enough.select("th"), "th", "left_semi"))
-    drop(several)
+    rows = several
     most = ROUND * rows.count()
     sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words, max_filter_bits)
     found = table(_verified(pairs, sets, similarity))
@@ -360,10 +359,10 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
     done = 0
     while True:
         before = rows
-        rows = rows.select("h", "th", "n").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
-        some = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("th").alias("x"), "th")).alias("low"))
-        some = some.groupBy("h").agg(F.sum("m").alias("k"), F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("major"), F.min("low")["th"].alias("first"))
-        some = table(some.where("parts > 1").drop("parts"))
+        rows = rows.select("h", "th", "n", "i", "early").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
+        some = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.count_if("early").alias("e"), F.min(F.struct(F.xxhash64("th").alias("x"), "th")).alias("low"))
+        some = some.groupBy("h").agg(F.sum("m").alias("k"), F.sum("e").alias("e"), F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("major"), F.min("low")["th"].alias("first"))
+        some = table(some.where("parts > 1 AND e > 0").drop("parts"))
         if some.isEmpty():
             drop(before, sets, some)
             return of
@@ -371,17 +370,18 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
         drop(before, some)
         hub = F.col("component") != F.col("major") if done else F.col("th") == F.col("first")
         hubs = table(rows.where(hub).select("th").distinct())
-        centre = table(rows.join(hubs, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "k"))
-        meet = centre.groupBy("h").agg((F.count("*") * F.max("k")).alias("x")).agg(F.sum("x")).first()[0]
-        share = F.lit(max(1, int(min(1.0, most / meet) * (1 << 30))))
+        centre = table(rows.join(hubs, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("early").alias("ea"), F.col("component").alias("ca"), "k", "e"))
+        meet = centre.groupBy("h").agg((F.count_if("ea") * F.max("k") + F.count_if(~F.col("ea")) * F.max("e")).alias("x")).agg(F.sum("x")).first()[0]
+        share = F.lit(max(1, int(min(1.0, most / max(1, meet)) * (1 << 30))))
         now = lambda c: F.pmod(F.xxhash64(c, F.lit(done)), F.lit(1 << 30)) < share
-        like = F.least("n", "na") >= F.lit(similarity) * F.greatest("n", "na") - 1e-9
-        met = rows.drop("k").join(centre.where(now("a")).drop("k"), "h").where((F.col("component") != F.col("ca")) & like)
-        met = met.groupBy(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("n", "na")).alias("n"))
-        # two hubs meet from both sides, so their count is twice too high: that lets a pair pass, never drops one
-        met = table(met.where(F.col("k") > F.floor(F.lit(EXTRA) * F.col("n"))).select("a", "b"))
+        # what is left from the first common shingle on must be enough for both
+        enough = F.least(F.col("n") - F.col("i"), F.col("na") - F.col("ia")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("na")) - 1e-9
+        centres, others = centre.where(now("a")).drop("k", "e"), rows.select("h", "th", "n", "i", "early", "component")
+        met = centres.where("ea").join(others, "h").where((F.col("component") != F.col("ca")) & enough).select("a", "th")
+        met = met.union(centres.where("NOT ea").join(others.where("early"), "h").where((F.col("component") != F.col("ca")) & enough).select("a", "th"))
+        met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
         found = table(_verified(met, sets, similarity))
-        left = table(rows.select("h", "th", "n").join(hubs.where(now("th")), "th", "left_anti"))
+        left = table(rows.select("h", "th", "n", "i", "early").join(hubs.where(now("th")), "th", "left_anti"))
         drop(rows, hubs, centre, met)
         of = _merged(of, found)
         drop(found)
