@@ -106,9 +106,15 @@ def test_similar_texts_share_a_prefix_shingle():
             v[rng.randrange(len(v))] = "other"
         text, h, size = simhash.shingle_sets([" ".join(w).encode(), " ".join(v).encode()], 5)
         x, y = set(h[text == 0].tolist()), set(h[text == 1].tolist())
-        at, p = simhash.prefixes(text, h, size, counts, 0.8)
+        at, p, rank = simhash.prefixes(text, h, size, counts, 0.8)
         if 5 * len(x & y) >= 4 * len(x | y):
-            assert set(p[at == 0].tolist()) & set(p[at == 1].tolist())
+            a, b = (dict(zip(p[at == k].tolist(), rank[at == k].tolist())) for k in (0, 1))
+            first = min(set(a) & set(b), key=a.get)
+            assert a[first] == min(a[c] for c in x & y if c in a) and b[first] == min(b[c] for c in x & y if c in b)
+            # early in the smaller set, and enough shingles left in both for the bound of the join
+            fewer, i = min((size[0], a[first]), (size[1], b[first]))
+            assert fewer - i >= 1.6 / 1.8 * fewer - 1e-9
+            assert min(size[0] - a[first], size[1] - b[first]) >= 0.8 / 1.8 * size.sum() - 1e-9
 
 
 def test_one_shingle_in_many_different_texts(spark):
