@@ -280,23 +280,37 @@ def _shared_prefixes(df: DataFrame, words: int, similarity: float, max_filter_bi
     return table(df.select("th", "text").where("text IS NOT NULL").mapInArrow(again, "h long, th long, n long, i long").distinct())
 
 
+#: Bins of shingles by hash; counts in them bound what two sets share.
+BINS = 128
+
+
 def _sets(df: DataFrame, wanted: DataFrame, words: int, max_filter_bits: int) -> DataFrame:
-    """(th, set) as a table: the shingles of the texts whose hash is in `wanted`. df: th, text."""
+    """(th, set, bins) as a table: the shingles of the texts whose hash is in `wanted`, and how many of them fall into each of BINS bins. df: th, text."""
 
     def run(texts):
-        _, h, size = shingle_sets(texts, words)
-        return {"set": np.split(h.view(np.int64), np.cumsum(size)[:-1])}
+        text, h, size = shingle_sets(texts, words)
+        bins = np.bincount(text * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=len(texts) * BINS).astype(np.int32).reshape(-1, BINS)
+        return {"set": np.split(h.view(np.int64), np.cumsum(size)[:-1]), "bins": list(bins)}
 
     wanted = table(wanted.distinct())
     some = bit_flag(bit_table(wanted.select(F.col("th").alias("h")), max_filter_bits), df.sparkSession)
     one = df.where(some("th")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    out = table(per_text(one, run, "set array<long>", text="text", keep=["th"]))
+    out = table(per_text(one, run, "set array<long>, bins array<int>", text="text", keep=["th"]))
     drop(wanted)
     return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of `pairs` (a, b: text hashes) whose sets have that Jaccard similarity; two empty sets are equal."""
+    """The rows of `pairs` (a, b: text hashes) whose sets have that Jaccard similarity; two empty sets are equal.
+
+    Two sets share no more in a bin than the smaller of their counts there: pairs that
+    this rules out go before whole sets are joined.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("th").alias(end), F.col("bins").alias(name)), end)
+    most = total(F.zip_with("x", "y", lambda x, y: F.least(x, y)))
+    pairs = pairs.where(most >= F.lit(similarity / (1 + similarity)) * (total(F.col("x")) + total(F.col("y"))) - 1e-9).select("a", "b")
     both = pairs.join(sets.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
