@@ -203,11 +203,11 @@ def ext17(spark, sf):
     return every.select(F.posexplode("x").alias("class", "lang")).select("lang", F.col("class").cast("long").alias("class"))
 
 
-TOPICS = ["mean,print,x{c}", "base,clip,len,np,p,prices,rate,sum", "", "load,rows,sort,w,z{c}", "best,i,items,out,reverse,sorted", ""]
+CELL_TOPICS = ["mean,print,x{c}", "base,clip,len,np,p,prices,rate,sum", "", "load,rows,sort,w,z{c}", "best,i,items,out,reverse,sorted", ""]
 ACCEPTED = ["Import", "For,If,Return", "", "", "ListComp,Return", ""]
 
 
-@query("syn3_topics_and_constructs", facts_sql({"topics": TOPICS, "constructs": ACCEPTED}))
+@query("syn3_topics_and_constructs", facts_sql({"topics": CELL_TOPICS, "constructs": ACCEPTED}))
 def syn3(spark, sf):
     """A cell's terms in order, and which of the constructs that tell something about it (not calls, assignments or plain expressions) it has."""
     last = F.transform("f.calls", lambda c: F.substring_index(c, ".", -1))
