@@ -130,19 +130,22 @@ def reach(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def steps_below(edges: DataFrame, root: str, relation: str, most: int = 10) -> DataFrame:
-    """(name, depth, path): the tree below a node along one relation; a node on its own path is not followed again."""
+def steps_below(edges: DataFrame, root: str, relation: str) -> DataFrame:
+    """(name, depth, path): the tree below a node along one relation, however deep; a node on its own path is not followed again.
+
+    One join a level, each level checkpointed, until a level is empty.
+    """
     spark = edges.sparkSession
-    edges.where(F.col("rel") == relation).select("sub", "obj").createOrReplaceTempView("plumbago_steps")
-    text = root.replace("'", "''")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(name, depth, path) AS (
-              SELECT '{text}', 0, concat('/', '{text}', '/')
-              UNION ALL
-              SELECT obj, depth + 1, concat(path, obj, '/') FROM walk JOIN plumbago_steps ON sub = name
-              WHERE depth < {int(most)} AND NOT contains(path, concat('/', obj, '/')))
-            SELECT name, depth, path FROM walk"""
-    )
+    checkpoints(spark)
+    below = edges.where(F.col("rel") == relation).select("sub", "obj").distinct().checkpoint()
+    level = spark.createDataFrame([(root, 0, [root])], "name string, depth int, way array<string>")
+    out = level
+    while True:
+        step = level.join(below, F.col("name") == F.col("sub")).where(~F.array_contains("way", F.col("obj")))
+        level = step.select(F.col("obj").alias("name"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("obj")).alias("way")).checkpoint()
+        if not level.head(1):
+            return out.select("name", "depth", F.concat(F.lit("/"), F.array_join("way", "/"), F.lit("/")).alias("path"))
+        out = out.union(level)
 
 
 def reduce_ontology(edges: DataFrame) -> DataFrame:

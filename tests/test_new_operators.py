@@ -135,3 +135,11 @@ def test_bare_python_parses_to_the_same_tree(code):
 
 def test_bare_python_of_broken_code():
     assert bare_python("x = (1,\n") is None and bare_python(None) == ""
+
+
+def test_steps_of_any_depth(spark):
+    from plumbago.operators import graph as G
+
+    rows = [(f"n{i}", "HAS STEP", f"n{i + 1}") for i in range(25)] + [("n25", "HAS STEP", "n3"), ("n0", "OTHER", "x"), ("n2", "HAS STEP", "leaf")]
+    got = {(r.name, r.depth) for r in G.steps_below(spark.createDataFrame(rows, "sub string, rel string, obj string"), "n0", "HAS STEP").collect()}
+    assert got == {(f"n{i}", i) for i in range(26)} | {("leaf", 3)}
