@@ -333,18 +333,21 @@ def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
 
 #: Rows of prefixes that a round may compare with hubs, as a multiple of all rows of prefixes.
 ROUND = 32
+#: Number of first rounds, in which texts meet only the texts that their shingles name, and how many a shingle names.
+NAMED, PICKS = 1, 4
 
 
 def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: int, similarity: float, cell_rows: int, max_filter_bits: int = 1 << 27) -> DataFrame:
     """(th, component) as a table: the least text hash that links of Jaccard similarity >= `similarity` reach, for texts with any. texts: th, fp; df: th, text.
 
-    First the trie's links between fingerprints, verified. Then, in rounds, the
-    texts whose first common shingle comes early enough for both to have enough more: some texts are hubs,
-    which are compared with all others of other components and of like size,
-    and are done with. In the first round each shingle names one hub, so that a
-    group of copies is linked without giving all its pairs; from then on all
-    texts outside a shingle's largest component are hubs, after which the
-    shingle is done with. Where that would compare more than ROUND times the
+    First the trie's links between fingerprints, verified. Then NAMED rounds in
+    which each shingle names some texts of its largest component (PICKS, chosen
+    anew each round), and its texts outside meet only those: a multiple of the
+    rows at most, after which a group of copies is one component but for a few.
+    Then exact rounds: all texts outside a shingle's largest component are hubs,
+    which are compared with all others of other components whose first common
+    shingle comes early enough for both to have enough more, and are done with;
+    the shingle then is, too. Where that would compare more than ROUND times the
     rows, a share of the hubs, by hash, is left to later rounds. No pair
     between components is left out.
 
@@ -374,25 +377,40 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
     while True:
         before = rows
         rows = rows.select("h", "th", "n", "i", "early").join(of, "th", "left").withColumn("component", F.coalesce("component", "th"))
-        some = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.count_if("early").alias("e"), F.min(F.struct(F.xxhash64("th").alias("x"), "th")).alias("low"))
-        some = some.groupBy("h").agg(F.sum("m").alias("k"), F.sum("e").alias("e"), F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("major"), F.min("low")["th"].alias("first"))
+        picks = [F.min(F.struct(F.xxhash64("th", F.lit(done * PICKS + k)).alias("x"), "th", "n", "i", "early")).alias(f"p{k}") for k in range(PICKS if done < NAMED else 0)]
+        some = rows.groupBy("h", "component").agg(F.count("*").alias("m"), F.count_if("early").alias("e"), *picks)
+        named_texts = F.array(*[F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("th", "n", "i", "early")]) for k in range(len(picks))])
+        largest = F.max_by(F.struct("component", "m", *([F.array_distinct(named_texts).alias("named")] if picks else [])), F.struct("m", "component"))
+        some = some.groupBy("h").agg(F.sum("m").alias("k"), F.sum("e").alias("e"), F.count("*").alias("parts"), largest.alias("major"))
         some = table(some.where("parts > 1 AND e > 0").drop("parts"))
         if some.isEmpty():
             drop(before, sets, some)
             return of
         rows = table(rows.join(some, "h"))
         drop(before, some)
-        hub = F.col("component") != F.col("major") if done else F.col("th") == F.col("first")
-        hubs = table(rows.where(hub).select("th").distinct())
+        outside = rows.where(F.col("component") != F.col("major.component"))
+        # what is left from the first common shingle on must be enough for both
+        enough = lambda n, i, m, j: F.least(n - i, m - j) >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
+        if done < NAMED:
+            # a component of one text has named it before
+            met = outside.where(F.col("major.m") > (1 if done else 0)).select("th", "n", "i", "early", F.explode("major.named").alias("p"))
+            met = met.where((F.col("early") | F.col("p.early")) & enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"))).select("th", F.col("p.th").alias("a"))
+            met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
+            found = table(_verified(met, sets, similarity))
+            drop(met)
+            of = _merged(of, found)
+            drop(found)
+            done += 1
+            continue
+        hubs = table(outside.select("th").distinct())
         centre = table(rows.join(hubs, "th").select("h", F.col("th").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("early").alias("ea"), F.col("component").alias("ca"), "k", "e"))
         meet = centre.groupBy("h").agg((F.count_if("ea") * F.max("k") + F.count_if(~F.col("ea")) * F.max("e")).alias("x")).agg(F.sum("x")).first()[0]
         share = F.lit(max(1, int(min(1.0, most / max(1, meet)) * (1 << 30))))
         now = lambda c: F.pmod(F.xxhash64(c, F.lit(done)), F.lit(1 << 30)) < share
-        # what is left from the first common shingle on must be enough for both
-        enough = F.least(F.col("n") - F.col("i"), F.col("na") - F.col("ia")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("na")) - 1e-9
+        near = enough(F.col("n"), F.col("i"), F.col("na"), F.col("ia"))
         centres, others = centre.where(now("a")).drop("k", "e"), rows.select("h", "th", "n", "i", "early", "component")
-        met = centres.where("ea").join(others, "h").where((F.col("component") != F.col("ca")) & enough).select("a", "th")
-        met = met.union(centres.where("NOT ea").join(others.where("early"), "h").where((F.col("component") != F.col("ca")) & enough).select("a", "th"))
+        met = centres.where("ea").join(others, "h").where((F.col("component") != F.col("ca")) & near).select("a", "th")
+        met = met.union(centres.where("NOT ea").join(others.where("early"), "h").where((F.col("component") != F.col("ca")) & near).select("a", "th"))
         met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
         found = table(_verified(met, sets, similarity))
         left = table(rows.select("h", "th", "n", "i", "early").join(hubs.where(now("th")), "th", "left_anti"))
