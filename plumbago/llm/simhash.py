@@ -300,20 +300,25 @@ def _sets(df: DataFrame, wanted: DataFrame, words: int, max_filter_bits: int) ->
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of `pairs` (a, b: text hashes) whose sets have that Jaccard similarity; two empty sets are equal.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, max_filter_bits: int) -> DataFrame:
+    """The rows of `pairs` (a, b: text hashes) whose sets have that Jaccard similarity, as a table; two empty sets are equal.
 
     Two sets share no more in a bin than the smaller of their counts there: pairs that
-    this rules out go before whole sets are joined.
+    this rules out go before whole sets are joined, and only sets of the pairs left are shuffled.
     """
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(sets.select(F.col("th").alias(end), F.col("bins").alias(name)), end)
     most = total(F.zip_with("x", "y", lambda x, y: F.least(x, y)))
-    pairs = pairs.where(most >= F.lit(similarity / (1 + similarity)) * (total(F.col("x")) + total(F.col("y"))) - 1e-9).select("a", "b")
-    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+    pairs = table(pairs.where(most >= F.lit(similarity / (1 + similarity)) * (total(F.col("x")) + total(F.col("y"))) - 1e-9).select("a", "b"))
+    both = pairs
+    for end, name in (("a", "x"), ("b", "y")):
+        some = bit_flag(bit_table(pairs.select(F.col(end).alias("h")).distinct(), max_filter_bits), pairs.sparkSession)
+        both = both.join(sets.where(some("th")).select(F.col("th").alias(end), F.col("set").alias(name)), end)
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    out = table(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    drop(pairs)
+    return out
 
 
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -370,7 +375,7 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
     rows = several
     most = ROUND * rows.count()
     sets = _sets(df, pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).union(rows.select("th")), words, max_filter_bits)
-    found = table(_verified(pairs, sets, similarity))
+    found = _verified(pairs, sets, similarity, max_filter_bits)
     of = table(components(found).select(F.col("node").alias("th"), "component"))
     drop(pairs, found)
     done = 0
@@ -396,7 +401,7 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
             met = outside.where(F.col("major.m") > (1 if done else 0)).select("th", "n", "i", "early", F.explode("major.named").alias("p"))
             met = met.where((F.col("early") | F.col("p.early")) & enough(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"))).select("th", F.col("p.th").alias("a"))
             met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
-            found = table(_verified(met, sets, similarity))
+            found = _verified(met, sets, similarity, max_filter_bits)
             drop(met)
             of = _merged(of, found)
             drop(found)
@@ -412,7 +417,7 @@ def similar_components(texts: DataFrame, df: DataFrame, *, words: int, budget: i
         met = centres.where("ea").join(others, "h").where((F.col("component") != F.col("ca")) & near).select("a", "th")
         met = met.union(centres.where("NOT ea").join(others.where("early"), "h").where((F.col("component") != F.col("ca")) & near).select("a", "th"))
         met = table(met.select(F.least("a", "th").alias("a"), F.greatest("a", "th").alias("b")).distinct())
-        found = table(_verified(met, sets, similarity))
+        found = _verified(met, sets, similarity, max_filter_bits)
         left = table(rows.select("h", "th", "n", "i", "early").join(hubs.where(now("th")), "th", "left_anti"))
         drop(rows, hubs, centre, met)
         of = _merged(of, found)
