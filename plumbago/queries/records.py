@@ -100,7 +100,7 @@ def ext9(spark, sf):
 
 @query("hie2_ext10_printed_tree")
 def hie2(spark, sf):
-    t = tree(spark)
+    t = tree(spark, sf)
     every = H.leaf_paths(t)
     depth = t.select("nb_id", "pos", F.when(F.col("parent").isNull(), 1).otherwise(2).alias("depth"))
     return R.nested_text(t, depth).join(every.groupBy("nb_id").agg(F.count("*").alias("n_leaves")), "nb_id")
@@ -114,7 +114,7 @@ def hie12(spark, sf):
 
 @query("seq9_labelled_plan", PATHS + " SELECT nb_id, pos, CASE WHEN content LIKE '#%' THEN 'heading' ELSE 'step' END AS label FROM t")
 def seq9(spark, sf):
-    return tree(spark).select("nb_id", "pos", F.when(F.col("content").startswith("#"), "heading").otherwise("step").alias("label"))
+    return tree(spark, sf).select("nb_id", "pos", F.when(F.col("content").startswith("#"), "heading").otherwise("step").alias("label"))
 
 
 @query("top1_sorted_counts", "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")

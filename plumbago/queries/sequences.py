@@ -11,6 +11,7 @@ from plumbago.operators import sequences as S
 from .cells import WITH, cells
 from plumbago.operators.cells import squeezed
 
+from .derived import MARKDOWN_SQL, markdown_cells
 from .registry import query, read
 
 PAIRS = "WITH p AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), n AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY a, b) "
@@ -106,20 +107,18 @@ def seq8(spark, sf):
     return S.sequence_similarity(e, pairs, "label", "vec_id", "embedding")
 
 
-TREE = [("# Load", 0), ("read file", 1), ("## Parse", 2), ("x = 1", 3), ("## Check", 4), ("y = 2", 5), ("# Plot", 6), ("plot()", 7), ("### Deep", 8), ("z", 9)]
-TREE_SQL = "(VALUES " + ", ".join(f"(1, {p}, '{t}')" for t, p in TREE) + ", (2, 0, 'lonely')) AS t(nb_id, pos, content)"
-LEVELS = f"WITH RECURSIVE l AS (SELECT *, CASE WHEN content LIKE '#%' THEN length(regexp_extract(content, '^(#*)', 1))::INT ELSE 1000 END AS level FROM {TREE_SQL}), " \
+LEVELS = f"WITH RECURSIVE l AS (SELECT *, CASE WHEN content LIKE '#%' THEN length(regexp_extract(content, '^(#*)', 1))::INT ELSE 1000 END AS level FROM (SELECT nb_id, pos, md AS content FROM {MARKDOWN_SQL})), " \
     "t AS (SELECT c.nb_id, c.pos, c.level, c.content, (SELECT max(p.pos) FROM l p WHERE p.nb_id = c.nb_id AND p.pos < c.pos AND p.level < c.level) AS parent FROM l c)"
 
 
-def tree(spark):
-    rows = [(1, p, t) for t, p in TREE] + [(2, 0, "lonely")]
-    return H.parents(spark.createDataFrame(rows, "nb_id int, pos int, content string"))
+def tree(spark, sf):
+    """The markdown cells of all notebooks under their headings."""
+    return H.parents(markdown_cells(spark, sf).withColumnRenamed("md", "content"))
 
 
 @query("hie1_parents", LEVELS + " SELECT nb_id, pos, level, parent, content FROM t")
 def hie1(spark, sf):
-    return tree(spark)
+    return tree(spark, sf)
 
 
 PATHS = LEVELS + ", p(nb_id, pos, depth, path) AS (SELECT nb_id, pos, 1, content FROM t WHERE parent IS NULL UNION ALL SELECT t.nb_id, t.pos, p.depth + 1, p.path || '->' || t.content FROM t JOIN p ON t.nb_id = p.nb_id AND t.parent = p.pos), " \
@@ -128,32 +127,32 @@ PATHS = LEVELS + ", p(nb_id, pos, depth, path) AS (SELECT nb_id, pos, 1, content
 
 @query("hie3_root_to_leaf_paths", PATHS + " SELECT nb_id, pos, depth, path FROM leaf")
 def hie3(spark, sf):
-    return H.leaf_paths(tree(spark))
+    return H.leaf_paths(tree(spark, sf))
 
 
 @query("hie4_target_path", PATHS + " SELECT nb_id, arg_max(path, pos) AS path FROM leaf GROUP BY nb_id")
 def hie4(spark, sf):
-    return H.leaf_paths(tree(spark)).groupBy("nb_id").agg(F.max_by("path", "pos").alias("path"))
+    return H.leaf_paths(tree(spark, sf)).groupBy("nb_id").agg(F.max_by("path", "pos").alias("path"))
 
 
 @query("hie6_module_prefix", PATHS + " SELECT 'module->' || path AS path FROM leaf")
 def hie6(spark, sf):
-    return H.leaf_paths(tree(spark)).select(F.concat(F.lit("module->"), "path").alias("path"))
+    return H.leaf_paths(tree(spark, sf)).select(F.concat(F.lit("module->"), "path").alias("path"))
 
 
 @query("hie7_step_index", PATHS + ", s AS (SELECT nb_id, pos, string_split(path, '->') AS x FROM leaf) SELECT nb_id, pos, i - 1 AS depth, x[i] AS step, x[i + 1] AS next_step FROM s, unnest(range(1, len(x) + 1)) AS u(i)")
 def hie7(spark, sf):
-    return H.step_index(H.leaf_paths(tree(spark)))
+    return H.step_index(H.leaf_paths(tree(spark, sf)))
 
 
-@query("hie8_step_search", PATHS + ", s AS (SELECT nb_id, pos, string_split(path, '->') AS x FROM leaf) SELECT nb_id, pos, i - 1 AS depth, abs(i - 1 - 1) AS gap FROM s, unnest(range(1, len(x) + 1)) AS u(i) WHERE x[i] = '## Parse' OR x[i] = '# Load'")
+@query("hie8_step_search", PATHS + ", s AS (SELECT nb_id, pos, string_split(path, '->') AS x FROM leaf) SELECT nb_id, pos, i - 1 AS depth, abs(i - 1 - 1) AS gap FROM s, unnest(range(1, len(x) + 1)) AS u(i) WHERE x[i] = '## Load the data' OR x[i] = '# Shop 1'")
 def hie8(spark, sf):
-    return H.search_step(H.step_index(H.leaf_paths(tree(spark))), ["## Parse", "# Load"], 1)
+    return H.search_step(H.step_index(H.leaf_paths(tree(spark, sf))), ["## Load the data", "# Shop 1"], 1)
 
 
 @query("hie10_relative_rank", LEVELS + " SELECT nb_id, pos, dense_rank() OVER (PARTITION BY nb_id ORDER BY level) - 1 AS rank FROM t")
 def hie10(spark, sf):
-    return H.relative_rank(tree(spark))
+    return H.relative_rank(tree(spark, sf))
 
 
 @query("hie11_html_cells", r"""WITH m AS (SELECT page_id, regexp_extract_all(html, '(?s)<h1>.*?</h1>|<h2>.*?</h2>|<p>.*?</p>|<pre>.*?</pre>') AS x FROM pages)
@@ -170,12 +169,12 @@ def hie13(spark, sf):
 
 @query("agg10_path_weights", PATHS + ", s AS (SELECT string_split(path, '->') AS x FROM leaf) SELECT i - 1 AS depth, x[i] AS step, count(*) AS weight FROM s, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY depth, step")
 def agg10(spark, sf):
-    return H.step_index(H.leaf_paths(tree(spark))).groupBy("depth", "step").agg(F.count("*").alias("weight"))
+    return H.step_index(H.leaf_paths(tree(spark, sf))).groupBy("depth", "step").agg(F.count("*").alias("weight"))
 
 
 @query("agg15_path_statistics", PATHS + " SELECT count(*) AS n_paths, count(DISTINCT nb_id) AS n_modules, round(avg(depth), 6) AS mean_depth, max(depth) AS max_depth, min(depth) AS min_depth FROM leaf")
 def agg15(spark, sf):
-    return H.leaf_paths(tree(spark)).agg(
+    return H.leaf_paths(tree(spark, sf)).agg(
         F.count("*").alias("n_paths"), F.countDistinct("nb_id").alias("n_modules"), F.round(F.avg("depth"), 6).alias("mean_depth"), F.max("depth").alias("max_depth"), F.min("depth").alias("min_depth"))
 
 
