@@ -59,19 +59,26 @@ def kg16(spark, sf):
     return x.groupBy(F.col("c_nationkey").alias("nation")).agg(F.max_by("o_orderkey", "o_totalprice").alias("best_order"), F.round(F.max("o_totalprice"), 2).alias("best"))
 
 
-STEPS = [("cook", 0, "buy"), ("cook", 1, "cut"), ("cook", 2, "boil"), ("buy", 0, "list"), ("buy", 1, "pay"), ("boil", 0, "cook")]
-STEP_SQL = "WITH RECURSIVE st AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {i}, '{b}')" for a, i, b in STEPS) + ") AS v(parent, pos, name)) "
+STEP_SQL = """WITH RECURSIVE st AS (SELECT 'n' || c_nationkey AS parent, c_custkey::BIGINT AS pos, 'c' || c_custkey AS name FROM customer UNION ALL SELECT 'c' || o_custkey, o_orderkey, 'o' || o_orderkey FROM orders
+UNION ALL SELECT 'o' || l_orderkey, l_linenumber, 'l' || l_orderkey || '_' || l_linenumber FROM lineitem) """
 
 
-def steps(spark):
-    return spark.createDataFrame(STEPS, "parent string, pos int, name string")
+def steps(spark, sf):
+    """Customers as steps of nations, orders of customers, lines of orders."""
+    c, o, l = (read(spark, sf, t) for t in ("customer", "orders", "lineitem"))  # noqa: E741
+    s = lambda df, parent, pos, name: df.select(parent.alias("parent"), F.col(pos).cast("long").alias("pos"), name.alias("name"))
+    return (
+        s(c, F.concat(F.lit("n"), "c_nationkey"), "c_custkey", F.concat(F.lit("c"), "c_custkey"))
+        .union(s(o, F.concat(F.lit("c"), "o_custkey"), "o_orderkey", F.concat(F.lit("o"), "o_orderkey")))
+        .union(s(l, F.concat(F.lit("o"), "l_orderkey"), "l_linenumber", F.concat(F.lit("l"), "l_orderkey", F.lit("_"), "l_linenumber")))
+    )
 
 
 @query("kg1_kg22_step_triples", STEP_SQL + """, x AS (SELECT *, lead(name) OVER w AS nxt, lag(name) OVER w AS prv FROM st WINDOW w AS (PARTITION BY parent ORDER BY pos))
 SELECT parent AS sub, 'HAS FIRST STEP' AS rel, name AS obj FROM x WHERE prv IS NULL UNION SELECT parent, 'HAS LAST STEP', name FROM x WHERE nxt IS NULL UNION SELECT parent, 'HAS STEP', name FROM x
 UNION SELECT name, 'IS STEP OF', parent FROM x UNION SELECT name, 'HAS NEXT STEP', nxt FROM x WHERE nxt IS NOT NULL UNION SELECT name, 'HAS PREVIOUS STEP', prv FROM x WHERE prv IS NOT NULL""")
 def kg1(spark, sf):
-    return G.steps_to_triples(steps(spark))
+    return G.steps_to_triples(steps(spark, sf))
 
 
 RELATIONS = "uses,used by,Has Part(s),part of,influenced by,influences,has instance,instance of,modeled by,can model,superclass of,subclass of,evaluated by,evaluates,has language,has dataset,better than,worse than,HAS STEP"
@@ -82,16 +89,16 @@ def kg2(spark, sf):
     return spark.createDataFrame([(r,) for r in RELATIONS.split(",")], "rel string").select("rel", G.inverse(F.col("rel")).alias("inverse"))
 
 
-@query("kg17_ordered_children", STEP_SQL + "SELECT name, pos FROM st WHERE parent = 'cook'")
+@query("kg17_ordered_children", STEP_SQL + "SELECT name, pos FROM st WHERE parent = 'c1'")
 def kg17(spark, sf):
-    return steps(spark).where("parent = 'cook'").select("name", "pos").orderBy("pos")
+    return steps(spark, sf).where("parent = 'c1'").select("name", "pos").orderBy("pos")
 
 
-@query("kg18_steps_below", STEP_SQL + """, walk(name, depth, path) AS (SELECT 'cook', 0, '/cook/' UNION ALL SELECT st.name, depth + 1, path || st.name || '/' FROM walk JOIN st ON st.parent = walk.name WHERE depth < 10 AND NOT contains(path, '/' || st.name || '/'))
-SELECT name, depth, path FROM walk""")
+@query("kg18_steps_below", STEP_SQL + """, walk(name, depth, path) AS (SELECT 'n1', 0, '/n1/' UNION ALL SELECT st.name, depth + 1, path || st.name || '/' FROM walk JOIN st ON st.parent = walk.name WHERE depth < 10 AND NOT contains(path, '/' || st.name || '/'))
+SELECT DISTINCT name, depth, path FROM walk""")
 def kg18(spark, sf):
-    e = steps(spark).select(F.col("parent").alias("sub"), F.lit("HAS STEP").alias("rel"), F.col("name").alias("obj"))
-    return G.steps_below(e, "cook", "HAS STEP")
+    e = steps(spark, sf).select(F.col("parent").alias("sub"), F.lit("HAS STEP").alias("rel"), F.col("name").alias("obj"))
+    return G.steps_below(e, "n1", "HAS STEP")
 
 
 @query("kg19_kg20_reach", EDGES.replace("WITH e", "WITH RECURSIVE e", 1) + """, f AS (SELECT obj AS sub, sub AS obj FROM e WHERE rel <> 'placed_by'), walk(node, depth) AS (SELECT 'r1', 0 UNION SELECT f.obj, depth + 1 FROM walk JOIN f ON f.sub = walk.node WHERE depth < 3)
@@ -139,13 +146,17 @@ def kg23(spark, sf):
     return G.classify(nodes, e, rules, "in_nation")
 
 
-ONTOLOGY = [("root", "a"), ("root", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("root", "c"), ("b", "d")]
-ONTOLOGY_SQL = "WITH o AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ONTOLOGY) + ") AS v(parent, child)) "
+ONTOLOGY_SQL = """WITH o AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0) """
 
 
 @query("kg28_reduced_ontology", ONTOLOGY_SQL + "SELECT parent, child FROM o WHERE NOT EXISTS (SELECT 1 FROM o a JOIN o b ON a.child = b.parent WHERE a.parent = o.parent AND b.child = o.child)")
 def kg28(spark, sf):
-    return G.reduce_ontology(spark.createDataFrame(ONTOLOGY, "parent string, child string"))
+    """Nations under regions, customers under nations, a third of the customers under regions, too."""
+    e = edges(spark, sf).where("rel IN ('in_region', 'in_nation') AND sub NOT LIKE 's%'").select(F.col("obj").alias("parent"), F.col("sub").alias("child"))
+    up = e.select(F.col("child").alias("parent"), F.col("parent").alias("top"))
+    again = e.join(up, "parent").where(F.substring("child", 2, 20).cast("long") % 3 == 0).select(F.col("top").alias("parent"), "child")
+    return G.reduce_ontology(e.union(again))
 
 
 @query("flt7_prune_subjects", EDGES + "SELECT sub, rel, obj FROM e WHERE sub NOT IN (SELECT sub FROM e WHERE rel = 'in_nation' AND obj IN ('n1', 'n2'))")

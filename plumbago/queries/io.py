@@ -18,11 +18,13 @@ def jsonl(spark, sf):
     return files.read_jsonl(spark, path, "doc_id long, n_chars long, lang string")
 
 
-@query("src2_tolerant_jsonl", "SELECT 1 AS a UNION ALL SELECT 3")
+@query("src2_tolerant_jsonl", "SELECT doc_id AS a FROM documents WHERE doc_id % 3 <> 0")
 def tolerant(spark, sf):
     path = scratch(spark, "bad")
-    spark.createDataFrame([('{"a": 1}',), ("{oops",), ('{"a": 3}',)], "value string").coalesce(1).write.text(path)
-    return files.read_jsonl_tolerant(spark, path, "a int").where("a is not null")
+    line = F.to_json(F.struct(F.col("doc_id").alias("a"), "text"))
+    cut = F.when(F.col("doc_id") % 3 == 0, F.substring(line, 1, 5)).otherwise(line)  # lines cut off
+    read(spark, sf, "documents").select(cut.alias("value")).write.text(path)
+    return files.read_jsonl_tolerant(spark, path, "a long").where("a is not null")
 
 
 @query("src3_rows_by_id", "SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 5, 8)")
@@ -31,10 +33,11 @@ def by_id(spark, sf):
     return read(spark, sf, "documents").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang")  # a fixed list
 
 
-@query("src4_json_object", "SELECT 'a' AS key, 1 AS n UNION ALL SELECT 'b', 2")
+@query("src4_json_object", "SELECT n_name AS key, n_nationkey AS n FROM nation")
 def whole(spark, sf):
     path = scratch(spark, "object")
-    spark.createDataFrame([('{"a": {"n": 1},\n "b": {"n": 2}}',)], "value string").coalesce(1).write.text(path)
+    one = F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", F.struct(F.col("n_nationkey").alias("n"))))))  # one object is the feature
+    read(spark, sf, "nation").agg(F.replace(one, F.lit("},"), F.lit("},\n ")).alias("value")).write.text(path)
     return files.read_json_object(spark, path, "struct<n:int>").select("key", "value.n")
 
 
@@ -50,11 +53,13 @@ def json_column(spark, sf):
     return read(spark, sf, "events").select("event_id", files.json_field("props", "$.k").cast("long").alias("k"))
 
 
-@query("src8_n_triples", "SELECT 'Q1' AS sub, 'P31' AS rel, 'Q2' AS obj")
+@query("src8_n_triples", "SELECT 'Q' || o_orderkey AS sub, 'P31' AS rel, 'Q' || o_custkey AS obj FROM orders")
 def triples(spark, sf):
     path = scratch(spark, "nt")
-    lines = ["<http://w/entity/Q1> <http://w/prop/direct/P31> <http://w/entity/Q2> .", "<http://w/entity/Q1> <http://s/label> \"x\"@en ."]
-    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    sub = F.concat(F.lit("<http://w/entity/Q"), F.col("o_orderkey").cast("string"), F.lit("> "))
+    edge = F.concat(sub, F.lit("<http://w/prop/direct/P31> <http://w/entity/Q"), F.col("o_custkey").cast("string"), F.lit("> ."))
+    label = F.concat(sub, F.lit('<http://s/label> "'), "o_orderpriority", F.lit('"@en .'))
+    read(spark, sf, "orders").select(F.explode(F.array(edge, label)).alias("value")).write.text(path)
     return files.read_triples(spark, path)
 
 
@@ -78,17 +83,20 @@ def archives(spark, sf):
     return files.cells_of_archives(spark.read.parquet(path)).select("pos", "cell_type", "content")
 
 
-@query("src11_chat_log", "SELECT 'Ann' AS speaker, 'hi: all' AS utterance UNION ALL SELECT 'Wizard', 'hello'")
+@query("src11_chat_log", "SELECT CASE WHEN user_id % 7 = 0 THEN 'Wizard' ELSE 'u' || user_id END AS speaker, event_type || ': ' || event_id AS utterance FROM events WHERE event_id % 5 <> 0")
 def chat(spark, sf):
     path = scratch(spark, "chat")
-    spark.createDataFrame([("Ann says:hi: all",), ("noise",), ("me says: hello ",)], "value string").write.text(path)
+    who = F.when(F.col("user_id") % 7 == 0, "me").otherwise(F.concat(F.lit("u"), "user_id"))
+    said = F.concat(who, F.lit(" says: "), "event_type", F.lit(": "), "event_id", F.lit(" "))
+    read(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, "noise").otherwise(said).alias("value")).write.text(path)
     return files.read_chat_log(spark, path)
 
 
-@query("src12_captions", "SELECT 12 AS fid, 'load, the data' AS text")
+@query("src12_captions", "SELECT event_id AS fid, event_type || ', the data' AS text FROM events WHERE event_id % 5 <> 0")
 def captions(spark, sf):
     path = scratch(spark, "captions")
-    spark.createDataFrame([("12, <s> load, the data </s>",), ("none",)], "value string").write.text(path)
+    line = F.concat("event_id", F.lit(", <s> "), "event_type", F.lit(", the data </s>"))
+    read(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, "none").otherwise(line).alias("value")).write.text(path)
     return files.read_captions(spark, path)
 
 

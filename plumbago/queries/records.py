@@ -18,36 +18,39 @@ from .registry import query, read
 from .sequences import PATHS, tree
 from .text import SPACED
 
-EVAL = [("vision", [("cifar", ["resnet", "vit"])], '[{"task":"detection","datasets":[{"dataset":"coco","models":["yolo"]}],"subtasks":null}]')]
-EVAL_ROWS = [
-    ("vision", "HAS DATASET", "cifar"), ("cifar", "EVALUATES", "resnet"), ("cifar", "EVALUATES", "vit"), ("resnet", "CAN MODEL", "vision"), ("vit", "CAN MODEL", "vision"),
-    ("detection", "SUBTASK OF", "vision"), ("detection", "HAS DATASET", "coco"), ("coco", "EVALUATES", "yolo"), ("yolo", "CAN MODEL", "detection"),
-]
-
-
-@query("kg5_evaluation_triples", values(EVAL_ROWS, "sub, rel, obj"))
+@query("kg5_evaluation_triples", """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, 'm' || c_nationkey AS m FROM customer)
+SELECT 't' || k AS sub, 'HAS DATASET' AS rel, seg AS obj FROM c UNION SELECT seg, 'EVALUATES', m FROM c UNION SELECT m, 'CAN MODEL', 't' || k FROM c UNION SELECT 's' || k, 'SUBTASK OF', 't' || k FROM c
+UNION SELECT 's' || k, 'HAS DATASET', 'd' || k FROM c UNION SELECT 'd' || k, 'EVALUATES', 'yolo' FROM c UNION SELECT 'yolo', 'CAN MODEL', 's' || k FROM c""")
 def kg5(spark, sf):
-    x = spark.createDataFrame(EVAL, "task string, datasets array<struct<dataset:string,models:array<string>>>, subtasks string")
-    return R.evaluation_triples(x)
+    """A task with one subtask a customer."""
+    k, seg, m = F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.concat(F.lit("m"), "c_nationkey")
+    sub = F.concat(F.lit('[{"task":"s'), k, F.lit('","datasets":[{"dataset":"d'), k, F.lit('","models":["yolo"]}],"subtasks":null}]'))
+    sets = F.array(F.struct(seg.alias("dataset"), F.array(m).alias("models")))
+    return R.evaluation_triples(read(spark, sf, "customer").select(F.concat(F.lit("t"), k).alias("task"), sets.alias("datasets"), sub.alias("subtasks")))
 
 
-@query("kg6_kg7_array_triples", values([("mnist", "HAS TASK", "vision"), ("mnist", "HAS MODALITY", "image"), ("mnist", "HAS MODALITY", "text")], "sub, rel, obj"))
+@query("kg6_kg7_array_triples", """SELECT c_name AS sub, 'HAS TASK' AS rel, c_mktsegment AS obj FROM customer UNION SELECT c_name, 'HAS MODALITY', 'n' || c_nationkey FROM customer UNION SELECT c_name, 'HAS MODALITY', 'text' FROM customer""")
 def kg6(spark, sf):
-    x = spark.createDataFrame([("mnist", ["vision"], ["image", "text"])], "name string, tasks array<string>, modalities array<string>")
+    x = read(spark, sf, "customer").select(F.col("c_name").alias("name"), F.array("c_mktsegment").alias("tasks"), F.array(F.concat(F.lit("n"), "c_nationkey"), F.lit("text")).alias("modalities"))
     return R.array_triples(x, "name", {"tasks": "HAS TASK", "modalities": "HAS MODALITY"})
 
 
-NESTED = '{"a::T": {"b::M::USES": {"DESC": "x"}, "plain": "y"}, "c::T": "z"}'
+def nested(spark, sf):
+    """An object of objects a customer."""
+    parts = ['{"a::T": {"b::M::USES": {"DESC": "', "c_name", '"}, "plain": "', "c_mktsegment", '"}, "n', "c_nationkey", '::T": "z"}']
+    j = F.concat(*[F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+    return R.paths_of_objects(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), j.alias("j")), "id", "j")
 
 
-@query("num11_hie5_paths_of_objects", values([(1, "a::T->b::M::USES->DESC", '"x"'), (1, "a::T->plain", '"y"'), (1, "c::T", '"z"')], "id, path, value"))
+@query("num11_hie5_paths_of_objects", """SELECT c_custkey AS id, 'a::T->b::M::USES->DESC' AS path, '"' || c_name || '"' AS value FROM customer UNION ALL SELECT c_custkey, 'a::T->plain', '"' || c_mktsegment || '"' FROM customer
+UNION ALL SELECT c_custkey, 'n' || c_nationkey || '::T', '"z"' FROM customer""")
 def num11(spark, sf):
-    return R.paths_of_objects(spark.createDataFrame([(1, NESTED)], "id int, j string"), "id", "j")
+    return nested(spark, sf)
 
 
-@query("kg3_bad_keys", values([(1, "plain")], "id, key"))
+@query("kg3_bad_keys", "SELECT c_custkey AS id, 'plain' AS key FROM customer")
 def kg3(spark, sf):
-    return R.bad_keys(R.paths_of_objects(spark.createDataFrame([(1, NESTED)], "id int, j string"), "id", "j"))
+    return R.bad_keys(nested(spark, sf))
 
 
 @query("num12_collapsed_lists", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
