@@ -124,15 +124,20 @@ def syn17(spark, sf):
     return d.select("nb_id", "pos", "d.name", F.col("d.line").cast("string").alias("line"), F.col("d.kind").alias("flow"), F.array_join("d.sources", ",").alias("sources"))
 
 
-def functions(spark, sf):
-    """Sub-programs of the cells that have a function."""
-    return derived.code_cells(spark, sf).withColumn("d", S.decompose(F.col("code"))).where("d.ok")
+def functions(spark, sf, *fields):
+    """These fields of the sub-programs of the cells that have a function."""
+    return with_functions(derived.code_cells(spark, sf), *fields)
 
 
-def by_function(name, columns, select):
+def with_functions(c, *fields):
+    """Cells without the keyword have no function, and are not sent to Python."""
+    return c.where(F.contains("code", F.lit("def"))).withColumn("d", S.decompose(F.col("code"), *fields)).where("d.ok")
+
+
+def by_function(name, columns, fields, select):
     @query(name, facts_sql(columns, FUNCTION_KINDS))
     def q(spark, sf):
-        return select(functions(spark, sf))
+        return select(functions(spark, sf, *fields))
 
     return q
 
@@ -140,16 +145,16 @@ def by_function(name, columns, select):
 by_function("syn13_function_io", {
     "arguments": ["", "prices,rate", "", "", "items,n", ""], "returned": ["", "__SIMPLIFIED_RETURN_VARIABLE", "", "", "out", ""],
     "last_lines": ["", "    __SIMPLIFIED_RETURN_VARIABLE = (base, len(prices))\n    return __SIMPLIFIED_RETURN_VARIABLE", "", "", "    out = [i for i in best if i > {p}]\n    return out", ""],
-}, lambda f: f.select("nb_id", "pos", F.array_join("d.arguments", ",").alias("arguments"), F.array_join("d.returned", ",").alias("returned"), F.regexp_extract("d.simplified", r"([^\n]*\n[^\n]*)$", 1).alias("last_lines")))
+}, ["arguments", "returned", "simplified"], lambda f: f.select("nb_id", "pos", F.array_join("d.arguments", ",").alias("arguments"), F.array_join("d.returned", ",").alias("returned"), F.regexp_extract("d.simplified", r"([^\n]*\n[^\n]*)$", 1).alias("last_lines")))
 RENAMED = ["", "def total{c}(INP0, INP1):\n    VAR0 = sum(INP0)\n    for VAR1 in INP0:\n        VAR0 += VAR1 * INP1\n    if VAR0 > {p}:\n        VAR0 = __MODULE_np.clip(VAR0, {p})\n    OUT0 = (VAR0, len(INP0))\n    return OUT0", "", "",
            "def pick{c}(INP0, INP1=3):\n    VAR0 = sorted(INP0)\n    VAR0.reverse()\n    OUT0 = [VAR1 for VAR1 in VAR0 if VAR1 > {p}]\n    return OUT0", ""]
-by_function("syn14_renamed", {"renamed": RENAMED}, lambda f: f.select("nb_id", "pos", "d.renamed"))
+by_function("syn14_renamed", {"renamed": RENAMED}, ["renamed"], lambda f: f.select("nb_id", "pos", "d.renamed"))
 
 
 @query("syn14_roles", listed_sql(["name", "role"], [[], [("prices", "INP0"), ("rate", "INP1"), ("base", "VAR0"), ("p", "VAR1"), ("np", "__MODULE_np"), ("__SIMPLIFIED_RETURN_VARIABLE", "OUT0")], [], [],
                                                     [("items", "INP0"), ("n", "INP1"), ("best", "VAR0"), ("i", "VAR1"), ("out", "OUT0")], []]).replace("SELECT nb_id, pos, i,", "SELECT nb_id, pos,"))
 def syn14_roles(spark, sf):
-    return functions(spark, sf).select("nb_id", "pos", F.explode("d.roles").alias("name", "role"))
+    return functions(spark, sf, "roles").select("nb_id", "pos", F.explode("d.roles").alias("name", "role"))
 
 
 STEPS = [
@@ -162,7 +167,7 @@ STEPS = [
 @query("syn15_steps_and_operators", listed_sql(["step_kind", "inputs", "outputs", "ops", "needs"], STEPS))
 def syn15(spark, sf):
     """Statements with their inputs, outputs, operators and the earlier steps that they read from."""
-    d = functions(spark, sf).select("nb_id", "pos", F.explode("d.steps").alias("s"))
+    d = functions(spark, sf, "step_facts").select("nb_id", "pos", F.explode("d.step_facts").alias("s"))
     return d.select("nb_id", "pos", F.col("s.step").alias("i"), F.col("s.kind").alias("step_kind"), *[F.array_join(F.col(f"s.{n}").cast("array<string>"), " ").alias(n) for n in ("inputs", "outputs", "ops", "needs")])
 
 
@@ -171,7 +176,7 @@ STREAMS = [
     "IF(test=COMPARE(left=VAR0, ops=[GT], comparators=[[]])) [STEP] [I] VAR0 np [O] VAR0 [ops] clip [STEP] ENDIF [STEP] NEWLINE [STEP] [I] VAR0 INP0 [O] OUT0 [ops] len [STEP] NEWLINE [STEP] RETURN",
     "", "", "[I] INP0 INP1 [O] OUT0 [ops] FUNCDEF [STEP] [I] INP0 [O] VAR0 [ops] sorted [STEP] NEWLINE [STEP] [I] VAR0 [O] VAR0 [ops] reverse [STEP] NEWLINE [STEP] [I] VAR1 VAR0 [O] OUT0 [ops] LISTCOMP [STEP] NEWLINE [STEP] RETURN", "",
 ]
-by_function("syn15_syn16_statement_stream", {"stream": STREAMS}, lambda f: f.select("nb_id", "pos", "d.stream"))
+by_function("syn15_syn16_statement_stream", {"stream": STREAMS}, ["stream"], lambda f: f.select("nb_id", "pos", "d.stream"))
 SLICES = [
     [], [("0", "VAR0", "INP0"), ("0 1 2", "VAR0", "INP0 INP1"), ("0 1 2 3 4", "VAR0", "INP0 INP1 np"), ("0 1 2 3 4 5", "OUT0", "INP0 INP1 np"), ("0 1 2 3 4 5 6", "OUT0", "INP0 INP1 np"), ("1", "VAR1", "INP0")],
     [], [], [("0", "VAR0", "INP0"), ("0 1", "VAR0", "INP0"), ("0 1 2", "OUT0", "INP0"), ("0 1 2 3", "OUT0", "INP0")], [],
@@ -180,7 +185,7 @@ SLICES = [
 
 @query("syn16_sub_programs", listed_sql(["members", "outputs", "inputs"], SLICES).replace("SELECT nb_id, pos, i,", "SELECT nb_id, pos,"))
 def syn16(spark, sf):
-    d = functions(spark, sf).select("nb_id", "pos", F.explode("d.slices").alias("s"))
+    d = functions(spark, sf, "slice_facts").select("nb_id", "pos", F.explode("d.slice_facts").alias("s"))
     return d.select("nb_id", "pos", *[F.array_join(F.col(f"s.{n}").cast("array<string>"), " ").alias(n) for n in ("members", "outputs", "inputs")])
 
 
@@ -188,7 +193,7 @@ def syn16(spark, sf):
 SELECT x AS shape, count(*) AS n_notebooks FROM s GROUP BY x""")
 def syn16_shared(spark, sf):
     """In how many notebooks a step of the same inputs and operators is found."""
-    d = functions(spark, sf).select("nb_id", F.explode("d.steps").alias("s"))
+    d = functions(spark, sf, "step_facts").select("nb_id", F.explode("d.step_facts").alias("s"))
     shape = F.md5(F.concat(F.array_join("s.inputs", " "), F.lit(">"), F.array_join("s.ops", " ")))
     return d.select("nb_id", shape.alias("shape")).distinct().groupBy("shape").agg(F.count("*").alias("n_notebooks"))
 
@@ -216,7 +221,7 @@ def ext7(spark, sf):
 
 @query("ext7_shard_streams", facts_sql({"stream": STREAMS}, FUNCTION_KINDS))
 def ext7_streams(spark, sf):
-    return shards(spark, sf)[0].withColumn("d", S.decompose(F.col("code"))).where("d.ok").select("nb_id", "pos", "d.stream")
+    return with_functions(shards(spark, sf)[0], "stream").select("nb_id", "pos", "d.stream")
 
 
 def as_lines(x):

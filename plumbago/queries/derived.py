@@ -36,8 +36,8 @@ def filled(templates: list[str]):
 
 
 def code_cells(spark, sf):
-    """nb_id, pos, code."""
-    return orders(spark, sf).select("nb_id", "pos", filled(CODE).alias("code"))
+    """nb_id, pos, code; dealt out, as the orders are few bytes, so few tasks, and each cell costs Python much."""
+    return orders(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "pos").select("nb_id", "pos", filled(CODE).alias("code"))
 
 
 def markdown_cells(spark, sf):

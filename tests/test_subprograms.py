@@ -80,3 +80,24 @@ def test_slice_of_the_result_is_enough(code, given):
 def test_no_function(code):
     d = S.decomposed(code)
     assert not d["ok"] and d["steps"] == [] and d["stream"] is None
+
+
+def test_only_what_is_asked_for_is_worked_out(monkeypatch):
+    code = "def f(a, b):\n    x = a.b.go(b)[0](1)\n    for y in x:\n        x += y\n    return x + 1"
+    whole = S.decomposed(code)
+    for name in S.WHOLE:
+        assert S.decomposed(code, (name,))[name] == whole[name]
+    for name in ("steps", "slices"):
+        facts = S.decomposed(code, (name[:-1] + "_facts",))[name[:-1] + "_facts"]
+        assert facts == [{k: v for k, v in r.items() if k != "code"} for r in whole[name]]
+    monkeypatch.setattr(S.ast, "unparse", lambda n: (_ for _ in ()).throw(AssertionError("unparsed")) if isinstance(n, S.ast.stmt) else "f")
+    assert S.decomposed(code, ("roles", "slice_facts"))["ok"] and not S.decomposed("x = 1", ("roles",))["ok"]
+
+
+def test_cells_go_to_python_once_and_in_many_tasks(spark):
+    from plumbago.queries.code import functions
+
+    d = functions(spark, "/root/testdata/sf0.001", "roles").select("pos", "d.roles")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    assert d.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
