@@ -89,3 +89,14 @@ def test_long_lists_stay_unread(spark):
     assert I.unread_share(v, I.bounds(v, q, 2)) > 0.5
     got = I.most_similar(v, q, 2).groupBy("q").agg(F.collect_set("doc").alias("d")).collect()
     assert all(set(r.d) == {r.q % 1000, r.q % 1000 + 1000} for r in got)
+
+
+def test_no_row_a_pair_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 64)
+    d = spark.createDataFrame([(i, f"the of a w{i} v{i // 2}") for i in range(400)], "id long, text string")
+    t = tokens(F.col("text"), r"\S+")
+    v = I.Vectors(d, "id", t)
+    got = I.most_similar(v, v.queries(d, "id", t), 2)
+    assert {(r.q, r.doc, r["rank"]) for r in got.collect()} == {(q, q, 1) for q in range(400)} | {(q, q ^ 1, 2) for q in range(400)}
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "HashAggregate" not in plan
