@@ -47,3 +47,14 @@ def test_top_k_in_blocks(spark, monkeypatch):
         want |= {(q, d, r + 1) for r, d in enumerate(order[:4])}
     assert got == want
     assert R.vector_top_k(df.limit(0), df, 4, "id", "v").count() == 0
+
+
+def test_wide_ranges_send_no_copies(spark):
+    x = clustered(600, 32, 3)
+    df = spark.createDataFrame([("a", i, x[i].tolist()) for i in range(600)], "g string, id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(V.apart(u[:64], np.arccos(0.4))) == 1 and len(V.apart(u[:64], 0.001)) == 64
+    pairs, count = V.pairs_in_range(df, "g", "id", "v", 0.4)
+    s = u @ u.T
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, j) for i in range(600) for j in range(i + 1, 600) if s[i, j] >= 0.4}
+    assert count.first().compared <= count.first().possible
