@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbago.functions import code as C
@@ -70,12 +71,12 @@ VARIABLES = [["x{c}"], ["base", "prices", "p", "rate", "np"], [], ["rows", "z{c}
 u AS (SELECT DISTINCT b.nb_id, b.pos FROM v a JOIN v b ON a.nb_id = b.nb_id AND a.name = b.name AND a.pos < b.pos)
 SELECT o_custkey AS nb_id, count(*) AS n_cells, count(u.pos) AS n_using_context FROM orders LEFT JOIN u ON u.nb_id = o_custkey AND u.pos = o_orderkey GROUP BY o_custkey""")
 def syn9(spark, sf):
-    """A cell uses earlier names if one of its own was first used before it: one minimum a name, not all earlier names again for each cell."""
-    c = cells(spark, sf).select("nb_id", "pos", "f.variables")
-    names = c.select("nb_id", "pos", F.explode("variables").alias("name"))
-    first = names.groupBy("nb_id", "name").agg(F.min("pos").alias("first"))
-    using = names.join(first, ["nb_id", "name"]).where("first < pos").select("nb_id", "pos", F.lit(1).alias("using")).distinct()
-    return c.join(using, ["nb_id", "pos"], "left").groupBy("nb_id").agg(F.count("*").alias("n_cells"), F.count("using").alias("n_using_context"))
+    """A cell uses earlier names if one of its own was first used before it: one minimum a name. Dealt out by notebook once, which all steps keep to; nothing is joined."""
+    x = cells(spark, sf).select("nb_id", "pos", F.posexplode_outer("f.variables").alias("i", "name")).repartition("nb_id")
+    x = x.withColumn("first", F.min("pos").over(W.partitionBy("nb_id", "name")))
+    # a cell's first row, or its only one if it has no names, counts it
+    own = x.groupBy("nb_id", "pos").agg(F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("n"), F.max(F.col("name").isNotNull() & (F.col("first") < F.col("pos"))).alias("using"))
+    return own.groupBy("nb_id").agg(F.sum("n").alias("n_cells"), F.sum(F.when(F.col("using"), F.col("n")).otherwise(0)).alias("n_using_context"))
 
 
 OBFUSCATED = [

@@ -101,3 +101,10 @@ def test_cells_go_to_python_once_and_in_many_tasks(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1, plan
     assert d.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_earlier_names_join_nothing(spark):
+    from plumbago.queries import QUERIES
+
+    plan = QUERIES["syn9_agg3_uses_earlier_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1, plan
