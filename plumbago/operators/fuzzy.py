@@ -54,12 +54,29 @@ def _by_rarity(parts: DataFrame) -> DataFrame:
     return parts.join(n, "part").withColumns({"rank": F.row_number().over(order), "before": F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
 
 
-def _pairs(a: DataFrame, b: DataFrame, also: Column | None = None) -> DataFrame:
-    """Different keys that share a part, in both tables' order, the lesser first."""
-    both = a.select("part", F.col("key").alias("x")).join(b.select("part", F.col("key").alias("y")), "part").where("x <> y" if also is None else (F.col("x") != F.col("y")) & also)
+def _pairs(a: DataFrame, b: DataFrame, also: Column) -> DataFrame:
+    """Different keys that share a part and meet `also` (of x, y, sx, sy), in both tables' order, the lesser first; a and b: part, key, s."""
+    x, y = a.select("part", F.col("key").alias("x"), F.col("s").alias("sx")), b.select("part", F.col("key").alias("y"), F.col("s").alias("sy"))
+    both = x.join(y, "part").where((F.col("x") != F.col("y")) & also)
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+#: Numbers of 64 bits that sum up a key's parts; a bit that is set in one key's and not in another's tells of a part that the other lacks.
+LONGS = 4
+
+
+def _bits(parts: DataFrame) -> DataFrame:
+    """(key, s): a bit for each part of a key, by its hash, in an array of LONGS numbers."""
+    at = F.pmod(F.xxhash64("part", F.lit(5)), F.lit(64 * LONGS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
+    return parts.groupBy("key").agg(F.array(*[F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(LONGS)]).alias("s"))
+
+
+def _lacked(one: str, other: str) -> Column:
+    """How many bits of one key the other hasn't: never more than the parts that it lacks."""
+    return sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(1, LONGS)), F.bit_count(F.get(one, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(0))))))
+
+
 def candidates(keys: DataFrame, threshold: int = 95) -> DataFrame:
     """(x, y): all pairs of distinct keys (key: words in order) that may score `threshold` or more; x < y.
 
@@ -67,20 +84,26 @@ def candidates(keys: DataFrame, threshold: int = 95) -> DataFrame:
     are a small share of its common ones, so the pair shares one of the rarest words that
     together exceed that share; the other side may be of any length. Or both
     strings are alike as a whole, so their lengths are close, and they share most pairs of
-    adjacent characters, hence one of each one's rarest few.
+    adjacent characters, hence one of each one's rarest few. Bits of all their parts
+    rule out most pairs that share one, before they are shuffled.
     """
     t = (threshold - 0.5) / 100  # scores are rounded
     words = _stored(_by_rarity(keys.select("key", F.explode(F.split("key", " ")).alias("part")).withColumn("size", F.length("part"))))
     lacking = (1 / t - 1) * 2
-    contained = _pairs(words.where(F.col("before") <= F.lit(lacking) * F.length("key")), words)
+    # a word that is longer than what may be lacked is in both, so the other side has its bit
+    must = words.where(F.col("size") > F.lit(lacking) * F.length("key"))
+    none = F.array(*[F.lit(0).cast("long")] * LONGS)
+    first = words.where(F.col("before") <= F.lit(lacking) * F.length("key")).join(_bits(must), "key", "left").withColumn("s", F.coalesce("s", none))
+    contained = _pairs(first, words.join(_bits(words), "key"), _lacked("sx", "sy") == 0)
     # a side of n characters has n + 1 pairs of characters; with u unmatched ones in both sides, at most u + 1 matched runs
     # of (n + m - u) / 2 characters in all, and m >= n - u, all but 2 + 2 u of its pairs are shared
     unmatched, padded = F.floor(F.lit((1 - t) * 2 / t) * F.length("key") + F.lit(1e-9)), F.concat(F.lit(" "), F.col("key"), F.lit(" "))
     grams = keys.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substr(padded, i, F.lit(2)))).alias("gram"))
     grams = grams.withColumn("nth", F.row_number().over(W.partitionBy("key", "gram").orderBy("gram"))).select("key", F.concat("gram", F.col("nth").cast("string")).alias("part"), F.lit(1).alias("size"))
-    few = _stored(_by_rarity(grams).where(F.col("rank") <= 2 * unmatched + 3))
+    few = _stored(_by_rarity(grams).where(F.col("rank") <= 2 * unmatched + 3).join(_bits(grams), "key"))
     near = F.least(F.length("x"), F.length("y")) >= F.lit(t / (2 - t)) * F.greatest(F.length("x"), F.length("y")) - 1e-9
-    return contained.union(_pairs(few, few, near)).distinct()
+    alike = (_lacked("sx", "sy") <= 2 + 2 * F.floor(F.lit((1 - t) * 2 / t) * F.length("x") + F.lit(1e-9))) & (_lacked("sy", "sx") <= 2 + 2 * F.floor(F.lit((1 - t) * 2 / t) * F.length("y") + F.lit(1e-9)))
+    return contained.union(_pairs(few, few, near & alike)).distinct()
 
 
 def fuzzy_parents(labels: DataFrame, label: str, threshold: int = 95) -> DataFrame:

@@ -49,3 +49,12 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(" ".join(sorted({"the", "of", *rng.sample(words, 3)})),) for _ in range(1500)], "key string").distinct()
     n = df.count()
     assert Z.candidates(df).count() < n * (n - 1) / 2 / 5
+
+
+def test_common_words_make_few_candidates(spark):
+    rng = random.Random(5)
+    colours = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(30)]
+    keys = {" ".join(sorted(rng.sample(colours, 5))) for _ in range(400)}
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    n = len(keys)
+    assert Z.candidates(df).count() < n * (n - 1) / 2 / 50
