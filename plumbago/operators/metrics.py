@@ -25,8 +25,8 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFram
 
 
 def ranking_precision(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(q, lrap): mean over relevant documents of (rank among relevant) / rank, missing ones 0; ties share the last rank."""
-    by = W.partitionBy("q").orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, 0)
+    """(q, lrap): mean over relevant documents of (rank among relevant) / rank, missing ones 0; ties share the last rank. Scores are rounded to 9 digits, as in top_k: sums in another order still tie."""
+    by = W.partitionBy("q").orderBy(F.desc(F.round("score", 9))).rangeBetween(W.unboundedPreceding, 0)
     x = ranked.withColumn("r", F.count("*").over(by)).join(relevant.withColumn("rel", F.lit(1)), ["q", "doc"])
     x = x.withColumn("rr", F.count("*").over(by))
     found = x.groupBy("q").agg(F.sum(F.col("rr") / F.col("r")).alias("s"))

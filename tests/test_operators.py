@@ -117,3 +117,11 @@ def test_compound_labels(spark):
         "one to two to plot it": ["one to two to plot it"], "load": ["load"],
     }
     assert "load" not in {r.label for r in T.simple_labels(df).collect()}
+
+
+def test_sums_in_another_order_tie(spark):
+    from plumbago.operators import metrics as M
+
+    ranked = spark.createDataFrame([(1, 1, 0.1 + 0.2 + 0.3), (1, 2, 0.3 + 0.2 + 0.1)], "q long, doc long, score double")
+    relevant = spark.createDataFrame([(1, 1)], "q long, doc long")
+    assert M.ranking_precision(ranked, relevant).first().lrap == 0.5
