@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbago.functions.code import vectorised
-from plumbago.runtime import ship
+from plumbago.runtime import scratch, ship
 
 
 def bigrams(df: DataFrame, seq: str, order: list[str], symbol: str) -> DataFrame:
@@ -69,17 +71,6 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else max(_common(list(x), list(y)), default=0) for x, y in zip(a, b)], dtype="Int32")
 
 
-@vectorised("struct<score:int,depth:int>")
-def best_prefix(prompt: pd.Series, seq: pd.Series) -> pd.DataFrame:
-    """The greatest common subsequence of a prompt with a proper prefix of a sequence, and the shortest such prefix's length."""
-    rows = []
-    for p, s in zip(prompt, seq):
-        score = list(_common(list(p), list(s[:-1])))
-        best = max(score, default=0)
-        rows.append((best, score.index(best) + 1 if score else None))
-    return pd.DataFrame(rows, columns=["score", "depth"]).astype("Int32")
-
-
 def prefixes(df: DataFrame, seq_id: str, seq: str) -> DataFrame:
     """(id, depth, prefix, next): each proper prefix with the step after it."""
     depth = F.explode(F.sequence(F.lit(1), F.size(seq) - 1)).alias("depth")
@@ -87,97 +78,186 @@ def prefixes(df: DataFrame, seq_id: str, seq: str) -> DataFrame:
     return x.select(seq_id, "depth", F.slice(seq, F.lit(1), F.col("depth")).alias("prefix"), F.get(seq, F.col("depth")).alias("next"))
 
 
-def next_step(prompts: DataFrame, corpus: DataFrame, blocks: int = 8) -> DataFrame:
-    """(id, next, score, seq_id, depth): the step after the corpus prefix nearest to each prompt by common subsequence.
+#: Sequences of a block that meets prompts in one task (and steps of them, in all, per sequence), and prompts of one.
+BLOCK, STEPS, PROMPTS = 4096, 128, 1024
+#: Bytes of a block's tables of places that are kept, and sequences of the least ids that are compared before all others.
+PLACES, FIRST = 64 << 20, 32
+
+
+class Block:
+    """Sequences side by side, longest first: a number of 64 bits for each and every 64 steps, so that one pass over a prompt aligns all of them."""
+
+    def __init__(self, sequences: list[list], ids):
+        size = np.array([len(x) for x in sequences], int)
+        order = np.argsort(-size, kind="stable")
+        self.sequences, self.ids, self.size = [sequences[k] for k in order], np.asarray(ids)[order], size[order]
+        flat = [y for x in self.sequences for y in x]
+        self.codes = {y: i for i, y in enumerate(dict.fromkeys(flat))}
+        code = np.array([self.codes[y] for y in flat], np.intp)
+        self._by_code = np.argsort(code, kind="stable")
+        self._ends = np.searchsorted(code[self._by_code], np.arange(len(self.codes)), side="right")
+        self._of = np.repeat(np.arange(len(order)), self.size)
+        self._at = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        #: how many sequences have steps in each 64
+        self.longer = [int((self.size > t).sum()) for t in range(0, max(1, max(self.size, default=0)), 64)]
+        self._places, self._most = {}, max(1, PLACES // (8 * sum(self.longer) + 1))
+
+    def places(self, step) -> list[np.ndarray] | None:
+        """The places of a step in the sequences as bits; null if it is in none."""
+        code = self.codes.get(step)
+        if code is None:
+            return None
+        if code not in self._places:
+            if len(self._places) >= self._most:
+                self._places.clear()
+            some = self._by_code[self._ends[code - 1] if code else 0 : self._ends[code]]
+            of, at = self._of[some], self._at[some]
+            out = []
+            for w, n in enumerate(self.longer):
+                bits, here = np.zeros(n, np.uint64), at >> 6 == w
+                np.bitwise_or.at(bits, of[here], np.uint64(1) << (at[here] & 63).astype(np.uint64))
+                out.append(bits)
+            self._places[code] = out
+        return self._places[code]
+
+    def aligned(self, prompt: list):
+        """Rows of the tables of common subsequences after each step of a prompt: a bit is 0 where the length grows. The same arrays each time."""
+        rows = [np.full(n, ~np.uint64(0)) for n in self.longer]
+        hits, sums = np.empty(len(self.ids), np.uint64), np.empty(len(self.ids), np.uint64)
+        for step in prompt:
+            over = None
+            for row, bits in zip(rows, self.places(step) or ()):
+                hit, total = hits[: len(row)], sums[: len(row)]
+                np.bitwise_and(row, bits, out=hit)
+                np.add(row, hit, out=total)
+                if len(rows) > 1:
+                    carry = total < hit
+                    if over is not None:
+                        total += over[: len(row)]
+                        carry |= over[: len(row)] & (total == 0)
+                    over = carry
+                row ^= hit
+                row |= total
+            yield rows
+
+    def common(self, prompt: list) -> np.ndarray:
+        """The length of each sequence's longest common subsequence with a prompt."""
+        rows = []
+        for rows in self.aligned(prompt):
+            pass
+        return _grown(rows, 64 * len(self.longer), len(self.ids))
 
-    prompts: id, prefix (a stated query set). corpus: seq_id, seq; sequences of
-    one step have no prefix. The first greatest wins, by seq_id and depth. Each
-    sequence's prefixes are scored in one pass. Prompts and corpus meet in
-    blocks of the corpus, and only the best of a block leaves it.
-    """
-    p = prompts.select("id", "prefix", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    c = corpus.where(F.size("seq") > 1).select("seq_id", "seq", F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int").alias("block"))
-    x = p.join(c, "block").withColumn("best", best_prefix("prefix", "seq"))
-    x = x.select("id", F.struct((-F.col("best.score")).alias("lost"), "seq_id", F.col("best.depth").alias("depth"), F.get("seq", F.col("best.depth")).alias("next")).alias("b"))
-    return x.groupBy("id").agg(F.min("b").alias("b")).select("id", "b.next", (-F.col("b.lost")).alias("score"), "b.seq_id", "b.depth")
 
+def _grown(rows: list[np.ndarray], n: int, size: int) -> np.ndarray:
+    """How many of the first n bits are 0, for each sequence; bits past its end are 1."""
+    out = np.zeros(size, np.uint8 if n < 256 else np.int32)
+    for w, row in enumerate(rows[: -(-n // 64)]):
+        out[: len(row)] += np.bitwise_count(~row & np.uint64((1 << min(64, n - 64 * w)) - 1))
+    return out
 
-#: Sequences of a block that meets prompts in one task, and prompts of one.
-BLOCK, PROMPTS = 512, 64
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "sequences")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def foretold(prompts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(id, depth, next, told): for each proper prefix of each prompt, the step after it and the one foretold.
 
-    prompts: id, intent, seq (a stated query set); corpus: seq_id, intent, seq. A prefix of n steps is compared with the first n of each
-    sequence of its intent by common subsequence; the first greatest wins, by seq_id, and foretells its next step (null if it has none).
-    One bit-parallel pass over a sequence scores all prefixes of a prompt: the row after n steps tells the common length with any prefix. Before, the smaller counts
-    of each step in both bound the length, so a sequence that can't beat the best so far at any depth is not aligned. Equal sequences of an intent are
-    aligned once. Both sides meet in blocks whose number follows from their rows; only a block's best leave it.
+def _met(prompts: DataFrame, corpus: DataFrame, made, one_by_one, ddl: str) -> DataFrame:
+    """What `one_by_one(prompt, block)` yields for each prompt (id, intent, seq) and block, `made` of sequences (seq_id, intent, seq) of its intent and their ids, after the prompt's id.
+
+    Both sides meet in blocks whose number follows from their rows and steps. Both are stored tables.
     """
     ship(prompts.sparkSession)
-    one = corpus.where(F.size("seq") > 0).groupBy("intent", "seq").agg(F.min("seq_id").alias("seq_id"))
-    n_c = (one.groupBy("intent").count().agg(F.max("count")).first()[0] or 0) // BLOCK + 1
+    size = corpus.groupBy("intent").agg(F.count("*").alias("n"), F.sum(F.size("seq")).alias("steps")).agg(F.max("n"), F.max("steps")).first()
+    n_c = max((size[0] or 0) // BLOCK, (size[1] or 0) // (BLOCK * STEPS)) + 1
     n_p = (prompts.groupBy("intent").count().agg(F.max("count")).first()[0] or 0) // PROMPTS + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-    c = one.select("intent", F.pmod(F.xxhash64("seq_id"), F.lit(n_c)).cast("int").alias("i"), every(n_p).alias("j"), "seq_id", "seq")
-    p = prompts.where(F.size("seq") > 1).select(F.col("intent").alias("at"), every(n_c).alias("pi"), F.pmod(F.xxhash64("id"), F.lit(n_p)).cast("int").alias("pj"), "id", F.col("seq").alias("prompt"))
+    c = corpus.select("intent", F.pmod(F.xxhash64("seq_id"), F.lit(n_c)).cast("int").alias("i"), every(n_p).alias("j"), "seq_id", "seq")
+    p = prompts.select(F.col("intent").alias("at"), every(n_c).alias("pi"), F.pmod(F.xxhash64("id"), F.lit(n_p)).cast("int").alias("pj"), "id", F.col("seq").alias("prompt"))
     kind = prompts.schema["id"].dataType.simpleString()
+    names = ["id", *(x.split()[0] for x in ddl.split(", "))]
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        theirs = theirs.sort_values("seq_id")
-        sequences, ids = [list(x) for x in theirs["seq"]], theirs["seq_id"].to_numpy()
-        for key, prompt in zip(mine["id"], map(list, mine["prompt"])):
-            rows += [(key, *r) for r in best_by_depth(prompt, sequences, ids)[0]]
-        return pd.DataFrame(rows, columns=["id", "depth", "score", "seq_id", "told"])
+        if len(mine) and len(theirs):
+            theirs = theirs.sort_values("seq_id")
+            block = made([list(x) for x in theirs["seq"]], theirs["seq_id"].to_numpy())
+            rows = [(key, *r) for key, prompt in zip(mine["id"], mine["prompt"]) for r in one_by_one(list(prompt), block)]
+        return pd.DataFrame(rows, columns=names)
+
+    return p.groupBy("at", "pi", "pj").cogroup(c.groupBy("intent", "i", "j")).applyInPandas(meet, f"id {kind}, {ddl}")
+
+
+def next_step(prompts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, next, score, seq_id, depth): the step after the corpus prefix nearest to each prompt by common subsequence.
+
+    prompts: id, prefix (a stated query set). corpus: seq_id, seq; sequences of
+    one step have no prefix. The first greatest wins, by seq_id and depth. The common length with a
+    sequence's longest prefix is that with its best one, so one bit-parallel pass aligns a prompt with a whole block of sequences,
+    and only the winner's depth is looked for. Equal prompts and equal sequences are aligned once; only a block's best leave it.
+    """
+    one = _stored(corpus.where(F.size("seq") > 1).groupBy("seq").agg(F.min("seq_id").alias("seq_id")).select("seq_id", F.lit(0).alias("intent"), "seq"))
+    asked = _stored(prompts.groupBy("prefix").agg(F.min("id").alias("id")).select("id", F.lit(0).alias("intent"), F.col("prefix").alias("seq")))
+    proper = one.withColumn("seq", F.slice("seq", F.lit(1), F.size("seq") - 1))
+
+    def best(prompt: list, block: Block):
+        score = block.common(prompt)
+        first = np.flatnonzero(score == score.max())
+        k = first[np.argmin(block.ids[first])]
+        depth = next((n for n, x in enumerate(_common(prompt, block.sequences[k]), 1) if x == score[k]), 1)
+        yield int(score[k]), int(block.ids[k]), depth
+
+    found = _met(asked, proper, Block, best, f"score int, seq_id {one.schema['seq_id'].dataType.simpleString()}, depth int")
+    found = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("lost"), "seq_id", "depth")).alias("b")).select("id", (-F.col("b.lost")).alias("score"), "b.seq_id", "b.depth")
+    found = found.join(one.select("seq_id", "seq"), "seq_id").select(F.col("id").alias("asked"), F.get("seq", F.col("depth")).alias("next"), "score", "seq_id", "depth")
+    alike = prompts.select("id", "prefix").join(asked.select(F.col("id").alias("asked"), "seq"), F.col("prefix") == F.col("seq"))
+    return alike.select("id", "asked").join(found, "asked").select("id", "next", "score", "seq_id", "depth")
+
 
-    found = p.groupBy("at", "pi", "pj").cogroup(c.groupBy("intent", "i", "j")).applyInPandas(meet, f"id {kind}, depth int, score int, seq_id long, told string")
+def foretold(prompts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, depth, next, told): for each proper prefix of each prompt, the step after it and the one foretold.
+
+    prompts: id, intent, seq (a stated query set); corpus: seq_id, intent, seq. A prefix of n steps is compared with the first n of each
+    sequence of its intent by common subsequence; the first greatest wins, by seq_id, and foretells its next step (null if it has none).
+    One bit-parallel pass over a prompt scores all its prefixes against a block of sequences: the rows after n steps tell the common length
+    of both sides' first n. Equal sequences and equal prompts of an intent are aligned once; only a block's best leave it.
+    """
+    one = _stored(corpus.where(F.size("seq") > 0).groupBy("intent", "seq").agg(F.min("seq_id").alias("seq_id")).select("seq_id", "intent", "seq"))
+    asked = _stored(prompts.where(F.size("seq") > 1).groupBy("intent", "seq").agg(F.min("id").alias("id")).select("id", "intent", "seq"))
+    kind = one.schema["seq_id"].dataType.simpleString()
+    found = _met(asked, one, _parts, lambda prompt, parts: _best_of(prompt, parts)[0], f"depth int, score int, seq_id {kind}, told string")
     best = found.groupBy("id", "depth").agg(F.min_by("told", F.struct((-F.col("score")).alias("lost"), "seq_id")).alias("told"))
-    return prefixes(prompts, "id", "seq").select("id", "depth", "next").join(best, ["id", "depth"], "left")
+    alike = prompts.join(asked.select(F.col("intent").alias("at"), F.col("seq").alias("same"), F.col("id").alias("asked")), F.col("intent").eqNullSafe(F.col("at")) & (F.col("seq") == F.col("same")))
+    steps = prefixes(alike.select(F.struct("id", "asked").alias("of"), "seq"), "of", "seq").select("of.id", F.col("of.asked").alias("asked"), "depth", "next")
+    return steps.join(best.withColumnRenamed("id", "asked"), ["asked", "depth"], "left").select("id", "depth", "next", "told")
 
 
 def best_by_depth(prompt: list, sequences: list[list], ids) -> tuple[list[tuple], int]:
-    """(depth, score, seq_id, next) of the best sequence for each proper prefix of a prompt, and how many were aligned; sequences by ascending id."""
-    depth = len(prompt) - 1
-    if not sequences:
-        return [], 0
-    steps = {x: i for i, x in enumerate(dict.fromkeys(prompt))}
-
-    def counts(seq: list) -> np.ndarray:
-        at = np.zeros((depth, len(steps)), np.int32)
-        for n, x in enumerate(seq[:depth]):
-            if x in steps:
-                at[n, steps[x]] += 1
-        return at.cumsum(axis=0)
-
-    own = counts(prompt)
-    bound = np.stack([np.minimum(own, counts(x)).sum(axis=1) for x in sequences])
-    best, which, aligned = np.full(depth, -1), np.zeros(depth, int), 0
-    for k in np.argsort(-bound.sum(axis=1), kind="stable"):
-        if not ((bound[k] > best) | ((bound[k] == best) & (k < which))).any():
-            continue
-        aligned += 1
-        score = diagonal(sequences[k][:depth], prompt[:depth])
-        better = (score > best) | ((score == best) & (k < which))
-        best[better], which[better] = score[better], k
-    told = [sequences[k][n + 1] if len(sequences[k]) > n + 1 else None for n, k in enumerate(which)]
-    return [(n + 1, int(best[n]), int(ids[k]), told[n]) for n, k in enumerate(which)], aligned
-
-
-def diagonal(a: list, b: list) -> np.ndarray:
-    """Common-subsequence lengths of the first n of both, for n from 1 to the length of b."""
-    masks: dict = {}
-    for i, x in enumerate(a):
-        masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row, out = full, []
-    for n, y in enumerate(b, 1):
-        hit = row & masks.get(y, 0)
-        row = ((row + hit) | (row - hit)) & full
-        m = min(n, len(a))
-        out.append(m - (row & ((1 << m) - 1)).bit_count())
-    return np.array(out, int)
+    """(depth, score, seq_id, next) of the best sequence for each proper prefix of a prompt (equal ones: the least id), and how many were aligned; sequences by ascending id."""
+    return _best_of(prompt, _parts(sequences, ids))
+
+
+def _parts(sequences: list[list], ids) -> list[Block]:
+    """The sequences of the least ids, then all others; sequences by ascending id."""
+    return [Block(sequences[a:b], ids[a:b]) for a, b in ((0, FIRST), (FIRST, len(ids))) if len(ids) > a]
+
+
+def _best_of(prompt: list, parts: list[Block]) -> tuple[list[tuple], int]:
+    """best_by_depth over blocks of ascending ids; where all prefixes are found whole, later blocks can't win."""
+    depth, count = len(prompt) - 1, 0
+    best: list[tuple] = [(-1, None, None)] * max(0, depth)
+    for block in parts:
+        if all(best[n][0] == n + 1 for n in range(depth)):
+            break
+        count += len(block.ids)
+        for n, rows in enumerate(block.aligned(prompt[:depth])):
+            score = _grown(rows, n + 1, len(block.ids))
+            most = score.max()
+            if most > best[n][0]:
+                tie = np.flatnonzero(score == most)
+                k = tie[np.argmin(block.ids[tie])]
+                best[n] = int(most), int(block.ids[k]), block.sequences[k]
+    return [(n + 1, score, key, x[n + 1] if len(x) > n + 1 else None) for n, (score, key, x) in enumerate(best) if x is not None], count
 
 
 def sequence_similarity(df: DataFrame, pairs: DataFrame, seq: str, item: str, vec: str, rows: int = 2000) -> DataFrame:

@@ -47,6 +47,19 @@ def test_few_sequences_are_aligned():
     assert best[-1][1:3] == (7, 3) and aligned < 60
 
 
+def test_blocks_align_long_sequences_at_once():
+    rng = random.Random(3)
+    seqs = [[rng.choice("abcde") for _ in range(rng.choice((0, 1, 63, 64, 65, 130, 150)))] for _ in range(60)]
+    block = S.Block(seqs, np.arange(60))
+    for n in (0, 1, 64, 65, 140):
+        prompt = [rng.choice("abcdez") for _ in range(n)]
+        assert dict(zip(block.ids.tolist(), block.common(prompt).tolist())) == {i: lcs(prompt, x) for i, x in enumerate(seqs)}
+    full = [x for x in seqs if x]
+    for depth, score, key, _ in S.best_by_depth(prompt, full, np.arange(len(full)))[0][::23]:
+        common = [lcs(prompt[:depth], x[:depth]) for x in full]
+        assert (score, key) == (max(common), common.index(max(common)))
+
+
 def ward(points):
     """Greedy merges by the formula on centroids."""
     cl = {i: (1, np.array(p, float), {i}) for i, p in enumerate(points)}
