@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbago.runtime import scratch
+
 #: Fixed ids of cell types in a type sequence, and of its two ends.
 TYPE_IDS = {"raw": 1, "code": 2, "markdown": 3, "heading": 4}
 START, END = 0, 5
@@ -171,6 +173,12 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(miss > 0, miss - 1).otherwise(F.size(same)).cast("int")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "classes")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prefix_hashes(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
     """(g, id, n, k, h): for each length k from 0 to n, the hash of a sequence's first k elements, trimmed; each adds to the one before."""
     s = sequences.select(F.col(group).alias("g"), F.col(seq_id).alias("id"), F.size(seq).alias("n"), F.transform(seq, lambda x: F.trim(x)).alias("s"))
@@ -179,19 +187,45 @@ def prefix_hashes(sequences: DataFrame, group: str, seq_id: str, seq: str) -> Da
     return s.select("g", "id", "n", F.posexplode(F.aggregate("s", start, chain)["all"]).alias("k", "h"))
 
 
+#: Members of one block of a class, whose pairs with another block are one row until the end.
+MEMBERS = 1024
+
+
+def _classes(sequences: DataFrame, group: str, seq_id: str, seq: str) -> tuple[DataFrame, DataFrame]:
+    """Equal sequences of a group as one, stored: (g, c, s) with a number c, and the class's members in blocks (g, c, block, ids)."""
+    x = sequences.select(F.col(group).alias("g"), F.col(seq_id).alias("id"), F.transform(seq, lambda x: F.trim(x)).alias("s")).where("g is not null and id is not null and s is not null")
+    classes = _stored(x.groupBy("g", "s").agg(F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()))
+    # ids are dealt out to blocks by hash: as many as the class's size asks for
+    member = x.join(classes.withColumnRenamed("g", "cg").withColumnRenamed("s", "cs"), (F.col("g") == F.col("cg")) & (F.col("s") == F.col("cs")))
+    block = F.pmod(F.xxhash64("id"), F.floor(F.col("n") / MEMBERS) + 1).cast("int")
+    blocks = member.select("g", "c", block.alias("block"), "id").groupBy("g", "c", "block").agg(F.collect_list("id").alias("ids"))
+    return classes.select("g", "c", "s"), _stored(blocks)
+
+
+def _members(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The columns of pairs (g, x, y: classes) for each two members a and b of the classes.
+
+    Blocks of members meet, and are dealt out to all cores; the members' pairs are made last, so none is shuffled.
+    """
+    a = blocks.select(F.col("c").alias("x"), F.col("block").alias("i"), F.col("ids").alias("as"))
+    b = blocks.select(F.col("c").alias("y"), F.col("block").alias("j"), F.col("ids").alias("bs"))
+    met = pairs.join(a, "x").join(b, "y").repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "x", "y", "i", "j")
+    return met.withColumn("a", F.explode("as")).drop("as").withColumn("b", F.explode("bs")).drop("bs")
+
+
 def prefix_pairs(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
     """Pairs of sequences of one group whose shorter one is a prefix of the longer; of equal ones the lesser id is the shorter.
 
-    A whole sequence's hash meets the hashes of others' prefixes of its length, so only
-    pairs that are in the result (but for equal hashes of 64 bits, which are compared) are made.
+    Equal sequences are one class, whose hash meets the hashes of other classes' prefixes of its length, so only
+    pairs that are in the result (but for equal hashes of 64 bits, which are compared) are made. Members' pairs follow from the classes' without a shuffle of pairs.
     """
-    every = prefix_hashes(sequences, group, seq_id, seq)
-    whole = every.where("k = n").select("g", "k", "h", F.col("id").alias("a"), F.col("n").alias("na"))
-    both = whole.join(every.select("g", "k", "h", F.col("id").alias("b"), F.col("n").alias("nb")), ["g", "k", "h"]).where("na < nb OR (na = nb AND a < b)")
-    of = sequences.select(F.col(group).alias("g"), F.col(seq_id).alias("id"), F.col(seq).alias("s"))
-    both = both.join(of.select("g", F.col("id").alias("a"), F.col("s").alias("sa")), ["g", "a"]).join(of.select("g", F.col("id").alias("b"), F.col("s").alias("sb")), ["g", "b"])
-    both = both.where((F.col("na") == 0) | (common_prefix(F.col("sa"), F.col("sb")) == F.col("na")))
-    return both.select(F.col("g").alias(group), F.col("a").alias("shorter"), F.col("b").alias("longer"))
+    classes, blocks = _classes(sequences, group, seq_id, seq)
+    every = prefix_hashes(classes, "g", "c", "s")
+    whole = every.where("k = n").select("g", "k", "h", F.col("id").alias("x"), F.col("n").alias("nx"))
+    both = whole.join(every.select("g", "k", "h", F.col("id").alias("y"), F.col("n").alias("ny")), ["g", "k", "h"]).where("nx < ny OR x = y")
+    both = both.join(classes.select(F.col("c").alias("x"), F.col("s").alias("sx")), "x").join(classes.select(F.col("c").alias("y"), F.col("s").alias("sy")), "y")
+    both = both.where((F.col("nx") == 0) | (F.col("x") == F.col("y")) | (common_prefix(F.col("sx"), F.col("sy")) == F.col("nx"))).select("g", "x", "y")
+    return _members(both, blocks).where("x <> y OR a < b").select(F.col("g").alias(group), F.col("a").alias("shorter"), F.col("b").alias("longer"))
 
 
 def overlap_lengths(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
@@ -208,9 +242,15 @@ def overlap_lengths(sequences: DataFrame, group: str, seq_id: str, seq: str) ->
 
 
 def overlaps(sequences: DataFrame, group: str, seq_id: str, seq: str) -> DataFrame:
-    """group, a, b, min_len, max_len, common_len: pairs of a group's sequences (a < b) that begin alike, and for how many elements; pairs with nothing in common are left out."""
-    every = prefix_hashes(sequences, group, seq_id, seq).where("k > 0")
-    met = every.alias("x").join(every.alias("y"), ["g", "k", "h"]).where(F.col("x.id") < F.col("y.id"))
-    ids = [F.col("g").alias(group), F.col("x.id").alias("a"), F.col("y.id").alias("b")]
-    met = met.select(*ids, "k", F.least("x.n", "y.n").alias("min_len"), F.greatest("x.n", "y.n").alias("max_len"))
-    return met.groupBy(group, "a", "b", "min_len", "max_len").agg(F.max("k").alias("common_len"))
+    """group, a, b, min_len, max_len, common_len: pairs of a group's sequences (a < b) that begin alike, and for how many elements; pairs with nothing in common are left out.
+
+    Two classes of equal sequences meet once, at the last length at which their prefixes' hashes are equal. Members' pairs follow from the classes' without a shuffle of pairs.
+    """
+    classes, blocks = _classes(sequences, group, seq_id, seq)
+    every = prefix_hashes(classes, "g", "c", "s").withColumn("next", F.lead("h").over(W.partitionBy("g", "id").orderBy("k"))).where("k > 0")
+    met = every.alias("p").join(every.alias("q"), ["g", "k", "h"])
+    last = F.coalesce(F.col("p.next") != F.col("q.next"), F.lit(True))
+    met = met.where(last & ((F.col("p.id") < F.col("q.id")) | ((F.col("p.id") == F.col("q.id")) & (F.col("k") == F.col("p.n")))))
+    met = met.select("g", F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.least("p.n", "q.n").alias("min_len"), F.greatest("p.n", "q.n").alias("max_len"), F.col("k").alias("common_len"))
+    pairs = _members(met, blocks).where("a < b OR (x <> y AND a <> b)")
+    return pairs.select(F.col("g").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "min_len", "max_len", "common_len")

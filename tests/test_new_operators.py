@@ -156,3 +156,13 @@ def test_steps_of_any_depth(spark):
     rows = [(f"n{i}", "HAS STEP", f"n{i + 1}") for i in range(25)] + [("n25", "HAS STEP", "n3"), ("n0", "OTHER", "x"), ("n2", "HAS STEP", "leaf")]
     got = {(r.name, r.depth) for r in G.steps_below(spark.createDataFrame(rows, "sub string, rel string, obj string"), "n0", "HAS STEP").collect()}
     assert got == {(f"n{i}", i) for i in range(26)} | {("leaf", 3)}
+
+
+def test_pairs_of_members_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(C, "MEMBERS", 7)
+    df = spark.createDataFrame([(0, i, ["a", "b"][: 1 + i % 2]) for i in range(300)], "grp int, id long, s array<string>")
+    for pairs, n in ((C.prefix_pairs(df, "grp", "id", "s"), 300 * 299 // 2), (C.overlaps(df, "grp", "id", "s"), 300 * 299 // 2)):
+        rows = [tuple(r) for r in pairs.collect()]
+        assert len(rows) == len(set(rows)) == n
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("Exchange")]
