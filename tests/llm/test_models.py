@@ -136,3 +136,13 @@ def test_mixing_against_direct_least_squares(spark):
         assert (got >= 0).all() and (got <= most).all()
         direct, ours = (float(np.abs(a.T @ x - want).max() / want.sum()) for x in (r, got))
         assert ours <= direct + 2e-3 and abs(mixture.gap - ours) < 1e-9, (targets, most, ours, direct, mixture.gaps)
+
+
+def test_texts_without_labels_stay_out_of_the_shuffle(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = docs.where("doc_id % 100 = 7").selectExpr("doc_id", "1 AS toxic")
+    rows = toxicity.labelled_rows(docs, labels)
+    assert {r.text for r in rows.collect()} == {f"text {i}" for i in range(7, 2000, 100)}
+    assert "run(" in rows._jdf.queryExecution().executedPlan().toString()
+    # other types are compared as a join compares them
+    assert toxicity.labelled_rows(docs, labels.withColumn("doc_id", F.col("doc_id").cast("double"))).count() == 20
