@@ -100,3 +100,11 @@ def test_no_row_a_pair_is_shuffled(spark, monkeypatch):
     assert {(r.q, r.doc, r["rank"]) for r in got.collect()} == {(q, q, 1) for q in range(400)} | {(q, q ^ 1, 2) for q in range(400)}
     plan = got._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "HashAggregate" not in plan
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, docs):
+    t = tokens(F.col("text"), r"\S+")
+    s = I.Store(spark, scratch(spark, "s")).add(docs, "id", t)
+    asked = docs.where("id % 20 = 0").select(F.col("id").alias("q"), F.explode(t).alias("term")).distinct()
+    plan = R.bm25(s.postings(), s.statistics(), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("BroadcastHashJoin")]
