@@ -181,3 +181,24 @@ def test_similar_documents_beyond_the_budget(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = simhash.near_duplicates(df, words=5, similarity=0.8).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(300)}
+
+
+def test_hubs_meet_once_over_a_shared_passage(spark):
+    """Texts that share a passage make one row a pair, not one a shingle or from each side, and no pair is lost."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(9), []
+    for t in range(40):
+        h = sorted({*range(50, 62), *rng.sample(range(1000), 8)} if t % 2 else rng.sample(range(70), 9))
+        rows += [(x, t, 60, i, i < 6, t // 3, t % 5 > 0) for i, x in enumerate(h)]
+    df = spark.createDataFrame(rows, "h long, th long, n long, i long, early boolean, component long, now boolean")
+    near = lambda n, i, m, j: F.least(n - i, m - j) >= F.lit(0.8 / 1.8) * (n + m) - 1e-9
+    earlier = F.array(*[F.lag("h", k).over(Window.partitionBy("th").orderBy("i")) for k in range(1, simhash.EARLIER + 1)])
+    got = [tuple(sorted((r.a, r.th))) for r in simhash._meetings(df.withColumn("earlier", earlier), near).collect()]
+    every = [
+        (a[1], b[1]) for a in rows for b in rows
+        if a[0] == b[0] and a[1] < b[1] and a[5] != b[5] and (a[6] or b[6]) and (a[4] or b[4]) and min(60 - a[3], 60 - b[3]) >= 0.8 / 1.8 * 120 - 1e-9
+    ]
+    assert set(got) == set(every)
+    assert len(got) < 1.2 * len(set(every)) < len(every) / 2
