@@ -108,3 +108,17 @@ def test_earlier_names_join_nothing(spark):
 
     plan = QUERIES["syn9_agg3_uses_earlier_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_a_cell_is_parsed_once_and_walked_once(monkeypatch):
+    """Facts and renaming cost one parse, and functions of the library's walk, which is three times as slow, are not called."""
+    from plumbago.functions import code as C
+
+    code, parse, parsed = 'def f(a, b=1):\n    """Doc."""\n    x = [i + b for i in a]\n    x.sort()\n    return x, len(a)', ast.parse, []
+    with monkeypatch.context() as m:
+        m.setattr(C.ast, "parse", lambda *a, **k: parsed.append(a) or parse(*a, **k))
+        m.setattr(C.ast, "walk", lambda n: (_ for _ in ()).throw(AssertionError("walked")))
+        f, new, broken = C.facts(code), C.renamed(code), C.renamed("x = (")
+    assert (f["calls"], f["variables"], f["returned"], f["docstrings"]) == (["x.sort", "len"], ["x", "i", "b", "a"], ["x", "len", "a"], ["Doc."])
+    assert new.startswith("def OBF_FUNC_0(OBF_VAR_3, OBF_VAR_2=1):") and broken is None
+    assert len(parsed) == 3
