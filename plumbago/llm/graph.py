@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps. Minima are aggregated before
     the shuffle and joined back, so a hub is a skewed join that Spark can split,
-    never one group. Each round is a written table; the loop ends when a round
+    never one group. Each round is a written table, of files by its number of links; the loop ends when a round
     changes nothing. Self-links and repeated links don't matter; rows with a
     null end are no links. No links: an empty result.
     """
@@ -49,11 +49,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = table(large.where("a <> b").distinct())
+        large = table(large.where("a <> b").distinct(), seen[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        done, now = now, table(small.distinct())
+        done, now = now, table(small.distinct(), 2 * seen[0])
         drop(done, large)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -463,7 +463,7 @@ def near_duplicates(
     base = df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     docs = table(fingerprints(base, id_col="id", words=words, seed=seed, also=["th"]))
     key = "fp" if similarity is None else "th"
-    classes = table(docs.groupBy(key).agg(F.min("id").alias("low"), *([F.first("fp").alias("fp")] if key == "th" else [])))
+    classes = table(docs.groupBy(key).agg(F.min("id").alias("low"), *([F.first("fp").alias("fp")] if key == "th" else [])), docs.count())
     if similarity is None:
         comp = components(links(classes, budget, cell_rows)).select(F.col("node").alias(key), "component")
     else:

@@ -38,6 +38,24 @@ def test_components_chain_and_star(spark):
     assert {r.node: r.component for r in got.collect()} == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def test_few_links_are_few_files(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(graph, "table", lambda df, *rows, put=graph.table: (out := put(df, *rows), files.append(len(out.inputFiles())))[0])
+    monkeypatch.setattr(graph, "drop", lambda *tables: None)
+    edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("40", "false")):
+            spark.conf.set(k, v)
+        got = graph.components(edges).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.component for r in got} == dict.fromkeys(range(301), 0)
+    # all but the first, whose number of links isn't known before: one a core
+    assert max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_components_without_links(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
