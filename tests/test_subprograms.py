@@ -122,3 +122,33 @@ def test_a_cell_is_parsed_once_and_walked_once(monkeypatch):
     assert (f["calls"], f["variables"], f["returned"], f["docstrings"]) == (["x.sort", "len"], ["x", "i", "b", "a"], ["x", "len", "a"], ["Doc."])
     assert new.startswith("def OBF_FUNC_0(OBF_VAR_3, OBF_VAR_2=1):") and broken is None
     assert len(parsed) == 3
+
+
+def test_names_of_parsed_cells_do_not_add_up_in_workers(spark):
+    import psutil
+    from pyspark.sql import functions as F
+
+    from plumbago.functions import code as C
+
+    def held():
+        jvm = [p for p in psutil.Process().children(recursive=True) if p.name() == "java"]
+        return sum(p.memory_full_info().uss for j in jvm for p in j.children(recursive=True) if "python" in p.name()) / 1e6
+
+    # 20,000 names of 5,000 characters, then 20,000 others
+    cell = F.concat(F.lit("x"), F.col("id").cast("string"), F.repeat(F.lit("y"), 5000), F.lit(" = 1"))
+    for made in (lambda c: C.code_facts(c)["ok"], lambda c: F.size(C.chunks(c)) == 1):
+        count = lambda a, b: spark.range(a, b).repartition(4).select(made(cell).alias("x")).agg(F.count_if("x")).first()[0]
+        assert count(0, 20_000) == 20_000
+        before = held()
+        assert count(20_000, 40_000) == 20_000
+        assert held() - before < 60
+
+
+def test_errors_in_a_batch_come_back():
+    import pandas as pd
+
+    from plumbago.functions import code as C
+
+    assert C.apart(len, pd.Series(["a", "bc"])) == [1, 2] and C.apart(len, pd.Series([], dtype=object)) == []
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        C.apart(lambda x: 1 / x, pd.Series([1, 0]))
