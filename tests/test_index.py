@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -108,3 +109,32 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark, docs):
     asked = docs.where("id % 20 = 0").select(F.col("id").alias("q"), F.explode(t).alias("term")).distinct()
     plan = R.bm25(s.postings(), s.statistics(), asked)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("BroadcastHashJoin")]
+
+
+def test_rounds_of_blocks_keep_few_copies_on_disk(spark, docs, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 16)
+    monkeypatch.setattr(I, "ADDED", 64)
+    monkeypatch.setattr(I, "AT_ONCE", 7)
+    kept, stored = [], I._stored
+    monkeypatch.setattr(I, "_stored", lambda s, df, *by: kept.append(df.columns) or stored(s, df, *by))
+    t = tokens(F.col("text"), r"\S+")
+    v = I.Vectors(docs, "id", t)
+    got = I.most_similar(v, v.queries(docs, "id", t), 3)
+    # the rounds before the last are done and stored when the last one is asked for
+    assert kept.count(["q", "doc", "score", "rank"]) > 5
+    rows = [tuple(r) for r in docs.collect()]
+    assert {(r.q, r.doc, r["rank"]) for r in got.collect()} == brute(rows, rows, 3)
+
+
+def test_a_written_tables_shuffle_is_deleted(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    shuffled = lambda: sum("shuffle_" in str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files()))
+    spark.range(1000).repartition(8, "id").write.parquet(scratch(spark, "s"))
+    left = shuffled()
+    out = I._stored(spark, spark.range(1000).repartition(9, "id"))
+    for _ in range(50):
+        if shuffled() <= left:
+            break
+        time.sleep(0.1)
+    assert out.count() == 1000 and shuffled() <= left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
