@@ -138,3 +138,14 @@ def test_a_written_tables_shuffle_is_deleted(spark):
         time.sleep(0.1)
     assert out.count() == 1000 and shuffled() <= left
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_all_texts_ask(spark):
+    from plumbago.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    asked = {r.q for r in QUERIES["ret9_code_for_text"](spark, sf).select("q").distinct().collect()}
+    texts = spark.read.parquet(f"{sf}/documents.parquet").where("text rlike '(?i)[a-z0-9]{8}'").count()
+    assert len(asked) > 0.9 * texts and any(q % 20 for q in asked)
+    turns = {r.q for r in QUERIES["ret12_tutorials_for_cells"](spark, sf).select("q").distinct().collect()}
+    assert {q % 1000 for q in turns} >= {0, 1} and any(q // 1000 % 20 for q in turns)
