@@ -117,6 +117,26 @@ def test_toxicity_pairs_at_any_size(spark):
     assert 2 < got[0] <= got[1], got
 
 
+def test_toxicity_keeps_all_ngrams_that_pass(spark, monkeypatch):
+    """With hardly any key in memory the model is the same: none that pass the test is left out."""
+    rng = np.random.default_rng(5)
+    vile, names = ([f"{c}{''.join(chr(97 + (i // 26**k) % 26) for k in range(4))}" for i in range(300)] for c in "vn")
+    rows = [(" ".join([*rng.choice(names, 20), *(rng.choice(vile, 10) if i % 4 == 0 else []), "ab", "cd"]), int(i % 4 == 0)) for i in range(3000)]
+    rows = [(f"{t} nasty {'word' if y else 'wound'}", y) for t, y in rows]
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=["text", "y"]))
+    counts = toxicity.ngram_counts(docs)
+    whole = toxicity.from_counts(counts)
+    monkeypatch.setattr(toxicity, "FILE_KEYS", 64)
+    few = toxicity.from_counts(counts, max_keys=1)
+    assert len(whole.words.keys) > 200 and isinstance(few.words, toxicity.Mapped) and abs(whole.base - few.base) < 1e-9
+    for a, b in ((whole.words, few.words), (whole.contexts, few.contexts), (whole.pairs, few.pairs)):
+        assert (a.keys == b.keys).all() and np.allclose(a.values, b.values, atol=1e-9)
+    texts = [t.encode() for t, _ in rows[:200]]
+    assert np.allclose(whole.difference(texts), few.difference(texts), atol=1e-9)
+    scored = [[r.score for r in toxicity.score(docs.limit(200), m, text_col="text", keep=["y"]).collect()] for m in (whole, few)]
+    assert np.allclose(*scored, atol=1e-9)
+
+
 def test_mixing_against_direct_least_squares(spark):
     """Rates of scarce domains rise as far as they have to; the gap is that of a long projected gradient descent."""
     rng = np.random.default_rng(3)
