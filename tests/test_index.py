@@ -140,6 +140,35 @@ def test_a_written_tables_shuffle_is_deleted(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
 
 
+def test_search_without_an_index(spark, docs, monkeypatch):
+    monkeypatch.setattr(R, "ASKED", 3)
+    t = tokens(F.col("text"), r"\S+")
+    every = docs.withColumn("text", F.concat(F.lit("All "), "text"))  # a term of all texts but the null one
+    for d in (docs, every.where("text IS NOT NULL"), docs.unionByName(docs.where("id < 40")), docs.withColumn("id", F.concat(F.lit("k"), "id"))):
+        asked = docs.where("id % 20 = 0").select(F.col("id").alias("q"), F.explode(t).alias("term")).union(spark.createDataFrame([(7, "all"), (8, "none"), (9, "w1")], "q long, term string")).distinct()
+        stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size(t)).alias("avgdl"))
+        want = R.top_k(R.bm25(R.postings(d, "id", t), stats, asked), 4)
+        got = R.bm25_search(d, "id", "text", asked, 4, r"\S+")
+        rounded = lambda df: sorted((r.q, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
+        assert rounded(got) == rounded(want) and got.count() > 50
+    # texts are neither exploded nor shuffled
+    plan = R.bm25_search(docs, "id", "text", asked, 4, r"\S+")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+
+
+def test_relevance_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"{c}{i}" for c in "ab\xe9" for i in range(6)]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(200)] + [None, "", " "]
+    asked = [t[a : a + rng.choice([1, 4, 9, 25])] for t in texts[:60] for a in [rng.randrange(len(t))]] + ["", "no such words are here at all", None, texts[3], texts[3]]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc long, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "q long, text string")
+    got = R.relevance(q, d)
+    want = sorted((i, j) for i, a in enumerate(asked) for j, t in [*enumerate(texts), (3, texts[3])] if a is not None and t is not None and a in t)
+    assert sorted((r.q, r.doc) for r in got.collect()) == want
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_texts_ask(spark):
     from plumbago.queries import QUERIES
 
