@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbago.functions.code import vectorised
 from plumbago.functions.stem import stem
-from plumbago.runtime import scratch
+from plumbago.runtime import scratch, ship
 
 
 @vectorised("string")
@@ -28,6 +29,8 @@ def token_set_score(a: str, b: str) -> int:
     """0 to 100: the best ratio of the common words, with and without either side's other words (both sides as from stemmed_set)."""
     s, t = set(a.split()), set(b.split())
     both, left, right = (" ".join(sorted(x)) for x in (s & t, s - t, t - s))
+    if both and not (left and right):
+        return 100
     x, y = f"{both} {left}".strip(), f"{both} {right}".strip()
 
     def ratio(p, q):
@@ -77,6 +80,44 @@ def _lacked(one: str, other: str) -> Column:
     return sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(1, LONGS)), F.bit_count(F.get(one, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(0))))))
 
 
+#: Keys of a block that share a part, and how many of them meet a block at once.
+BLOCK, AT_ONCE = 16384, 64
+
+
+def _alike(keys: DataFrame) -> DataFrame:
+    """Different keys that share a part, where either's bits lack at most `lost` of the other's; the lesser first. keys: part, n, key, s, lost.
+
+    Parts are few and in many keys, so these meet in blocks by part and n, and a task compares the bits of a key with those of a whole block at once, so no row is a pair before it passes.
+    """
+    ship(keys.sparkSession)
+    cut = F.col("n") / BLOCK + 1
+    every, mine = F.explode(F.sequence(F.lit(0), cut.cast("int") - 1)), F.pmod(F.xxhash64("key"), cut.cast("int")).cast("int")
+    x = keys.select("part", mine.alias("i"), every.alias("j"), "key", "s", "lost")
+    y = keys.select(F.col("part").alias("of"), every.alias("p"), mine.alias("q"), F.col("key").alias("other"), F.col("s").alias("t"), F.col("lost").alias("most"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, np.intp), np.zeros(0, np.intp))]
+        if len(x) and len(y):
+            x, y = x.sort_values("key"), y.sort_values("other")
+            sx, sy = (np.ascontiguousarray(np.stack(z.to_numpy()).view(np.uint64).T) for z in (x["s"], y["t"]))
+            lx, ly, unset = x["lost"].to_numpy(), y["most"].to_numpy(), ~sy
+            for first in range(0, len(x), AT_ONCE):
+                some = slice(first, first + AT_ONCE)
+                # lesser keys have met these already
+                after = int(y["other"].searchsorted(x["key"].iloc[first]))
+                # 256 bits at most, so a sum that overflows lets a pair pass
+                lacked = sum(np.bitwise_count(sx[i, some, None] & unset[i, after:]) for i in range(LONGS))
+                p, q = np.nonzero(lacked <= lx[some, None])
+                p, q = p + first, q + after
+                good = np.bitwise_count(sy[:, q] & ~sx[:, p]).sum(axis=0) <= ly[q]
+                found.append((p[good], q[good]))
+        p, q = (np.concatenate(z) for z in zip(*found))
+        return pd.DataFrame({"x": x["key"].to_numpy()[p], "y": y["other"].to_numpy()[q]})
+
+    both = x.groupBy("part", "i", "j").cogroup(y.groupBy("of", "p", "q")).applyInPandas(meet, "x string, y string").where("x <> y")
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def candidates(keys: DataFrame, threshold: int = 95) -> DataFrame:
     """(x, y): all pairs of distinct keys (key: words in order) that may score `threshold` or more; x < y.
 
@@ -85,7 +126,7 @@ def candidates(keys: DataFrame, threshold: int = 95) -> DataFrame:
     together exceed that share; the other side may be of any length. Or both
     strings are alike as a whole, so their lengths are close, and they share most pairs of
     adjacent characters, hence one of each one's rarest few. Bits of all their parts
-    rule out most pairs that share one, before they are shuffled.
+    rule out most pairs that share one, before they are rows.
     """
     t = (threshold - 0.5) / 100  # scores are rounded
     words = _stored(_by_rarity(keys.select("key", F.explode(F.split("key", " ")).alias("part")).withColumn("size", F.length("part"))))
@@ -101,9 +142,9 @@ def candidates(keys: DataFrame, threshold: int = 95) -> DataFrame:
     grams = keys.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substr(padded, i, F.lit(2)))).alias("gram"))
     grams = grams.withColumn("nth", F.row_number().over(W.partitionBy("key", "gram").orderBy("gram"))).select("key", F.concat("gram", F.col("nth").cast("string")).alias("part"), F.lit(1).alias("size"))
     few = _stored(_by_rarity(grams).where(F.col("rank") <= 2 * unmatched + 3).join(_bits(grams), "key"))
+    few = few.withColumn("lost", (2 + 2 * unmatched).cast("int"))
     near = F.least(F.length("x"), F.length("y")) >= F.lit(t / (2 - t)) * F.greatest(F.length("x"), F.length("y")) - 1e-9
-    alike = (_lacked("sx", "sy") <= 2 + 2 * F.floor(F.lit((1 - t) * 2 / t) * F.length("x") + F.lit(1e-9))) & (_lacked("sy", "sx") <= 2 + 2 * F.floor(F.lit((1 - t) * 2 / t) * F.length("y") + F.lit(1e-9)))
-    return contained.union(_pairs(few, few, near & alike)).distinct()
+    return contained.union(_alike(few).where(near)).distinct()
 
 
 def fuzzy_parents(labels: DataFrame, label: str, threshold: int = 95) -> DataFrame:

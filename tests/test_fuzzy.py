@@ -58,3 +58,19 @@ def test_common_words_make_few_candidates(spark):
     df = spark.createDataFrame([(k,) for k in keys], "key string")
     n = len(keys)
     assert Z.candidates(df).count() < n * (n - 1) / 2 / 50
+
+
+def test_alike_keys_meet_in_blocks(spark, monkeypatch):
+    """Pairs that share frequent parts are compared in blocks, none is a row before it passes."""
+    monkeypatch.setattr(Z, "BLOCK", 40)
+    monkeypatch.setattr(Z, "AT_ONCE", 7)
+    rng = random.Random(11)
+    keys = {" ".join(sorted({"".join(rng.choices(["an", "the", "er", "on"], k=4)) for _ in range(7)})) for _ in range(120)}
+    keys |= {k[:9] + "x" + k[10:] for k in list(keys)[:60]}
+    keys = {" ".join(sorted(set(k.split()))) for k in keys}
+    got = Z.candidates(spark.createDataFrame([(k,) for k in keys], "key string"))
+    pairs = {(r.x, r.y) for r in got.collect()}
+    every = sorted(keys)
+    want = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if Z.token_set_score(a, b) >= 95}
+    assert len(want) > 30 and want <= pairs
+    assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().toString()
