@@ -187,8 +187,8 @@ def prefix_hashes(sequences: DataFrame, group: str, seq_id: str, seq: str) -> Da
     return s.select("g", "id", "n", F.posexplode(F.aggregate("s", start, chain)["all"]).alias("k", "h"))
 
 
-#: Members of one block of a class, whose pairs with another block are one row until the end.
-MEMBERS = 1024
+#: Members of one block of a class, whose pairs with another block are one row until the end; Spark holds the pairs of such a row at once, so blocks are small.
+MEMBERS = 256
 
 
 def _classes(sequences: DataFrame, group: str, seq_id: str, seq: str) -> tuple[DataFrame, DataFrame]:

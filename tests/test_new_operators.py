@@ -166,3 +166,12 @@ def test_pairs_of_members_are_not_shuffled(spark, monkeypatch):
         assert len(rows) == len(set(rows)) == n
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert plan.index("Generate") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("Exchange")]
+
+
+def test_blocks_of_equal_sequences_are_small(spark):
+    """The pairs of two blocks are held at once when they are made, so a large class has many blocks."""
+    df = spark.range(900).selectExpr("0 AS g", "id", "array('a', 'b') AS s")
+    _, blocks = C._classes(df, "g", "id", "s")
+    sizes = [len(r.ids) for r in blocks.collect()]
+    assert sum(sizes) == 900 and max(sizes) ** 2 < 1 << 18
+    assert C.prefix_pairs(df, "g", "id", "s").count() == 900 * 899 // 2
